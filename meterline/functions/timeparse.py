@@ -50,10 +50,10 @@ def norm_duration(raw: Column, unit_nanos: int = 1) -> Column:
     piece = rf"(\d+\.?\d*|\.\d+)({units})"
     whole = rf"^[+-]?(?:{piece})+$"
     factor = F.create_map(*[F.lit(x) for kv in UNIT_NANOS.items() for x in kv])
-    parts = F.arrays_zip(F.regexp_extract_all(v, F.lit(piece), F.lit(1)).alias("n"),
-                         F.regexp_extract_all(v, F.lit(piece), F.lit(2)).alias("u"))
+    counts = F.regexp_extract_all(v, F.lit(piece), F.lit(1))
+    names = F.regexp_extract_all(v, F.lit(piece), F.lit(2))
     total = F.aggregate(
-        F.transform(parts, lambda p: p["0"].cast("double") * factor[p["1"]]),
+        F.transform(counts, lambda n, i: n.cast("double") * F.element_at(factor, F.get(names, i))),
         F.lit(0.0), lambda a, x: a + x)
     sign = F.when(v.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
     number = v.try_cast("double") * float(unit_nanos)
@@ -78,9 +78,6 @@ def local_timestamp(ts: Column) -> Column:
     """RFC 3339 at the fixed offset without trailing zeros in the fraction; '' when missing."""
     shown = F.date_format(local(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     shown = F.regexp_replace(shown, r"\.?0*$", "")
-    # an all-zero fraction must not eat zeros of the seconds
-    plain = F.date_format(local(ts), "yyyy-MM-dd'T'HH:mm:ss")
-    shown = F.when(F.length(shown) < 19, plain).otherwise(shown)
     return F.coalesce(F.concat(shown, F.lit(f"+{LOCAL_OFFSET_HOURS:02d}:00")), F.lit(""))
 
 
