@@ -24,7 +24,7 @@ _TOKEN = "[A-Za-z0-9_-]"
 _FREE = "[ /.\\-_]"
 
 # A marker may carry '-' and '_' between its letters and blanks around it.
-_MARKER = r"[-_\s]*(?:" + "|".join("[-_]*".join(m) for m in CREDENTIAL_MARKERS) + r")[-_\s]*"
+_MARKER = r"[-_\s]*(?i:" + "|".join("[-_]*".join(m) for m in CREDENTIAL_MARKERS) + r")[-_\s]*"
 
 
 def tidy(c: Column) -> Column:

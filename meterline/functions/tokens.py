@@ -98,8 +98,8 @@ def micro_cost(provider: Column, inp: Column, out: Column, read: Column, write:
     return F.coalesce(cost.cast("decimal(34,6)"), F.lit(0).cast("decimal(34,6)"))
 
 
-def dollars(micro: Column) -> Column:
-    return F.round(micro.cast("double") / 1e6, 6)
+def dollars(micro: Column, digits: int = 6) -> Column:
+    return F.round(micro.cast("double") / 1e6, digits)
 
 
 def generation_speed(output: Column, latency: Column, ttft: Column, stream: Column) -> Column:

@@ -51,7 +51,7 @@ def cost_rows(facts: DataFrame, manual: DataFrame, catalog: DataFrame) -> DataFr
     """Cost of every single request."""
     m = R.row_measures()
     rows = R.prepared(facts).select("id", "model", "provider", *[m[n].alias(n) for n in R.TOKENS])
-    return with_cost(rows, manual, catalog).select("id", "model", "provider", K.dollars(F.col("micro_cost")).alias("cost"))
+    return with_cost(rows, manual, catalog).select("id", "model", "provider", K.dollars(F.col("micro_cost"), 9).alias("cost"))
 
 
 def sum_cost(priced: DataFrame, keys: list) -> DataFrame:
