@@ -103,7 +103,7 @@ def source_key(source: Column) -> Column:
 
 
 def summary_source(source: Column) -> Column:
-    hidden = (source == "") | X.looks_credential(source) | X.looks_secret(source)
+    hidden = (source == "") | X.looks_private(tidy(source))
     return F.when(hidden, F.lit(UNKNOWN_SOURCE)).otherwise(source)
 
 
@@ -181,10 +181,9 @@ def with_source_labels(df: DataFrame, *, imported: bool = False, out: str = "sou
     df = df.withColumn("_s", X.strip_credential(F.col("source")))
     df = df.withColumn("_s", X.strip_own_key(F.col("_s"), F.col("api_key"), F.col("auth_index"), F.col("auth_id")))
     src, provider = F.col("_s"), tidy(F.col("provider"))
-    hidden = (src == "") | X.looks_secret(src) | X.looks_credential(src)
+    hidden = (src == "") | X.looks_private(src)
     if imported:
-        fallback = F.when((provider != "") & ~X.looks_secret(provider) & ~X.looks_credential(provider),
-                          provider).otherwise(F.lit(""))
+        fallback = F.when((provider != "") & ~X.looks_private(provider), provider).otherwise(F.lit(""))
     else:
         fallback = X.strip_credential(X.first_text(provider, tidy(F.col("executor_type")), F.lit("unknown")))
     label = (F.when(_compatible(provider) & ~_generic(provider), provider)
@@ -197,6 +196,7 @@ def with_upstream_key(df: DataFrame, out: str = "api") -> DataFrame:
 
     Needs provider, executor_type, source, base_url, api_key, auth_index, auth_id.
     """
+    # Stages keep each intermediate a column: inlined, the expression would grow with every reuse.
     c = F.col
     df = df.withColumns({
         "_primary": X.first_text(tidy(c("provider")), tidy(c("executor_type"))),
@@ -209,11 +209,15 @@ def with_upstream_key(df: DataFrame, out: str = "api") -> DataFrame:
     df = df.withColumns({
         "_open": ~_compatible(c("_primary")) | _generic(c("_primary")),
         "_src": X.strip_own_key(c("_src"), c("api_key"), c("auth_index"), c("auth_id")),
-        "_ch": X.first_text(X.safe_identity(c("auth_index"), c("_id_index")),
-                            F.when(c("_id_source") != "", X.safe_identity(c("_id_source"))),
-                            F.when(c("_id_auth") != "", X.safe_identity(c("_id_auth"))),
-                            X.safe_identity(c("auth_id"), c("_id_auth"))),
+        "_in_source": X.credential_identity(c("_id_source")),
+        "_in_auth": X.credential_identity(c("_id_auth")),
     })
+    df = df.withColumns({
+        "_n1": X.prefer(c("_id_index"), c("auth_index")), "_n2": X.prefer(c("_in_source"), c("_id_source")),
+        "_n3": X.prefer(c("_in_auth"), c("_id_auth")), "_n4": X.prefer(c("_id_auth"), c("auth_id")),
+    })
+    df = df.withColumns({n: X.printable(c(n)) for n in ("_n1", "_n2", "_n3", "_n4")})
+    df = df.withColumn("_ch", X.first_text(c("_n1"), c("_n2"), c("_n3"), c("_n4")))
     df = df.withColumn("_src", F.when(X.looks_credential(c("_src")), F.lit("")).otherwise(
         X.drop_leading(c("_src"), c("_primary"))))
     df = df.withColumn("_use_src", (c("_src") != "") & ~X.looks_secret(c("_src")) & c("_open")
@@ -223,7 +227,8 @@ def with_upstream_key(df: DataFrame, out: str = "api") -> DataFrame:
     named = F.when((c("_base") != "") & c("_open"), join_names(c("_primary"), c("_base"))).otherwise(
         join_names(c("_primary"), F.when(c("_use_src"), c("_src")), channel))
     return (df.withColumn(out, F.coalesce(F.nullif(named, F.lit("")), F.lit(UNKNOWN_API)))
-            .drop("_primary", "_base", "_src", "_id_index", "_id_source", "_id_auth", "_open", "_ch", "_use_src"))
+            .drop("_primary", "_base", "_src", "_id_index", "_id_source", "_id_auth", "_open", "_ch", "_use_src",
+                  "_in_source", "_in_auth", "_n1", "_n2", "_n3", "_n4"))
 
 
 def with_imported_upstream_key(df: DataFrame, out: str = "api") -> DataFrame:

@@ -21,7 +21,11 @@ SENSITIVE_HEADERS = ["authorization", "proxy-authorization", "cookie", "set-cook
 
 SPACES = " \t\n\r\u000b\u000c\u0085   　"
 _TOKEN = "[A-Za-z0-9_-]"
-_FREE = "[ /.\\-_]"
+_PART = "\u0001"  # stands for whichever separator a label uses
+
+# Lengths count bytes, so the patterns run over one character per byte.
+_SECRET = "^(?:" + "|".join(KEY_PREFIXES) + ")|^[^ /._-]{40,}$|^[^ ]{80,}$"
+_CREDENTIAL = "^[0-9a-fA-F]{8,}$|^[^ /._-]{32,}$"
 
 # A marker may carry '-' and '_' between its letters and blanks around it.
 _MARKER = r"[-_\s]*(?i:" + "|".join("[-_]*".join(m) for m in CREDENTIAL_MARKERS) + r")[-_\s]*"
@@ -37,31 +41,29 @@ def first_text(*cols: Column) -> Column:
     return F.coalesce(*[F.when(tidy(c) != "", c) for c in cols], F.lit(""))
 
 
-def _escape(s: str) -> str:
-    return "".join("\\" + ch if ch in "|()[]{}.*+?^$\\" else ch for ch in s)
+def _bytes(s: Column) -> Column:
+    return F.decode(F.encode(s, "UTF-8"), "ISO-8859-1")
 
 
-def has_key_prefix(s: Column) -> Column:
-    return F.coalesce(s.rlike("^(?:" + "|".join(KEY_PREFIXES) + ")"), F.lit(False))
+def looks_secret(c: Column) -> Column:
+    return F.coalesce(_bytes(tidy(c)).rlike(_SECRET), F.lit(False))
 
 
-def looks_secret(c: Column) -> Column:
-    s = tidy(c)
-    size = F.octet_length(s)
-    return (has_key_prefix(s)
-            | ((size >= 40) & ~s.rlike(_FREE))
-            | ((size >= 80) & ~s.contains(" ")))
+def _hyphenated_hex(s: Column) -> Column:
+    """At least 30 characters without the hyphens, four fifths of them (or 30) hexadecimal."""
+    solid = F.octet_length(F.replace(s, F.lit("-"), F.lit("")))
+    hexes = F.length(F.regexp_replace(s, "[^0-9a-fA-F]", ""))
+    return s.contains("-") & (solid >= 30) & ((hexes >= 30) | (hexes * 5 >= solid * 4))
 
 
 def looks_credential(c: Column) -> Column:
     s = tidy(c)
-    size = F.octet_length(s)
-    solid = F.regexp_replace(s, "-", "")
-    hexes = F.length(F.regexp_replace(solid, "[^0-9a-fA-F]", ""))
-    return (s.rlike("^[0-9a-fA-F]{8,}$")
-            | (s.contains("-") & (size >= 30) & (F.octet_length(solid) >= 30)
-               & ((hexes >= 30) | (hexes * 5 >= F.octet_length(solid) * 4)))
-            | ((size >= 32) & ~s.rlike(_FREE)))
+    return F.coalesce(_bytes(s).rlike(_CREDENTIAL), F.lit(False)) | _hyphenated_hex(s)
+
+
+def looks_private(s: Column) -> Column:
+    """Secret or credential; ``s`` is trimmed."""
+    return F.coalesce(_bytes(s).rlike(_SECRET + "|" + _CREDENTIAL), F.lit(False)) | _hyphenated_hex(s)
 
 
 def mask_token(c: Column) -> Column:
@@ -81,17 +83,16 @@ def mask_key(c: Column) -> Column:
         F.concat(F.substring(tidy(c), 1, 1), F.lit(MASK)))
 
 
-def _by_separator(value: Column, build, otherwise: Column) -> Column:
-    """Apply ``build(separator)`` for the first separator found in the value."""
-    out = None
-    for sep in SEPARATORS:
-        cond = value.contains(sep)
-        out = F.when(cond, build(sep)) if out is None else out.when(cond, build(sep))
-    return out.otherwise(otherwise)
+def name_parts(value: Column) -> Column:
+    """The value with its separator (the first kind it contains) replaced by the part mark."""
+    out = value
+    for sep in reversed(SEPARATORS):
+        out = F.when(value.contains(sep), F.replace(value, F.lit(sep), F.lit(_PART))).otherwise(out)
+    return out
 
 
-def _rejoin(c: Column, sep: str) -> Column:
-    return F.replace(c, F.lit(sep), F.lit(NAME_SEPARATOR)) if sep != NAME_SEPARATOR else c
+def _rejoin(parts: Column) -> Column:
+    return F.replace(parts, F.lit(_PART), F.lit(NAME_SEPARATOR))
 
 
 def last_part(c: Column, sep: str) -> Column:
@@ -99,75 +100,59 @@ def last_part(c: Column, sep: str) -> Column:
 
 
 def without_last(c: Column, sep: str) -> Column:
-    return F.substring(c, F.lit(1), F.length(c) - F.length(last_part(c, sep)) - F.lit(len(sep)))
-
-
-def _colon_parts(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(":"), F.lit(""))) + 1
+    return F.regexp_extract(c, "(?s)^(.*)" + sep, 1)
 
 
 def strip_credential(c: Column) -> Column:
     """Cut a trailing credential from a label."""
     v = tidy(c)
-    by_colon = F.when((_colon_parts(v) >= 3) & looks_credential(last_part(v, ":")),
-                      without_last(v, ":")).otherwise(v)
-
-    def cut(sep):
-        at_marker = "^(?s)(.*?)" + _escape(sep) + _MARKER + "(?:" + _escape(sep) + ".*)?$"
-        tail = last_part(v, sep)
-        return (F.when(v.rlike(at_marker), _rejoin(F.regexp_extract(v, at_marker, 1), sep))
-                .when(looks_credential(tail) | looks_secret(tail), _rejoin(without_last(v, sep), sep))
-                .otherwise(by_colon))
-
-    return F.when(v == "", F.lit("")).otherwise(_by_separator(v, cut, by_colon))
+    p = name_parts(v)
+    at_marker = f"(?s)^(.*?){_PART}{_MARKER}(?:{_PART}.*)?$"
+    return (F.when(p.rlike(at_marker), _rejoin(F.regexp_extract(p, at_marker, 1)))
+            .when(p.contains(_PART) & looks_private(tidy(last_part(p, _PART))), _rejoin(without_last(p, _PART)))
+            .when(v.rlike("(?s):.*:") & looks_credential(last_part(v, ":")), without_last(v, ":"))
+            .otherwise(v))
 
 
 def strip_own_key(label: Column, api_key: Column, auth_index: Column, auth_id: Column) -> Column:
     """``label`` is already stripped; also drop the caller key itself unless it is the credential."""
     key = tidy(api_key)
     foreign = (key != tidy(auth_index)) & (key != tidy(auth_id))
-
-    def cut(sep):
-        return F.when(tidy(last_part(label, sep)) == key, _rejoin(without_last(label, sep), sep)).otherwise(label)
-
+    p = name_parts(label)
     return (F.when((label == "") | (key == "") | ~foreign, label)
             .when(label == key, F.lit(""))
-            .otherwise(_by_separator(label, cut, label)))
+            .when(p.contains(_PART) & (tidy(last_part(p, _PART)) == key), _rejoin(without_last(p, _PART)))
+            .otherwise(label))
 
 
 def drop_leading(value: Column, leading: Column) -> Column:
     """Remove the first name part where it repeats ``leading``."""
-    def cut(sep):
-        head = F.substring_index(value, sep, 1)
-        rest = F.substring(value, F.length(head) + 1 + len(sep), F.length(value))
-        return F.when(tidy(head) == leading, _rejoin(rest, sep)).otherwise(value)
-
-    return F.when(leading == "", value).otherwise(_by_separator(value, cut, value))
+    p = name_parts(value)
+    repeats = p.contains(_PART) & (leading != "") & (tidy(F.substring_index(p, _PART, 1)) == leading)
+    return F.when(repeats, _rejoin(F.regexp_extract(p, f"(?s)^.*?{_PART}(.*)$", 1))).otherwise(value)
 
 
 def credential_identity(c: Column) -> Column:
     """The part of a label that names the credential, '' where there is none."""
     v = tidy(c)
-    colon_marker = "^(?s)(?:.*?:)??" + _MARKER + ":(.*)$"
-    by_colon = (F.when(v.rlike(colon_marker), F.regexp_extract(v, colon_marker, 1))
-                .when((_colon_parts(v) >= 3) & looks_credential(last_part(v, ":")), last_part(v, ":"))
-                .otherwise(F.lit("")))
-
-    def find(sep):
-        after_marker = "^(?s)(?:.*?" + _escape(sep) + ")??" + _MARKER + _escape(sep) + "(.*)$"
-        tail = last_part(v, sep)
-        return (F.when(v.rlike(after_marker), _rejoin(F.regexp_extract(v, after_marker, 1), sep))
-                .when(looks_credential(tail) | looks_secret(tail), tail)
-                .otherwise(by_colon))
-
-    return F.when(v == "", F.lit("")).otherwise(_by_separator(v, find, by_colon))
-
-
-def safe_identity(raw: Column, nested: Column | None = None) -> Column:
-    """Printable credential name; key-like names are masked."""
-    v = tidy(raw)
-    inner = tidy(credential_identity(v) if nested is None else nested)
-    name = F.when(inner != "", inner).otherwise(v)
+    p = name_parts(v)
+    after_marker = f"(?s)^(?:.*?{_PART})??{_MARKER}{_PART}(.*)$"
+    after_colon = f"(?s)^(?:.*?:)??{_MARKER}:(.*)$"
+    tail = last_part(p, _PART)
+    return (F.when(p.rlike(after_marker), _rejoin(F.regexp_extract(p, after_marker, 1)))
+            .when(p.contains(_PART) & looks_private(tidy(tail)), tail)
+            .when(v.rlike(after_colon), F.regexp_extract(v, after_colon, 1))
+            .when(v.rlike("(?s):.*:") & looks_credential(last_part(v, ":")), last_part(v, ":"))
+            .otherwise(F.lit("")))
+
+
+def prefer(inner: Column, outer: Column) -> Column:
+    """The nested identity where there is one."""
+    return F.when(tidy(inner) != "", tidy(inner)).otherwise(tidy(outer))
+
+
+def printable(name: Column) -> Column:
+    """Key-like names are masked."""
     return F.when(looks_secret(name), mask_token(name)).otherwise(name)
 
 

@@ -184,7 +184,8 @@ def csv_rows(rows: DataFrame, header: bool = True) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, gzip: bool = False) -> None:
-    out = csv_rows(sanitize_output(rows)).write.option("header", True).option("emptyValue", "")
+    out = csv_rows(sanitize_output(rows)).write.options(
+        header=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     (out.option("compression", "gzip") if gzip else out).csv(path)
 
 

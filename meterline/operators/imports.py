@@ -132,16 +132,24 @@ def enrich_metadata(facts: DataFrame, updates: DataFrame) -> DataFrame:
     return before.withColumns(new).drop("u_endpoint", "u_api_key", "u_api_key_hash", "u_stream").select(*facts.columns)
 
 
+def _with_plain(rows: DataFrame) -> DataFrame:
+    """Adds ``plain``: the credential name readable from the auth_id alone."""
+    out = rows.withColumn("plain", X.credential_identity(F.col("auth_id")))
+    out = out.withColumn("plain", X.prefer(F.col("plain"), F.col("auth_id")))
+    return out.withColumn("plain", X.printable(F.col("plain")))
+
+
 def learn_auth_index(rows: DataFrame, learned_from: DataFrame) -> DataFrame:
     """Latest real auth_index per auth_id fills rows that only carry the id."""
     c = F.col
     key = F.lower(tidy(c("auth_id")))
-    taught = learned_from.select(key.alias("auth_key"), tidy(c("auth_index")).alias("index"), "ts", "id",
-                                 X.safe_identity(c("auth_id")).alias("plain"))
-    taught = taught.where("auth_key <> '' and index <> '' and index <> plain")
-    latest = taught.groupBy("auth_key").agg(
-        F.max_by("index", F.struct(F.coalesce(ntz_to_micros(c("ts")), F.lit(-2**62)), "id")).alias("learned"))
-    bare = (tidy(c("auth_index")) == "") | (c("auth_index") == X.safe_identity(c("auth_id")))
-    out = rows.withColumn("auth_key", key).join(latest, "auth_key", "left")
+    index = tidy(c("auth_index"))
+    taught = _with_plain(learned_from).select(key.alias("auth_key"), index.alias("index"), "ts", "id", "plain")
+    # the test sits inside the aggregate: as a filter it would be pushed down and repeat the label expressions
+    real = (c("auth_key") != "") & (c("index") != "") & (c("index") != c("plain"))
+    when = F.struct(F.coalesce(ntz_to_micros(c("ts")), F.lit(-2**62)), c("id"))
+    latest = taught.groupBy("auth_key").agg(F.max_by(c("index"), F.when(real, when)).alias("learned"))
+    bare = (tidy(c("auth_index")) == "") | (c("auth_index") == c("plain"))
+    out = _with_plain(rows).withColumn("auth_key", key).join(latest, "auth_key", "left")
     return out.withColumn("auth_index", F.when(bare, F.coalesce(c("learned"), c("auth_index")))
-                          .otherwise(c("auth_index"))).drop("auth_key", "learned")
+                          .otherwise(c("auth_index"))).drop("auth_key", "learned", "plain")

@@ -194,5 +194,5 @@ def fallback_feed(facts: DataFrame) -> DataFrame:
     seen = F.coalesce(F.col("ts"), now()) + F.expr("INTERVAL 1 SECOND")
     off = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
                              (F.col("reasoning_tokens") % 4 - 2).cast("decimal(18,6)"))
-    return _feed(facts).where("id % 2 = 0").withColumn("ts", F.col("ts") + off).select(
-        *_FEED, F.lit("").alias("correlation_id"), seen.alias("observed_at"))
+    rows = _feed(facts).where("id % 2 = 0").withColumn("observed_at", seen)
+    return rows.withColumn("ts", F.col("ts") + off).select(*_FEED, F.lit("").alias("correlation_id"), "observed_at")

@@ -72,7 +72,9 @@ def _first_number(*cols: Column) -> Column:
 def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
     """One flat row per JSON line; unreadable lines are dropped."""
     c = F.col
-    df = lines.select(F.from_json(column, _MAP).alias("m")).where("m is not null and size(m) > 0")
+    # dropping unreadable lines inside the generator keeps the parse from being repeated by a filter
+    parsed = F.filter(F.array(F.from_json(column, _MAP)), lambda m: F.size(m) > 0)
+    df = lines.select(F.explode(parsed).alias("m"))
     df = df.withColumns({
         "d": F.from_json(F.coalesce(_get(c("m"), "detail"), _get(c("m"), "Detail")), _MAP),
         "f": F.from_json(F.coalesce(_get(c("m"), "failure"), _get(c("m"), "Failure")), _MAP),
