@@ -77,7 +77,7 @@ def norm_endpoint(raw: Column) -> Column:
     v = tidy(raw)
     method = "^(?i:" + "|".join(HTTP_METHODS) + r")\s+(\S+)"
     v = F.when(v.rlike(method), F.regexp_extract(v, method, 1)).otherwise(v)
-    url = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*)?|//[^/?#]*)(/[^?#]*)"
+    url = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*)?+|//[^/?#]*)(/[^?#]*)"
     path = F.try_url_decode(F.replace(F.regexp_extract(v, url, 1), F.lit("+"), F.lit("%2B")))
     v = tidy(F.when(v.rlike(url) & path.isNotNull(), path).otherwise(F.regexp_extract(v, "^([^?#]*)", 1)))
     v = F.when((v == "") | v.startswith("/"), v).otherwise(F.concat(F.lit("/"), v))

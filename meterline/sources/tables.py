@@ -169,7 +169,7 @@ def chunks(facts: DataFrame) -> DataFrame:
         F.when((F.col("id") % 5 == 0) & (idx == 1), F.lit(4)).otherwise(idx).alias("seq"),
         F.when(no_usage, F.lit(0)).otherwise(F.col("input_tokens") * idx).cast("bigint").alias("input_tokens"),
         F.when(no_usage, F.lit(0)).otherwise(F.col("output_tokens") * idx).cast("bigint").alias("output_tokens"),
-        "ts")
+        F.coalesce(F.col("ts"), now()).alias("at"))
 
 
 _FEED = ["id", "ts", "provider", "auth_id", "auth_index", "model", "api_key", "endpoint", "stream",

@@ -10,7 +10,6 @@ import os
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from meterline import session
 from meterline.functions.tokens import with_effective
@@ -74,110 +73,78 @@ def st_enrich(facts: DataFrame, updates: DataFrame, wait: str = "30 minutes") ->
 
 # --- stateful ------------------------------------------------------------------------------
 
-class SettleProcessor(StatefulProcessor):
-    """Latest usage of one stream; leaves on its terminal chunk or after a minute without any."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.best = handle.getValueState("best", "chunk_index int, seq int, input_tokens long, output_tokens long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        best = tuple(self.best.get()) if self.best.exists() else None
-        over = False
-        for pdf in rows:
-            for r in pdf.sort_values("seq").itertuples(index=False):
-                over = over or bool(r.terminal)
-                if (r.input_tokens or r.output_tokens) and (best is None or r.chunk_index >= best[0]):
-                    best = (int(r.chunk_index), int(r.seq), int(r.input_tokens), int(r.output_tokens))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if over:
-            self.best.clear()
-            if best is not None:
-                yield self._row(key, best)
-        elif best is not None:
-            self.best.update(best)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + STREAM_IDLE_SECONDS * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.best.exists():
-            best = tuple(self.best.get())
-            self.best.clear()
-            yield self._row(key, best)
-
-    def close(self) -> None:
-        pass
-
-    @staticmethod
-    def _row(key, best) -> pd.DataFrame:
-        return pd.DataFrame({"family": [key[0]], "auth": [key[1]], "caller": [key[2]], "correlation": [key[3]],
-                             "chunk_index": [best[0]], "input_tokens": [best[2]], "output_tokens": [best[3]]})
-
-
 SETTLED = ("family string, auth string, caller string, correlation string, chunk_index int, "
            "input_tokens long, output_tokens long")
+_OPEN_STREAM = "chunk_index int, input_tokens long, output_tokens long"
+
+
+def _settle(key, parts, state):
+    """Latest usage of one stream; leaves on its terminal chunk or after a minute of event time without any."""
+    best = state.get if state.exists else None
+    over, seen = state.hasTimedOut, 0
+    for pdf in parts:
+        pdf = pdf.sort_values("seq")
+        over, seen = over or bool(pdf["terminal"].any()), max(seen, int(pdf["at_ms"].max()))
+        for chunk, i, o in zip(pdf["chunk_index"], pdf["input_tokens"], pdf["output_tokens"]):
+            if (i or o) and (best is None or chunk >= best[0]):
+                best = (int(chunk), int(i), int(o))
+    if over:
+        if state.exists:
+            state.remove()
+        if best is not None:
+            yield pd.DataFrame([(*key, *best)], columns=["family", "auth", "caller", "correlation", "chunk_index",
+                                                         "input_tokens", "output_tokens"])
+    elif best is not None:
+        state.update(tuple(best))
+        state.setTimeoutTimestamp(max(seen + STREAM_IDLE_SECONDS * 1000, state.getCurrentWatermarkMs() + 1))
+
+
+def st_settle(chunks: DataFrame, late: str = "30 seconds") -> DataFrame:
+    """Settled usage per stream. ``chunks`` needs an event time ``at`` (never NULL)."""
+    rows = event_time(chunks.where("trim(correlation_id) <> ''"), "at").withWatermark("at", late)
+    keyed = rows.select(*D.stream_key(), "at", F.unix_millis("at").alias("at_ms"), "chunk_index", "terminal", "seq",
+                        "input_tokens", "output_tokens")
+    return (keyed.groupBy("family", "auth", "caller", "correlation")
+            .applyInPandasWithState(_settle, SETTLED, _OPEN_STREAM, "append", "EventTimeTimeout"))
 
 
-def st_settle(chunks: DataFrame) -> DataFrame:
-    keyed = chunks.where("trim(correlation_id) <> ''").select(*D.stream_key(), "chunk_index", "terminal", "seq", "input_tokens", "output_tokens")
-    return (keyed.groupBy("family", "auth", "caller", "correlation")
-            .transformWithStateInPandas(SettleProcessor(), SETTLED, "Append", "ProcessingTime"))
+_OPEN_ROWS = "natives string, fallbacks string"
 
 
-class ReconcileProcessor(StatefulProcessor):
-    """Open rows of one match key; pairs leave when found, lone rows when their time is over."""
+def _leave(natives, fallbacks, now):
+    """Rows that nothing can match from ``now`` on, as lone results."""
+    before = [(r, "native") for r in natives] + [(r, "fallback") for r in fallbacks]
+    C.expire(natives, fallbacks, now)
+    gone = [(r, how) for r, how in before if r not in (natives if how == "native" else fallbacks)]
+    return [(r[0], None, how, r[1]) if how == "native" else (None, r[0], how, r[1]) for r, how in gone]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "natives string, fallbacks string")
 
-    def handleInputRows(self, key, rows, timerValues):
-        natives, fallbacks = self._load()
-        out = []
-        pdf = pd.concat(list(rows))
-        for kind, row in C._rows(pdf):
-            out += self._expire(natives, fallbacks, row[1])
+def _reconcile(key, parts, state):
+    """Open rows of one match key; pairs leave when found, lone rows when their time is over."""
+    natives, fallbacks = [[tuple(r) for r in json.loads(p)] for p in state.get] if state.exists else ([], [])
+    out = []
+    if state.hasTimedOut:
+        out += _leave(natives, fallbacks, state.getCurrentWatermarkMs() * 1000)
+    else:
+        for kind, row in C._rows(pd.concat(list(parts))):
+            out += _leave(natives, fallbacks, row[1])
             hit = C.arrive(kind, row, natives, fallbacks)
             if hit:
-                out.append((hit[0][0], hit[1][0], hit[2]))
-        yield from self._save(natives, fallbacks, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        natives, fallbacks = self._load()
-        out = self._expire(natives, fallbacks, expiredTimerInfo.getExpiryTimeInMs() * 1000)
-        yield from self._save(natives, fallbacks, out)
-
-    def close(self) -> None:
-        pass
-
-    def _load(self):
-        if not self.open.exists():
-            return [], []
-        parts = self.open.get()
-        return [[tuple(r) for r in json.loads(p)] for p in parts]
-
-    @staticmethod
-    def _expire(natives, fallbacks, now):
-        before_n, before_f = list(natives), list(fallbacks)
-        C.expire(natives, fallbacks, now)
-        return ([(r[0], None, "native") for r in before_n if r not in natives]
-                + [(None, r[0], "fallback") for r in before_f if r not in fallbacks])
-
-    def _save(self, natives, fallbacks, out):
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if natives or fallbacks:
-            self.open.update((json.dumps(natives), json.dumps(fallbacks)))
-            ends = [n[1] + C.RECENT for n in natives] + [f[1] + C.HORIZON for f in fallbacks]
-            self.handle.registerTimer(min(ends) // 1000 + 1)
-        else:
-            self.open.clear()
-        pdf = pd.DataFrame(out, columns=["native_id", "fallback_id", "how"])
-        yield pdf.astype({"native_id": "Int64", "fallback_id": "Int64", "how": "string"})
+                out.append((hit[0][0], hit[1][0], hit[2], row[1]))
+    if natives or fallbacks:
+        state.update((json.dumps(natives), json.dumps(fallbacks)))
+        ends = [n[1] + C.RECENT for n in natives] + [f[1] + C.HORIZON for f in fallbacks]
+        state.setTimeoutTimestamp(max(min(ends) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
+    pdf = pd.DataFrame(out, columns=["native_id", "fallback_id", "how", "seen"])
+    yield pdf.astype({"native_id": "Int64", "fallback_id": "Int64", "how": "string"})
 
 
 def st_reconcile(native: DataFrame, fallback: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """(native_id, fallback_id, how): pairs, and lone rows once nothing can match them any more.
+    """(native_id, fallback_id, how, seen): pairs, and lone rows once nothing can match them any more.
+
+    ``seen`` is the time of observation that completed the pair, in microseconds.
 
     Works on observation time; input is expected in that order up to ``late``.
     """
@@ -187,8 +154,8 @@ def st_reconcile(native: DataFrame, fallback: DataFrame, late: str = "10 seconds
         s = C._slim(feed.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz")), kind)
         slim.append(s.withColumn("at", F.timestamp_micros("seen")))
     rows = slim[0].unionByName(slim[1]).withWatermark("at", late)
-    return rows.groupBy("key").transformWithStateInPandas(
-        ReconcileProcessor(), "native_id long, fallback_id long, how string", "Append", "EventTime")
+    return rows.groupBy("key").applyInPandasWithState(
+        _reconcile, "native_id long, fallback_id long, how string, seen long", _OPEN_ROWS, "append", "EventTimeTimeout")
 
 
 # --- writers -------------------------------------------------------------------------------
@@ -228,8 +195,10 @@ def drain(df: DataFrame, name: str, mode: str = "append", by_batch: bool = False
     """Run over all input present and return what was written (a table in the shared folder)."""
     spark = df.sparkSession
     path, checkpoint = session.fresh_path(spark, name), session.fresh_path(spark, name + "-offsets")
-    old = {k: spark.conf.get(k, None) for k in (conf or {})}
-    for k, v in (conf or {}).items():
+    # the number of state partitions is fixed for the life of a query: one per core
+    conf = {"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)} | (conf or {})
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         if by_batch:
