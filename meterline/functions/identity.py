@@ -32,12 +32,19 @@ def _starts(c: Column, prefixes) -> Column:
     return out
 
 
+_OPENAI = "^(?:" + "|".join(OPENAI_NAMES) + ")$|^(?:" + "|".join(OPENAI_PREFIXES) + ")"
+_CLAUDE = "^(?:" + "|".join(CLAUDE_NAMES) + ")(?:-|$)"
+_GEMINI = "^(?:" + "|".join(GEMINI_NAMES) + ")$|^(?:" + "|".join(p.replace(".", "[.]") for p in GEMINI_PREFIXES) + ")"
+
+
+def is_claude(provider: Column) -> Column:
+    return F.lower(tidy(provider)).rlike(_CLAUDE)
+
+
 def provider_family(provider: Column) -> Column:
     v = F.lower(tidy(provider))
-    return (F.when(v.isin(OPENAI_NAMES) | _starts(v, OPENAI_PREFIXES), F.lit("openai-compatible"))
-            .when(v.isin(CLAUDE_NAMES) | _starts(v, [n + "-" for n in CLAUDE_NAMES]), F.lit("claude"))
-            .when(v.isin(GEMINI_NAMES) | _starts(v, GEMINI_PREFIXES), F.lit("gemini"))
-            .otherwise(v))
+    return (F.when(v.rlike(_OPENAI), F.lit("openai-compatible")).when(v.rlike(_CLAUDE), F.lit("claude"))
+            .when(v.rlike(_GEMINI), F.lit("gemini")).otherwise(v))
 
 
 def provider_from_auth(auth_id: Column) -> Column:

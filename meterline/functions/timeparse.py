@@ -43,21 +43,35 @@ def norm_time(raw: Column) -> Column:
     return F.when(v.rlike(_RFC3339), wall).otherwise(number_to_ntz(v.try_cast("double")))
 
 
-def norm_duration(raw: Column, unit_nanos: int = 1) -> Column:
+_UNITS = "|".join(sorted(UNIT_NANOS, key=len, reverse=True))
+_PIECE = rf"(\d+\.?\d*|\.\d+)({_UNITS})"
+_DURATION = rf"^[+-]?(?:{_PIECE})+$"
+_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+
+
+def is_time(raw: Column) -> Column:
+    """Readable as a time other than zero."""
+    return raw.rlike(_RFC3339) | (raw.rlike(_NUMBER) & raw.rlike("[1-9]"))
+
+
+def is_duration(raw: Column) -> Column:
+    """Readable as a duration other than zero."""
+    return raw.rlike("[1-9]") & raw.rlike(_DURATION + "|" + _NUMBER)
+
+
+def norm_duration(raw: Column, unit_nanos: int | Column = 1) -> Column:
     """Duration text such as 1h2m3.5s, or a number of units, as nanoseconds (0 when unreadable)."""
     v = tidy(raw)
-    units = "|".join(sorted(UNIT_NANOS, key=len, reverse=True))
-    piece = rf"(\d+\.?\d*|\.\d+)({units})"
-    whole = rf"^[+-]?(?:{piece})+$"
     factor = F.create_map(*[F.lit(x) for kv in UNIT_NANOS.items() for x in kv])
-    counts = F.regexp_extract_all(v, F.lit(piece), F.lit(1))
-    names = F.regexp_extract_all(v, F.lit(piece), F.lit(2))
+    counts = F.regexp_extract_all(v, F.lit(_PIECE), F.lit(1))
+    names = F.regexp_extract_all(v, F.lit(_PIECE), F.lit(2))
     total = F.aggregate(
         F.transform(counts, lambda n, i: n.cast("double") * F.element_at(factor, F.get(names, i))),
         F.lit(0.0), lambda a, x: a + x)
     sign = F.when(v.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
-    number = v.try_cast("double") * float(unit_nanos)
-    nanos = F.when(v.rlike(whole), total * sign).otherwise(
+    unit = unit_nanos if isinstance(unit_nanos, Column) else F.lit(float(unit_nanos))
+    number = v.try_cast("double") * unit
+    nanos = F.when(v.rlike(_DURATION), total * sign).otherwise(
         F.when(~F.isnan(number) & (F.abs(number) != float("inf")), F.round(number)))
     return F.coalesce(nanos.cast("bigint"), F.lit(0).cast("bigint"))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterline.functions.identity import provider_family
+from meterline.functions.identity import is_claude
 from meterline.functions.text import tidy
 
 
@@ -11,10 +11,6 @@ def clamp(c: Column) -> Column:
     return F.greatest(c, F.lit(0).cast("bigint"))
 
 
-def is_claude(provider: Column) -> Column:
-    return provider_family(provider) == "claude"
-
-
 def cache_read(cached: Column, cache: Column, cache_write: Column) -> Column:
     return F.when(cached > 0, cached).otherwise(clamp(clamp(cache) - clamp(cache_write)))
 

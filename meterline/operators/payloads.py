@@ -109,7 +109,9 @@ def decode_payload_usage(bodies: DataFrame, stream_mode: Column, body: str = "bo
 
     per_doc = F.flatten(F.transform("_json", candidates))
     scored = F.transform(per_doc, lambda u, i: F.struct(_score(u).alias("score"), i.alias("place"), u.alias("usage")))
-    parsed = parsed.withColumn("_best", F.array_max(F.filter(scored, lambda s: s["score"] > 0)))
+    # bodies without usage leave through the generator: a filter would be pushed down and decode twice
+    best = F.array_max(F.filter(scored, lambda s: s["score"] > 0))
+    parsed = parsed.select("*", F.explode(F.filter(F.array(best), lambda b: b.isNotNull())).alias("_best"))
 
     def names(doc: Column, fields) -> list:
         return [spot[n] for spot in (doc, doc["response"], doc["message"]) for n in fields]
@@ -119,7 +121,7 @@ def decode_payload_usage(bodies: DataFrame, stream_mode: Column, body: str = "bo
     models = F.transform("_docs", lambda d: first_text(
         F.get_json_object(d, "$.model"), F.get_json_object(d, "$.response.model"), F.get_json_object(d, "$.message.model")))
     models = F.filter(models, lambda x: x != "")
-    out = parsed.where("_best is not null").withColumns({
+    out = parsed.withColumns({
         "decoded_model": F.coalesce(F.get(models, F.lit(0)), F.lit("")),
         "decoded_id": F.coalesce(F.get(ids, F.lit(0)), F.lit("")),
         **{n: F.col("_best.usage." + n) for n in USAGE},

@@ -28,19 +28,23 @@ HORIZON = PENDING + LATE  # nothing older can still be matched
 HOT_ROWS = 50000  # keys with more rows are cut into time chunks of about this size
 
 
+def has_tokens() -> Column:
+    c = F.col
+    return ((c("input_tokens") != 0) | (c("output_tokens") != 0) | (c("cache_read_tokens") != 0)
+            | (c("cache_creation_tokens") != 0))
+
+
 def match_key() -> Column:
-    """'' for rows without tokens: they are never matched."""
+    """Who answered, which model, how many tokens. Rows without tokens are never matched."""
     c = F.col
     family = I.provider_family(c("provider"))
     auth = F.lower(tidy(c("auth_id")))
     who = F.when((auth != "") & (I.provider_from_auth(auth) == ""), F.concat(F.lit("auth:"), auth)).otherwise(family)
     extra = c("cache_read_tokens") + c("cache_creation_tokens")
-    inp = c("input_tokens") + F.when(family == "claude", extra).otherwise(F.lit(0))
+    inp = c("input_tokens") + F.when(I.is_claude(c("provider")), extra).otherwise(F.lit(0))
     out = c("output_tokens")
-    has_tokens = (c("input_tokens") != 0) | (out != 0) | (c("cache_read_tokens") != 0) | (c("cache_creation_tokens") != 0)
-    key = F.concat_ws("\u001f", who, F.lower(tidy(c("model"))), inp.cast("string"), out.cast("string"),
-                      (inp + out).cast("string"))
-    return F.when(has_tokens, key).otherwise(F.lit(""))
+    return F.concat_ws("\u001f", who, F.lower(tidy(c("model"))), inp.cast("string"), out.cast("string"),
+                       (inp + out).cast("string"))
 
 
 def _caller() -> Column:
@@ -52,10 +56,10 @@ def _slim(feed: DataFrame, kind: int) -> DataFrame:
     """Only what matching needs. Rows without a request time count as seen-time rows (NULL ts_us)."""
     if "alias" in feed.columns:
         feed = feed.withColumn("model", first_text(F.col("alias"), F.col("model")))
-    return feed.select(
+    return feed.where(has_tokens()).select(
         match_key().alias("key"), F.lit(kind).alias("kind"), "id",
         ntz_to_micros(F.col("observed_at")).alias("seen"), ntz_to_micros(F.col("ts")).alias("asked"),
-        _caller().alias("caller"), tidy(F.col("correlation_id")).alias("corr")).where("key <> ''")
+        _caller().alias("caller"), tidy(F.col("correlation_id")).alias("corr"))
 
 
 # --- matching inside one bounded group -----------------------------------------------------
@@ -201,7 +205,7 @@ def match_feeds(native: DataFrame, fallback: DataFrame, hot_rows: int = HOT_ROWS
     per_key = rows.groupBy("key").agg(
         F.count_if(c("kind") == 0).alias("natives"), F.count_if(c("kind") == 1).alias("fallbacks"),
         F.min(F.when(c("kind") == 0, body)).alias("n"), F.min(F.when(c("kind") == 1, body)).alias("f"))
-    both = per_key.where("natives > 0 and fallbacks > 0")
+    both = session.checkpoint(per_key.where("natives > 0 and fallbacks > 0"))
 
     single = both.where("natives = 1 and fallbacks = 1")
     n, f = c("n"), c("f")
@@ -220,7 +224,7 @@ def match_feeds(native: DataFrame, fallback: DataFrame, hot_rows: int = HOT_ROWS
     crowded = both.where("natives > 1 or fallbacks > 1").select("key", (c("natives") + c("fallbacks")).alias("size"))
     small = rows.join(crowded.where(c("size") <= hot_rows).select("key"), "key", "left_semi")
     pairs = direct.unionByName(small.groupBy("key").applyInPandas(_match_group, _PAIRS))
-    hot = session.checkpoint(crowded.where(c("size") > hot_rows).select("key"))
+    hot = crowded.where(c("size") > hot_rows).select("key")
     if not hot.isEmpty():
         pairs = pairs.unionByName(_match_hot(session.checkpoint(rows.join(hot, "key", "left_semi")), hot_rows))
     return pairs
@@ -246,7 +250,7 @@ def reconcile_feeds(native: DataFrame, fallback: DataFrame, hot_rows: int = HOT_
     Natives always count unless a counted fallback met them late; fallbacks count when unmatched or
     when matched late. Either way the other row only adds missing metadata.
     """
-    pairs = match_feeds(native, fallback, hot_rows) if pairs is None else pairs
+    pairs = session.checkpoint(match_feeds(native, fallback, hot_rows)) if pairs is None else pairs
     early, late = pairs.where("how <> 'late'"), pairs.where("how = 'late'")
     for_native = early.join(_extra(fallback, "fallback_id"), "fallback_id").drop("fallback_id")
     for_fallback = late.join(_extra(native, "native_id"), "native_id").drop("native_id")

@@ -128,7 +128,7 @@ def _pairs(facts):
   FROM requests WHERE input_tokens <> 0 OR output_tokens <> 0""")
 def match_key(facts):
     rows = facts.withColumns({"cache_read_tokens": c("cached_tokens"), "cache_creation_tokens": c("cache_write_tokens")})
-    return rows.select("id", C.match_key().alias("match_key")).where("match_key <> ''")
+    return rows.where(C.has_tokens()).select("id", C.match_key().alias("match_key"))
 
 
 facts_query("match_feeds", f"{B.REQ}, {_FEEDS} SELECT native_id, fallback_id, 'recent' AS how FROM pr")(_pairs)

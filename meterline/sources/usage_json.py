@@ -49,64 +49,80 @@ DETAIL_FIELDS = {
 }
 # --- end of fixed values -------------------------------------------------------------------
 
-_MAP = "map<string,string>"
+# Names that differ only in case cannot share a schema, so lines are read with two of them;
+# the few names that collide even then are read as a map, and only where a line holds one.
+_RARE = ["baseUrl", "BaseUrl", "ResponseId", "RequestId", "Streaming"]
 _NESTED = ["prompt_tokens_details", "input_tokens_details", "completion_tokens_details"]
+_BAD = "_unreadable"
 
 
-def _get(m: Column, key: str) -> Column:
-    return F.try_element_at(m, F.lit(key))
+def _is_pascal(name: str) -> bool:
+    return name[0].isupper()
 
 
-def _texts(m: Column, keys) -> Column:
-    return X.first_text(*[_get(m, k) for k in keys])
+def _schema(pascal: bool) -> str:
+    """All leaves as text: numbers, flags and times come in either form."""
+    def leaves(names):
+        return [f"{n}:string" for n in dict.fromkeys(names) if n not in _RARE and _is_pascal(n) == pascal]
 
-
-def _number(c: Column) -> Column:
-    return c.try_cast("bigint")
+    flat = [n for group in (*TEXT_FIELDS.values(), *FLAG_FIELDS.values(), TIME_FIELDS, *DURATION_FIELDS.values()) for n in group]
+    paths = [p for group in DETAIL_FIELDS.values() for p in group]
+    detail = leaves(p for p in paths if "." not in p)
+    if not pascal:
+        for n in _NESTED:
+            inner = dict.fromkeys(p.split(".")[1] for p in paths if p.startswith(n + "."))
+            detail.append(f"{n}:struct<" + ",".join(f"{x}:string" for x in inner) + ">")
+    failure = "StatusCode:string,Body:string" if pascal else "status_code:string,body:string"
+    names = {"detail": "Detail", "failure": "Failure", "response_headers": "ResponseHeaders"} if pascal else {}
+    return "struct<" + ",".join(leaves(flat) + [
+        f"{names.get('detail', 'detail')}:struct<{','.join(detail)}>", f"{names.get('failure', 'failure')}:struct<{failure}>",
+        f"{names.get('response_headers', 'response_headers')}:map<string,array<string>>", f"{_BAD}:string"]) + ">"
 
 
 def _first_number(*cols: Column) -> Column:
-    return F.coalesce(*[F.nullif(_number(c), F.lit(0).cast("bigint")) for c in cols], F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    return F.coalesce(*[F.nullif(c.try_cast("bigint"), zero) for c in cols], zero)
 
 
 def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
     """One flat row per JSON line; unreadable lines are dropped."""
     c = F.col
+    options = {"columnNameOfCorruptRecord": _BAD}
     # dropping unreadable lines inside the generator keeps the parse from being repeated by a filter
-    parsed = F.filter(F.array(F.from_json(column, _MAP)), lambda m: F.size(m) > 0)
-    df = lines.select(F.explode(parsed).alias("m"))
-    df = df.withColumns({
-        "d": F.from_json(F.coalesce(_get(c("m"), "detail"), _get(c("m"), "Detail")), _MAP),
-        "f": F.from_json(F.coalesce(_get(c("m"), "failure"), _get(c("m"), "Failure")), _MAP),
-        "h": F.from_json(F.coalesce(_get(c("m"), "response_headers"), _get(c("m"), "ResponseHeaders")),
-                         "map<string,array<string>>"),
-    })
-    df = df.withColumns({"n_" + n: F.from_json(_get(c("d"), n), _MAP) for n in _NESTED})
+    good = F.filter(F.array(F.from_json(column, _schema(False), options)), lambda r: r[_BAD].isNull())
+    rare = F.when(c(column).rlike('"(?:' + "|".join(_RARE) + ')"'), F.from_json(column, "map<string,string>"))
+    df = lines.select(column, F.explode(good).alias("s")).select(
+        "s", F.from_json(column, _schema(True)).alias("p"), rare.alias("r"))
+
+    def get(name: str) -> Column:
+        return F.try_element_at("r", F.lit(name)) if name in _RARE else c(("p." if _is_pascal(name) else "s.") + name)
 
     def detail(path: str) -> Column:
-        head, _, leaf = path.partition(".")
-        return _get(c("n_" + head), leaf) if leaf else _get(c("d"), path)
+        return c(("p.Detail." if _is_pascal(path) else "s.detail.") + path)
 
     def flag(keys) -> Column:
         out = F.lit(False)
         for k in keys:
-            out = out | F.coalesce(_get(c("m"), k) == "true", F.lit(False))
+            out = out | F.coalesce(get(k) == "true", F.lit(False))
         return out
 
     def duration(keys) -> Column:
-        zero = F.lit(0).cast("bigint")
-        return F.coalesce(*[F.nullif(P.norm_duration(_get(c("m"), k), 1000000 if k.lower().endswith("ms") else 1), zero)
-                            for k in keys], zero)
+        """(text, unit) of the first key that holds a duration."""
+        return F.coalesce(*[F.when(P.is_duration(tidy(get(k))), F.struct(
+            get(k).alias("raw"), F.lit(1e6 if k.lower().endswith("ms") else 1.0).alias("unit"))) for k in keys])
 
-    cols = {name: _texts(c("m"), keys) for name, keys in TEXT_FIELDS.items()}
+    cols = {name: X.first_text(*[get(k) for k in keys]) for name, keys in TEXT_FIELDS.items()}
     cols |= {name: flag(keys) for name, keys in FLAG_FIELDS.items()}
-    cols["requested_at"] = F.coalesce(*[P.norm_time(_get(c("m"), k)) for k in TIME_FIELDS])
-    cols |= {name + "_ms": (duration(keys) / 1000000).cast("bigint") for name, keys in DURATION_FIELDS.items()}
-    cols["status_code"] = _first_number(_get(c("f"), "status_code"), _get(c("f"), "StatusCode")).cast("int")
-    cols["failure_body"] = F.coalesce(F.nullif(_get(c("f"), "body"), F.lit("")), _get(c("f"), "Body"), F.lit(""))
+    cols["requested_at"] = F.coalesce(*[F.when(P.is_time(tidy(get(k))), get(k)) for k in TIME_FIELDS])
+    cols |= {name: duration(keys) for name, keys in DURATION_FIELDS.items()}
+    cols["status_code"] = _first_number(c("s.failure.status_code"), c("p.Failure.StatusCode")).cast("int")
+    cols["failure_body"] = F.coalesce(F.nullif(c("s.failure.body"), F.lit("")), c("p.Failure.Body"), F.lit(""))
     cols |= {name: _first_number(*[detail(p) for p in keys]) for name, keys in DETAIL_FIELDS.items()}
-    cols["response_headers"] = c("h")
-    return df.select(*[v.alias(k) for k, v in cols.items()])
+    cols["response_headers"] = F.coalesce(c("s.response_headers"), c("p.ResponseHeaders"))
+    flat = df.select(*[v.alias(k) for k, v in cols.items()])
+    return flat.withColumn("requested_at", P.norm_time(c("requested_at"))).withColumns({
+        name + "_ms": (P.norm_duration(c(name + ".raw"), c(name + ".unit")) / 1000000).cast("bigint")
+        for name in DURATION_FIELDS}).drop(*DURATION_FIELDS)
 
 
 def read_usage(spark: SparkSession, path: str) -> DataFrame:
