@@ -79,17 +79,18 @@ def norm_model(model: Column) -> Column:
     return F.coalesce(F.nullif(tidy(model), F.lit("")), F.lit(UNKNOWN_MODEL))
 
 
+_METHOD = "^(?i:" + "|".join(HTTP_METHODS) + r")\s+(\S+)"
+_URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*)?+|//[^/?#]*)(/[^?#]*)"
+
+
 def norm_endpoint(raw: Column) -> Column:
     """Reduce a route, path or URL to its path."""
-    v = tidy(raw)
-    method = "^(?i:" + "|".join(HTTP_METHODS) + r")\s+(\S+)"
-    v = F.when(v.rlike(method), F.regexp_extract(v, method, 1)).otherwise(v)
-    url = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*)?+|//[^/?#]*)(/[^?#]*)"
-    path = F.try_url_decode(F.replace(F.regexp_extract(v, url, 1), F.lit("+"), F.lit("%2B")))
-    v = tidy(F.when(v.rlike(url) & path.isNotNull(), path).otherwise(F.regexp_extract(v, "^([^?#]*)", 1)))
-    v = F.when((v == "") | v.startswith("/"), v).otherwise(F.concat(F.lit("/"), v))
-    v = F.rtrim(v, F.lit("/"))
-    return F.when(v == "/responses", F.lit("/v1/responses")).otherwise(v)
+    v = F.regexp_replace(tidy(raw), "(?s)" + _METHOD + ".*$", "$1")
+    # only the path of a URL is percent-decoded; '+' stays itself
+    path = F.try_url_decode(F.replace(F.regexp_extract(v, _URL, 1), F.lit("+"), F.lit("%2B")))
+    cut = F.regexp_replace(v, "(?s)[?#].*$", "")
+    v = F.rtrim(F.regexp_replace(tidy(F.coalesce(F.when(v.rlike(_URL), path), cut)), "^(?=[^/])", "/"), F.lit("/"))
+    return F.regexp_replace(v, "^/responses$", "/v1/responses")
 
 
 def infer_endpoint(raw: Column, *identities: Column) -> Column:

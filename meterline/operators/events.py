@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterline import session
 from meterline.functions import text as X
 from meterline.functions import timeparse as P
 from meterline.functions import tokens as K
@@ -150,7 +151,7 @@ def cap_overflow(facts: DataFrame, n: int) -> DataFrame:
     ts, at = F.col("ts"), F.col("edge_ts")
     older = F.when(at.isNull(), ts.isNull() & (F.col("id") < F.col("edge_id"))).otherwise(
         ts.isNull() | (ts < at) | ((ts == at) & (F.col("id") < F.col("edge_id"))))
-    return facts.join(edge, ["api", "model"]).where(older).drop("edge_ts", "edge_id")
+    return session.join_small(facts, edge, ["api", "model"]).where(older).drop("edge_ts", "edge_id")
 
 
 # --- exports -------------------------------------------------------------------------------

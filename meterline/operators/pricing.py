@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterline import session
 from meterline.functions import tokens as K
 from meterline.functions.text import tidy
 from meterline.operators import rollup as R
@@ -37,11 +38,16 @@ def price_lookup(pairs: DataFrame, manual: DataFrame, catalog: DataFrame) -> Dat
             .select("model", "provider", "b.*"))
 
 
-def with_cost(rows: DataFrame, manual: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Rows with (model, provider) and token sums get ``micro_cost`` (exact decimal)."""
+def with_cost(rows: DataFrame, manual: DataFrame, catalog: DataFrame, single_rows: bool = False) -> DataFrame:
+    """Rows with (model, provider) and token sums get ``micro_cost`` (exact decimal).
+
+    ``single_rows`` says the rows are facts, not a rollup: the price list is then counted first and,
+    while small, broadcast, so that the facts are not shuffled.
+    """
     c = F.col
     priced = price_lookup(rows, manual, catalog).drop("matched_key", "tier")
-    out = rows.join(priced, ["model", "provider"], "left")
+    join = session.join_small if single_rows else DataFrame.join
+    out = join(rows, priced, ["model", "provider"], "left")
     cost = K.micro_cost(c("provider"), c("input_tokens"), c("output_tokens"), c("cache_read_tokens"),
                         c("cache_write_tokens"), c("total_tokens"), *[c(p) for p in PRICE_COLUMNS])
     return out.withColumn("micro_cost", cost).drop(*PRICE_COLUMNS)
@@ -51,7 +57,7 @@ def cost_rows(facts: DataFrame, manual: DataFrame, catalog: DataFrame) -> DataFr
     """Cost of every single request."""
     m = R.row_measures()
     rows = R.prepared(facts).select("id", "model", "provider", *[m[n].alias(n) for n in R.TOKENS])
-    return with_cost(rows, manual, catalog).select("id", "model", "provider", K.dollars(F.col("micro_cost"), 9).alias("cost"))
+    return with_cost(rows, manual, catalog, True).select("id", "model", "provider", K.dollars(F.col("micro_cost"), 9).alias("cost"))
 
 
 def sum_cost(priced: DataFrame, keys: list) -> DataFrame:

@@ -279,10 +279,10 @@ def st_settle(spark, facts):
 _SEEN = "TIMESTAMP '2024-01-29 00:00:00'"
 
 
-@stream_query("st_reconcile", f"""{B.REQ}, {_FEEDS}, b AS (SELECT id, ts AS base FROM requests WHERE ts < {_SEEN} - INTERVAL 1 SECOND)
-  SELECT native_id, fallback_id, 'recent' AS how, epoch_us(base) + 1000000 AS seen FROM pr JOIN b ON b.id = pr.native_id
-  UNION ALL SELECT nat.id, -1, 'native', epoch_us(base) FROM nat JOIN b ON b.id = nat.id WHERE nat.id NOT IN (SELECT native_id FROM pr)
-  UNION ALL SELECT -1, fal.id, 'fallback', epoch_us(base) + 1000000 FROM fal JOIN b ON b.id = fal.id WHERE fal.id NOT IN (SELECT fallback_id FROM pr)""")
+@stream_query("st_reconcile", f"""{B.REQ}, {_FEEDS}, bs AS (SELECT id, ts AS base FROM requests WHERE ts < {_SEEN} - INTERVAL 1 SECOND)
+  SELECT native_id, fallback_id, 'recent' AS how, epoch_us(base) + 1000000 AS seen FROM pr JOIN bs ON bs.id = pr.native_id
+  UNION ALL SELECT nat.id, -1, 'native', epoch_us(base) FROM nat JOIN bs ON bs.id = nat.id WHERE nat.id NOT IN (SELECT native_id FROM pr)
+  UNION ALL SELECT -1, fal.id, 'fallback', epoch_us(base) + 1000000 FROM fal JOIN bs ON bs.id = fal.id WHERE fal.id NOT IN (SELECT fallback_id FROM pr)""")
 def st_reconcile(spark, facts):
     """Pairs and lone rows; the check leaves out the last days, whose lone rows may still wait."""
     out = J.drain(J.st_reconcile(S.native_feed(facts), S.fallback_feed(facts)), "reconcile", conf=J.ROCKS)

@@ -4,7 +4,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -43,3 +43,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage reliably (survives lost executors)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 500000
+
+
+def join_small(left: DataFrame, right: DataFrame, on: list, how: str = "inner") -> DataFrame:
+    """Join with a side that is usually small: counted first, broadcast only up to a row limit.
+
+    Within the limit the large side keeps its partitions, so a hot key cannot pile up in one task;
+    beyond it Spark shuffles both sides and AQE splits the skewed partitions.
+    """
+    right = checkpoint(right)
+    return left.join(functions.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
