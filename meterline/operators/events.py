@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterline import session
 from meterline.functions import text as X
@@ -12,7 +13,7 @@ from meterline.operators import filters as Q
 from meterline.operators import rollup as R
 from meterline.functions import identity as I
 from meterline.schema import (CSV_HEADER, ERRORS_DEFAULT, ERRORS_MAX, PAGE_DEFAULT, PAGE_MAX, RECENT_DEFAULT,
-                              RECENT_MAX, STATUS_FAILED, STATUS_OK, UNKNOWN_FAILURE, UNKNOWN_SOURCE)
+                              RECENT_MAX, REQUESTS, STATUS_FAILED, STATUS_OK, UNKNOWN_FAILURE, UNKNOWN_SOURCE)
 
 
 def newest_first() -> list:
@@ -208,5 +209,10 @@ def write_facts(rows: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy("local_day").parquet(path))
 
 
+def partitioned_schema(facts: DataFrame) -> T.StructType:
+    return T.StructType([*facts.schema, T.StructField("local_day", T.StringType())])
+
+
 def scan_facts(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Facts as stored; filters on local_day prune folders."""
+    return spark.read.schema(T.StructType([*REQUESTS, T.StructField("local_day", T.StringType())])).parquet(path)

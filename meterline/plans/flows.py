@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from meterline import session
+from meterline.operators import events
 from meterline.operators import imports as M
 from meterline.operators import maintain as A
 from meterline.operators import payloads as D
@@ -229,13 +230,13 @@ def stream_query(name: str, sql: str | None = None):
 @stream_query("st_health", f"""{B.REQ} SELECT CAST(floor(epoch_us(ts) / 900000000) AS BIGINT) * 900 AS slot_start, count(*) FILTER (WHERE NOT failed) AS success,
   count(*) FILTER (WHERE failed) AS failure FROM requests WHERE ts IS NOT NULL GROUP BY 1""")
 def st_health(spark, facts):
-    return J.drain(J.st_health(facts), "health", "complete", by_batch=True).drop("batch")
+    return J.drain(J.st_health(facts), "health", ["slot_start"])
 
 
 @stream_query("st_series_hour", f"""{B.FACTS} SELECT CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) * 3600 AS hour_start, model, provider,
   {B.d_sums(['requests', *R.TOKENS])} FROM m WHERE ts IS NOT NULL GROUP BY 1, 2, 3""")
 def st_series_hour(spark, facts):
-    return J.drain(J.st_series_hour(facts), "hours", "complete", by_batch=True).drop("batch")
+    return J.drain(J.st_series_hour(facts), "hours", ["hour_start", "model", "provider"])
 
 
 @stream_query("st_rollup", B.d_by({"api": "api", "model": "model", "day": "day"}))
@@ -249,7 +250,7 @@ def st_rollup(spark, facts):
 def st_append(spark, facts):
     path = session.fresh_path(spark, "append")
     J.st_append(facts, path, session.fresh_path(spark, "append-offsets")).awaitTermination()
-    rows = spark.read.schema(facts.schema.add("local_day", "string")).parquet(path)
+    rows = spark.read.schema(events.partitioned_schema(facts)).parquet(path)
     return rows.groupBy("local_day").agg(F.count(F.lit(1)).alias("requests"), F.sum("total_tokens").alias("tokens"))
 
 

@@ -147,7 +147,7 @@ facts_query("prune_retention", f"{B.REQ} SELECT CASE WHEN ts IS NULL OR ts >= {B
 def sink_requests(facts):
     path = session.fresh_path(facts.sparkSession, "facts")
     E.write_facts(facts, path)
-    back = facts.sparkSession.read.option("basePath", path).schema(facts.schema.add("local_day", "string")).parquet(path)
+    back = facts.sparkSession.read.option("basePath", path).schema(E.partitioned_schema(facts)).parquet(path)
     return back.groupBy("local_day").agg(F.count(F.lit(1)).alias("requests"), F.sum("latency_ms").alias("latency"))
 
 

@@ -10,6 +10,7 @@ import os
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterline import session
 from meterline.functions.tokens import with_effective
@@ -83,6 +84,8 @@ def _settle(key, parts, state):
     best = state.get if state.exists else None
     over, seen = state.hasTimedOut, 0
     for pdf in parts:
+        if pdf.empty:  # a timeout comes with no rows
+            continue
         pdf = pdf.sort_values("seq")
         over, seen = over or bool(pdf["terminal"].any()), max(seen, int(pdf["at_ms"].max()))
         for chunk, i, o in zip(pdf["chunk_index"], pdf["input_tokens"], pdf["output_tokens"]):
@@ -191,8 +194,12 @@ def compact_rollup(spark: SparkSession, path: str, out: str, up_to: int) -> None
 
 # --- running a job to the end of its input --------------------------------------------------
 
-def drain(df: DataFrame, name: str, mode: str = "append", by_batch: bool = False, conf: dict | None = None) -> DataFrame:
-    """Run over all input present and return what was written (a table in the shared folder)."""
+def drain(df: DataFrame, name: str, keys: list | None = None, conf: dict | None = None) -> DataFrame:
+    """Run over all input present and return what was written (a table in the shared folder).
+
+    With ``keys`` the job runs in update mode: each batch writes the groups it changed into its own
+    folder, and the newest version of each group is returned.
+    """
     spark = df.sparkSession
     path, checkpoint = session.fresh_path(spark, name), session.fresh_path(spark, name + "-offsets")
     # the number of state partitions is fixed for the life of a query: one per core
@@ -200,20 +207,25 @@ def drain(df: DataFrame, name: str, mode: str = "append", by_batch: bool = False
     old = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
+
     try:
-        if by_batch:
-            def write(batch: DataFrame, batch_id: int) -> None:
-                batch.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
-            q = (df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
-                 .trigger(availableNow=True).start())
+        out = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        if keys:
+            q = out.foreachBatch(write).outputMode("update").start()
         else:
-            q = (df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-                 .outputMode(mode).trigger(availableNow=True).start())
+            q = out.format("parquet").option("path", path).outputMode("append").start()
         q.awaitTermination()
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.parquet(path)
+    if not keys:
+        return spark.read.schema(df.schema).parquet(path)
+    rows = spark.read.schema(T.StructType([*df.schema, T.StructField("batch", T.LongType())])).parquet(path)
+    newest = F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "batch").alias("v")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "v.*")
 
 
 ROCKS = {"spark.sql.streaming.stateStore.providerClass": session.ROCKSDB}
