@@ -199,6 +199,7 @@ def match_feeds(native: DataFrame, fallback: DataFrame, hot_rows: int = HOT_ROWS
     Keys are counted first. Keys seen by one feed only need no work; a single native beside a single
     fallback is decided by expressions; small groups are resolved in pandas; hot keys in chunks.
     """
+    session.ship(native.sparkSession)
     c = F.col
     rows = _slim(native, 0).unionByName(_slim(fallback, 1))
     body = F.struct("id", "seen", "asked", "caller", "corr")

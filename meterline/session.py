@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions
 
@@ -56,3 +57,20 @@ def join_small(left: DataFrame, right: DataFrame, on: list, how: str = "inner")
     """
     right = checkpoint(right)
     return left.join(functions.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once, for jobs whose functions run there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_meterline_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "meterline.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    sc._meterline_shipped = True

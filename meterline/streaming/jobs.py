@@ -104,6 +104,7 @@ def _settle(key, parts, state):
 
 def st_settle(chunks: DataFrame, late: str = "30 seconds") -> DataFrame:
     """Settled usage per stream. ``chunks`` needs an event time ``at`` (never NULL)."""
+    session.ship(chunks.sparkSession)
     rows = event_time(chunks.where("trim(correlation_id) <> ''"), "at").withWatermark("at", late)
     keyed = rows.select(*D.stream_key(), "at", F.unix_millis("at").alias("at_ms"), "chunk_index", "terminal", "seq",
                         "input_tokens", "output_tokens")
@@ -151,6 +152,7 @@ def st_reconcile(native: DataFrame, fallback: DataFrame, late: str = "10 seconds
 
     Works on observation time; input is expected in that order up to ``late``.
     """
+    session.ship(native.sparkSession)
     both = event_time(native, "observed_at"), event_time(fallback, "observed_at")
     slim = []
     for kind, feed in enumerate(both):
