@@ -1,9 +1,13 @@
 """The registered queries of this subpackage and the DuckDB statements of those that SQL can express."""
 
-from meterline.llm import fingerprints, mixing
+from meterline.llm import cotraining, fingerprints, mixing, pieces, quality_rules, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.query,
+    "op3_sentencepiece": pieces.query,
+    "op4_quality_rules": quality_rules.query,
     "op5_source_mixing": mixing.query,
     "op8_order_minhash": fingerprints.query,
+    "op9_cotraining": cotraining.query,
 }
 ORACLES: dict[str, str] = {}
