@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the DuckDB statements of those that SQL can express."""
 
-from meterline.llm import cotraining, fingerprints, mixing, pieces, quality_rules, token_counts
+from meterline.llm import cotraining, fingerprints, mixing, pieces, quality_rules, simhash, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
@@ -9,5 +9,6 @@ QUERIES = {
     "op5_source_mixing": mixing.query,
     "op8_order_minhash": fingerprints.query,
     "op9_cotraining": cotraining.query,
+    "op10_simhash": simhash.query,
 }
 ORACLES: dict[str, str] = {}
