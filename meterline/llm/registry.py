@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and the DuckDB statements of those that SQL can express."""
 
-from meterline.llm import cotraining, fingerprints, mixing, pieces, quality_rules, simhash, token_counts
+from meterline.llm import cotraining, fingerprints, mixing, pieces, quality_rules, simhash, suffixes, token_counts
 
 QUERIES = {
+    "op1_suffix_dedup": suffixes.query,
     "op2_token_counts": token_counts.query,
     "op3_sentencepiece": pieces.query,
     "op4_quality_rules": quality_rules.query,
