@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the DuckDB statements of those that SQL can express."""
 
-from meterline.llm import chaining, cotraining, fingerprints, mixing, pieces, quality_rules, simhash, suffixes, token_counts
+from meterline.llm import chaining, cotraining, fingerprints, mixing, pieces, quality_rules, simhash, suffixes, token_counts, treescore
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_sentencepiece": pieces.query,
     "op4_quality_rules": quality_rules.query,
     "op5_source_mixing": mixing.query,
+    "op6_tree_score": treescore.query,
     "op7_chaining": chaining.query,
     "op8_order_minhash": fingerprints.query,
     "op9_cotraining": cotraining.query,
