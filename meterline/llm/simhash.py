@@ -10,8 +10,8 @@ are left, and then the rest of the bits has a common variant within one bit. Fin
 rest, for any of the three groups, have no partner.
 
 Defined cases: null text: empty; no words: fingerprint 0, linked like any other; rows with equal ids are separate
-documents; near-duplicates keep the document of least id (null last; of equal ids and texts one row); other columns
-are left out by fingerprinted() and kept by representatives().
+documents, but representatives() keeps or drops rows of one id together; ids that are null are greater than any; other
+columns are left out by fingerprinted() and kept by representatives().
 """
 
 from __future__ import annotations
@@ -153,8 +153,8 @@ def linked(fps: DataFrame) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
-def clustered(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
-    """(fp, component_id, __members) for each fingerprint: least id of the documents reachable, number of documents."""
+def clustered(docs: DataFrame, n: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of all documents; (fp, component_id, n) for each fingerprint: least id reachable, documents that have it."""
     prints = stored(fingerprinted(docs, n), "simhash")
     each = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     spread = n_partitions(docs.sparkSession)
@@ -168,3 +168,11 @@ def clustered(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints, classes = clustered(load(spark, sf_dir))
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, n: int = 5) -> DataFrame:
+    """docs with one document of each group of near-duplicates (the least id; rows that share an id stay together)."""
+    prints, classes = clustered(docs, n)
+    losers = (prints.join(classes, "fp").filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+              .select(F.col("doc_id").alias("__id")).distinct())
+    return docs.join(losers, docs["doc_id"].eqNullSafe(losers["__id"]), "left_anti")
