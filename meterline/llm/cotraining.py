@@ -25,6 +25,7 @@ MAX_LABELLED = 6000
 MAX_POOL = 6000
 ROUNDS = 3
 SURE = 0.98  # calibrated probability from which a pool document is labelled
+FOLDS = 4
 TAKE = 0.1  # of the pool, at most, by one view in one round and for one class
 THRESHOLD = 0.5
 PAIR_BUCKETS = 1024
@@ -118,7 +119,20 @@ class CoTrained:
             self.calibrations = [calibration(logits(v[apart], w), y[apart]) for v, w in zip(views, self.weights)]
             if turn < rounds and len(pool[0]):
                 given = [self._sure(pool[1 - i], 1 - i) for i in range(2)]  # each learns from the other
-        self.joint = calibration(np.stack([self._odds(v[apart], i) for i, v in enumerate(views)], 1), y[apart])
+        self._settle(views, y, pool, given)
+
+    def _settle(self, views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], given: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Last weights on all rows; calibrations on scores of rows that a fit has not seen, fold by fold."""
+        fold = np.arange(len(y)) % FOLDS
+        z = np.zeros((len(y), 2))
+        for i, (v, p, (rows, labels)) in enumerate(zip(views, pool, given)):
+            learn = lambda own: fit(np.concatenate([v[own], p[rows]]), np.concatenate([y[own], labels]))  # noqa: E731, B023
+            for k in range(FOLDS):
+                z[fold == k, i] = logits(v[fold == k], learn(fold != k))
+            self.weights[i] = learn(fold >= 0)
+            self.calibrations[i] = calibration(z[:, i], y)
+            z[:, i] = self.calibrations[i][0] * z[:, i] + self.calibrations[i][1]
+        self.joint = calibration(z, y)
 
     def _scaled(self, x: np.ndarray, i: int) -> np.ndarray:
         mean, sd = self.scale[i]
