@@ -26,11 +26,11 @@ from meterline.llm.common import Bytes, Rolling, load, mix64, n_partitions, ragg
 
 DEPTH = 4
 MARK = 0xFF  # not a byte of UTF-8: stands before a text and ends it
-BLOCKS_PER_PARTITION = 4  # shuffle partitions to one block
+BLOCKS_PER_PARTITION = 2  # shuffle partitions to one block
 MIN_BLOCKS = 6
 WORD = np.uint64(1 << 62)  # keys of words have this bit, keys of grams do not; one bit more is free
 END_WORD = WORD  # the end, as a token
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 
 
 def grams(text: Bytes) -> tuple[np.ndarray, np.ndarray]:
