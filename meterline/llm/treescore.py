@@ -109,7 +109,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     for i in range(8):
         shift += np.log(y + i)
     y = y + 8
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y ** 3) - shift
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5) - shift
 
 
 def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
