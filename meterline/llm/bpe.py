@@ -15,7 +15,7 @@ from meterline.llm.common import Rolling, mix64, ragged
 
 TABLE_BITS = 22  # slots of the table of known pairs; a pair that loses its slot is looked up again
 SIEVE_BITS = 22
-KNOWN_PAIRS = 1 << 22  # entries of the exact store behind it, emptied when full
+KNOWN_PAIRS = 1 << 19  # entries of the exact store behind it, emptied when full
 
 
 def symbol_values(symbols: np.ndarray) -> np.ndarray:

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meterline import session
 from meterline.llm.common import BYTE_VALUE, Bytes, Rolling, load, mix64, text_chunks
 
-MAX_LABELLED = 6000
-MAX_POOL = 6000
+MAX_LABELLED = 4000
+MAX_POOL = 4000
 ROUNDS = 3
 SURE = 0.98  # calibrated probability from which a pool document is labelled
 FOLDS = 4

@@ -25,7 +25,7 @@ from meterline.llm.bpe import PieceSet, Prefixes, code_points, distinct, symbol_
 from meterline.llm.common import Bytes, Rolling, load, ragged, text_chunks
 
 MODEL = "piece_bpe_32k.model"
-CHUNK = 6 << 20
+CHUNK = 3 << 19
 BLANK = 0x2581
 NEAR = 0x400  # characters below have a table of neighbours
 

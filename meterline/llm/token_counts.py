@@ -26,7 +26,7 @@ from meterline.llm.common import Bytes, Rolling, load, ragged, text_chunks
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
-CHUNK = 6 << 20
+CHUNK = 3 << 19
 LETTER, NUMBER, SPACE = 1, 2, 3
 
 
