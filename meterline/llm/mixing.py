@@ -20,7 +20,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
 BLOCK_WORDS = 64
 SHARDS = 16
-STREAM_ROWS = 2000  # documents in one piece of a source's stream, about
+STREAM_ROWS = 250  # documents in one piece of a source's stream, about
 SEED = 11
 
 
