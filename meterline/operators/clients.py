@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline import session
 from meterline.functions import identity as I
 from meterline.operators import rollup as R
 from meterline.schema import MASK, SUMS
@@ -38,7 +37,7 @@ def coalesce_masked(groups: DataFrame) -> DataFrame:
         F.count_if(c("api_key_hash") != "").alias("hashes"),
         F.count_if(c("api_key_hash") == "").alias("plain"),
         F.max("api_key_hash").alias("only_hash"))
-    joined = session.join_small(groups, per_label, ["api_key"], "left")
+    joined = groups.join(per_label, ["api_key"], "left")
     merge = F.coalesce((c("hashes") + c("plain") > 1) & ((c("hashes") <= 1) | (c("plain") > 0)), F.lit(False))
     joined = joined.withColumns({
         "group": F.when(merge, F.concat(F.lit("label:"), c("api_key"))).otherwise(c("client")),

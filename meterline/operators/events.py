@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterline import session
 from meterline.functions import text as X
 from meterline.functions import timeparse as P
 from meterline.functions import tokens as K
@@ -47,9 +46,10 @@ def export_cap(requested: int, configured: int) -> int:
 
 
 def export_window(facts: DataFrame, q: Q.Query, snapshot_at: Column, cap: int) -> DataFrame:
-    """Rows of an export with a frozen upper bound, capped when asked to."""
+    """Rows of an export with a frozen upper bound, newest first, capped when asked to."""
     rows = Q.filter_before(Q.apply(facts, q, snapshot_at), snapshot_at)
-    return rows.orderBy(*newest_first()).limit(cap) if cap > 0 else rows
+    rows = rows.orderBy(*newest_first())
+    return rows.limit(cap) if cap > 0 else rows
 
 
 def export_header(facts: DataFrame, q: Q.Query, snapshot_at: Column, cap: int) -> DataFrame:
@@ -152,7 +152,7 @@ def cap_overflow(facts: DataFrame, n: int) -> DataFrame:
     ts, at = F.col("ts"), F.col("edge_ts")
     older = F.when(at.isNull(), ts.isNull() & (F.col("id") < F.col("edge_id"))).otherwise(
         ts.isNull() | (ts < at) | ((ts == at) & (F.col("id") < F.col("edge_id"))))
-    return session.join_small(facts, edge, ["api", "model"]).where(older).drop("edge_ts", "edge_id")
+    return facts.join(edge, ["api", "model"]).where(older).drop("edge_ts", "edge_id")
 
 
 # --- exports -------------------------------------------------------------------------------
@@ -203,9 +203,9 @@ def write_json(facts: DataFrame, q: Q.Query, snapshot_at: Column, cap: int, path
 
 
 def write_facts(rows: DataFrame, path: str) -> None:
-    """Append fact rows, one folder per local day."""
+    """Append fact rows, one folder per local day; adaptive execution sizes the files of a day."""
     (rows.withColumn("local_day", P.local_day(F.col("ts")))
-     .repartition("local_day", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+     .hint("rebalance", "local_day")
      .write.mode("append").partitionBy("local_day").parquet(path))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.functions.identity import HASH_HEX_LENGTH
+from meterline.functions.timeparse import local_day
 from meterline.schema import RANGE_HOURS
 
 
@@ -27,11 +28,19 @@ class Query:
 def filter_range(df: DataFrame, range_key: str, now: Column) -> DataFrame:
     """A bounded range drops rows without a time; any other key keeps all."""
     hours = RANGE_HOURS.get(range_key)
-    return df if hours is None else df.where(F.col("ts") >= now - F.expr(f"INTERVAL {hours} HOURS"))
+    if hours is None:
+        return df
+    since = now - F.expr(f"INTERVAL {hours} HOURS")
+    return _by_day(df, lambda day: day >= local_day(since)).where(F.col("ts") >= since)
 
 
 def filter_before(df: DataFrame, bound: Column) -> DataFrame:
-    return df.where(F.col("ts").isNull() | (F.col("ts") <= bound))
+    return _by_day(df, lambda day: day <= local_day(bound)).where(F.col("ts").isNull() | (F.col("ts") <= bound))
+
+
+def _by_day(df: DataFrame, test) -> DataFrame:
+    """The same bound on the stored day, so that folders are pruned; missing times stay in the folder of the first day."""
+    return df.where(test(F.col("local_day"))) if "local_day" in df.columns else df
 
 
 def filter_dims(df: DataFrame, model="", source="", auth_index="", api="") -> DataFrame:

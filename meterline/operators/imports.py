@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterline import session
 from meterline.functions import identity as I
 from meterline.functions import text as X
 from meterline.functions import tokens as K
@@ -151,6 +150,6 @@ def learn_auth_index(rows: DataFrame, learned_from: DataFrame) -> DataFrame:
     when = F.struct(F.coalesce(ntz_to_micros(c("ts")), F.lit(-2**62)), c("id"))
     latest = taught.groupBy("auth_key").agg(F.max_by(c("index"), F.when(real, when)).alias("learned"))
     bare = (tidy(c("auth_index")) == "") | (c("auth_index") == c("plain"))
-    out = session.join_small(_with_plain(rows).withColumn("auth_key", key), latest, ["auth_key"], "left")
+    out = _with_plain(rows).withColumn("auth_key", key).join(latest, ["auth_key"], "left")
     return out.withColumn("auth_index", F.when(bare, F.coalesce(c("learned"), c("auth_index")))
                           .otherwise(c("auth_index"))).drop("auth_key", "learned", "plain")

@@ -301,11 +301,12 @@ SECRET_TEXT = ("CASE id % 9 WHEN 0 THEN 'Authorization: Bearer ' || {H} WHEN 1 T
 odd_query("redact_text", SECRET_TEXT, X.redact_text, B.d_redact("raw"))
 
 
-@query("redact_documents", f"SELECT doc_id, {B.d_redact('text')} = text AS unchanged, strlen({B.d_redact('text')}) AS size FROM documents")
+@query("redact_documents", f"SELECT doc_id, {B.d_redact('text')} = text AS unchanged, strlen({B.d_redact('text')}) AS size, "
+       f"md5({B.d_redact('text')}) AS digest FROM documents")
 def redact_documents(spark, sf_dir):
     t = X.redact_text(c("text"))
     return S.table(spark, sf_dir, "documents").select("doc_id", "text", t.alias("out")).select(
-        "doc_id", (c("out") == c("text")).alias("unchanged"), F.octet_length("out").alias("size"))
+        "doc_id", (c("out") == c("text")).alias("unchanged"), F.octet_length("out").alias("size"), F.md5("out").alias("digest"))
 
 
 @facts_query("sanitize_output", f"""{B.REQ} SELECT id, api, api_key, {B.d_sanitize('failure')} AS failure, 'rate ' || {B.d_sanitize("'sk-' || lpad(CAST(id AS VARCHAR), 9, '0')")} AS header
