@@ -25,8 +25,8 @@ def client_models(facts: DataFrame) -> DataFrame:
     return R.aggregate(_named(facts), ["client", "model"])
 
 
-def coalesce_masked(groups: DataFrame) -> DataFrame:
-    """Merge groups that share a masked label.
+def _merge_groups(groups: DataFrame) -> DataFrame:
+    """Adds the merged ``group`` of each caller and the hash it shows.
 
     Labels with two or more hashes and no hash-less group stay apart. Decided from per-label counts,
     so a label shared by millions of callers needs no collected set.
@@ -39,12 +39,25 @@ def coalesce_masked(groups: DataFrame) -> DataFrame:
         F.max("api_key_hash").alias("only_hash"))
     joined = groups.join(per_label, ["api_key"], "left")
     merge = F.coalesce((c("hashes") + c("plain") > 1) & ((c("hashes") <= 1) | (c("plain") > 0)), F.lit(False))
-    joined = joined.withColumns({
+    return joined.withColumns({
         "group": F.when(merge, F.concat(F.lit("label:"), c("api_key"))).otherwise(c("client")),
         "api_key_hash": F.when(merge, F.when(c("hashes") == 1, c("only_hash")).otherwise(F.lit("")))
         .otherwise(c("api_key_hash")),
     })
-    out = joined.groupBy("group").agg(
+
+
+def coalesce_masked(groups: DataFrame) -> DataFrame:
+    """Merge groups that share a masked label."""
+    out = _merge_groups(groups).groupBy("group").agg(
+        F.min("api_key").alias("api_key"), F.max("api_key_hash").alias("api_key_hash"),
+        *[F.sum(s).cast("bigint").alias(s) for s in SUMS])
+    return out.drop("group").withColumn("avg_latency_ms", R.average())
+
+
+def coalesced_models(facts: DataFrame) -> DataFrame:
+    """Models of each merged caller: their rows add up to those of ``coalesce_masked``."""
+    owner = _merge_groups(client_groups(facts)).select("client", "group", "api_key", "api_key_hash")
+    out = client_models(facts).join(owner, "client").groupBy("group", "model").agg(
         F.min("api_key").alias("api_key"), F.max("api_key_hash").alias("api_key_hash"),
         *[F.sum(s).cast("bigint").alias(s) for s in SUMS])
     return out.drop("group").withColumn("avg_latency_ms", R.average())

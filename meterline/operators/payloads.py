@@ -1,10 +1,15 @@
 """Usage out of captured response bodies, and settled stream chunks."""
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterline import session
 from meterline.functions.identity import provider_family
-from meterline.functions.text import first_text, tidy
+from meterline.functions.text import tidy
 
 # --- fixed values: field names after lower-casing and dropping '_' and '-' ------------------
 USAGE_NAMES = ["usage", "totalusage", "usagemetadata"]
@@ -24,109 +29,137 @@ DONE = "[DONE]"
 
 USAGE = ["input_tokens", "output_tokens", "reasoning_tokens", "cached_tokens", "cache_read_tokens",
          "cache_creation_tokens", "total_tokens"]
+MAX_DEPTH = 32
+DECODED = "array<struct<decoded_model:string, decoded_id:string, " + ", ".join(f"{n}:bigint" for n in USAGE) + ">>"
 
+#: Counters that a field of a usage object fills, and those that a field of its nested objects fills.
+_FILLS = {n: [t] for names, t in [(INPUT_NAMES, "input_tokens"), (OUTPUT_NAMES, "output_tokens"),
+                                  (REASONING_NAMES, "reasoning_tokens"), (CACHE_READ_NAMES, "cache_read_tokens"),
+                                  (CACHE_CREATION_NAMES, "cache_creation_tokens"), (TOTAL_NAMES, "total_tokens")]
+          for n in names} | {n: ["cached_tokens", "cache_read_tokens"] for n in CACHED_NAMES}
+_FILLS_NESTED = ({n: ["cached_tokens", "cache_read_tokens"] for n in NESTED_CACHED}
+                 | {n: ["cache_creation_tokens"] for n in NESTED_CREATION})
+_INT64 = 1 << 63
 
-def _struct(fields: dict) -> str:
-    return "struct<" + ",".join(f"{k}:{v}" for k, v in fields.items()) + ">"
 
+class _Number(str):
+    """A JSON number as written."""
 
-def _schemas() -> tuple[str, str]:
-    """Number fields are read as text: bodies write them as numbers or as strings."""
-    nested = _struct({n: "string" for n in NESTED_CACHED + NESTED_CREATION})
-    plain = (INPUT_NAMES + OUTPUT_NAMES + REASONING_NAMES + CACHED_NAMES + CACHE_READ_NAMES
-             + CACHE_CREATION_NAMES + TOTAL_NAMES)
-    usage = _struct({n: "string" for n in plain} | {n: nested for n in NESTED_NAMES})
-    level = {n: usage for n in USAGE_NAMES} | {"model": "string"} | {n: "string" for n in ID_NAMES}
-    inner = _struct(level)
-    # a message or response may hold another response
-    outer = _struct(level | {"message": _struct(level | {"response": inner}),
-                             "response": _struct(level | {"message": inner})})
-    return outer, usage
 
+class _Object(list):
+    """The (name, value) pairs of a JSON object in order, repeated names included."""
 
-_OUTER, _ = _schemas()
 
+def _unreadable(name: str):
+    raise ValueError(name)
 
-def _first_number(*cols: Column) -> Column:
-    zero = F.lit(0).cast("bigint")
-    return F.coalesce(*[F.nullif(c.try_cast("double").cast("bigint"), zero) for c in cols], zero)
 
+_JSON = json.JSONDecoder(object_pairs_hook=_Object, parse_int=_Number, parse_float=_Number, parse_constant=_unreadable)
 
-def _usage(u: Column) -> Column:
-    """One usage object to the seven counters; the total is filled in when absent."""
-    def pick(names):
-        return [u[n] for n in names]
 
-    cached_in = [u[n][k] for n in NESTED_NAMES for k in NESTED_CACHED]
-    created_in = [u[n][k] for n in NESTED_NAMES for k in NESTED_CREATION]
-    inp, out = _first_number(*pick(INPUT_NAMES)), _first_number(*pick(OUTPUT_NAMES))
-    total = _first_number(*pick(TOTAL_NAMES))
-    vals = [inp, out, _first_number(*pick(REASONING_NAMES)),
-            _first_number(*pick(CACHED_NAMES), *cached_in),
-            _first_number(*pick(CACHE_READ_NAMES), *pick(CACHED_NAMES), *cached_in),
-            _first_number(*pick(CACHE_CREATION_NAMES), *created_in),
-            F.when(total == 0, inp + out).otherwise(total)]
-    return F.struct(*[v.alias(n) for v, n in zip(vals, USAGE)])
+def _name(field: str) -> str:
+    return field.strip().lower().replace("_", "").replace("-", "")
 
 
-def _score(u: Column) -> Column:
-    out = F.lit(0).cast("bigint")
-    for n in USAGE:
-        out = out + F.abs(u[n])
-    return out
+def _whole(value) -> int:
+    """A counter; text that is no whole number counts as 0, fractions of numbers are cut."""
+    if not isinstance(value, str):
+        return 0
+    text = value.strip()
+    if re.fullmatch(r"[+-]?[0-9]{1,19}", text) and -_INT64 <= int(text) < _INT64:
+        return int(text)
+    if not isinstance(value, _Number):
+        return 0
+    return int(min(max(float(text), -_INT64), _INT64 - 1024))
 
 
-def canonical_json(c: Column) -> Column:
-    """Lower-case JSON whose field names carry no '_' or '-'."""
-    return F.regexp_replace(F.lower(c), r'[_-](?=[a-z0-9_-]*"\s*:)', "")
+def _fill(counters: dict, fields: _Object, targets: dict) -> None:
+    for field, value in fields:
+        name = _name(field)
+        if name in NESTED_NAMES and targets is _FILLS:
+            if isinstance(value, _Object):
+                _fill(counters, value, _FILLS_NESTED)
+        for t in targets.get(name, []):
+            counters[t] = counters[t] or _whole(value)
 
 
-def documents(body: Column) -> Column:
-    """JSON documents of a body: itself, the members of a JSON array, or its event-stream data lines."""
-    v = tidy(body)
-    lines = F.transform(F.split(v, "\r?\n"), tidy)
-    data = F.transform(F.filter(lines, lambda x: x.startswith("data:")), lambda x: tidy(F.substring(x, 6, 1 << 30)))
-    return (F.when(v.startswith("{"), F.array(v))
-            .when(v.startswith("["), F.coalesce(F.from_json(v, "array<string>"), F.array().cast("array<string>")))
-            .otherwise(F.filter(data, lambda x: (x != "") & (x != DONE))))
+def _counters(usage) -> dict:
+    out = dict.fromkeys(USAGE, 0)
+    if isinstance(usage, _Object):
+        _fill(out, usage, _FILLS)
+        both = out["input_tokens"] + out["output_tokens"]
+        out["total_tokens"] = out["total_tokens"] or min(max(both, -_INT64), _INT64 - 1)
+    return out
+
+
+def _weight(counters: dict) -> int:
+    return sum(abs(v) for v in counters.values())
+
+
+def _walk(value, stream: bool, found: dict, in_message: bool = False, depth: int = 0) -> None:
+    """Collect the fullest usage, the first model and the first id of a document, through messages, responses and arrays."""
+    if depth > MAX_DEPTH or not isinstance(value, list):
+        return
+    if not isinstance(value, _Object):
+        for v in value:
+            _walk(v, stream, found, in_message, depth + 1)
+        return
+    for field, v in value:
+        name = _name(field)
+        if name in USAGE_NAMES:
+            if not (stream and in_message):
+                counters = _counters(v)
+                if _weight(counters) >= _weight(found["usage"]):
+                    found["usage"] = counters
+        elif name == "model":
+            if v is not None and (not isinstance(v, str) or isinstance(v, _Number)):
+                raise ValueError("model")
+            found["model"] = found["model"] or v or ""
+        elif name in ID_NAMES:
+            text = str(v).lower() if isinstance(v, bool) else v if isinstance(v, str) else ""
+            found["id"] = found["id"] or str(text)
+        elif name in ("message", "response"):
+            _walk(v, stream, found, in_message or name == "message", depth + 1)
+
+
+def _documents(body: str) -> list[str]:
+    """The JSON documents of a body: itself, or its event-stream data lines."""
+    body = body.strip()
+    if body[:1] in ("{", "["):
+        return [body]
+    lines = (line.strip() for line in body.split("\n"))
+    data = (line[5:].strip() for line in lines if line.startswith("data:"))
+    return [d for d in data if d and d != DONE]
+
+
+def decode_body(body: str, stream: bool) -> list[dict]:
+    """The fullest usage of one body with the model and id of its own document; later documents win ties."""
+    best = None
+    for text in _documents(body):
+        found = {"usage": dict.fromkeys(USAGE, 0), "model": "", "id": ""}
+        try:
+            _walk(_JSON.raw_decode(text)[0], stream, found)
+        except (ValueError, RecursionError):  # not JSON: no usage in it
+            continue
+        if _weight(found["usage"]) and (best is None or _weight(found["usage"]) >= _weight(best["usage"])):
+            best = found
+    return [{"decoded_model": best["model"], "decoded_id": best["id"]} | best["usage"]] if best else []
+
+
+def _decode(body: pd.Series, stream: pd.Series) -> pd.Series:
+    return pd.Series([decode_body(b, bool(s)) if b else [] for b, s in zip(body, stream)], dtype=object)
 
 
 def decode_payload_usage(bodies: DataFrame, stream_mode: Column, body: str = "body") -> DataFrame:
-    """Adds the usage of each body: the most complete usage object, later ones win ties.
+    """Adds the usage of each body: the fullest usage object at any depth, later ones win ties.
 
-    Everything happens inside the row, so bodies are never shuffled. Rows without usage are dropped.
+    Nesting has no fixed schema, so documents are walked in Arrow batches; bodies that cannot name a usage field
+    never leave the JVM, and nothing is shuffled. Rows without usage are dropped; null bodies have none.
     """
-    c = F.col
-    parsed = bodies.withColumn("_docs", documents(c(body)))
-    parsed = parsed.withColumn("_json", F.transform("_docs", lambda d: F.from_json(canonical_json(d), _OUTER)))
-
-    def candidates(doc: Column) -> Column:
-        spots = [doc, doc["response"], doc["response"]["message"], doc["message"], doc["message"]["response"]]
-        in_message = [False, False, True, True, True]
-        found = [F.when(~(stream_mode & F.lit(hidden)), spot[name])
-                 for spot, hidden in zip(spots, in_message) for name in USAGE_NAMES]
-        return F.transform(F.filter(F.array(*found), lambda u: u.isNotNull()), _usage)
-
-    per_doc = F.flatten(F.transform("_json", candidates))
-    scored = F.transform(per_doc, lambda u, i: F.struct(_score(u).alias("score"), i.alias("place"), u.alias("usage")))
-    # bodies without usage leave through the generator: a filter would be pushed down and decode twice
-    best = F.array_max(F.filter(scored, lambda s: s["score"] > 0))
-    parsed = parsed.select("*", F.explode(F.filter(F.array(best), lambda b: b.isNotNull())).alias("_best"))
-
-    def names(doc: Column, fields) -> list:
-        return [spot[n] for spot in (doc, doc["response"], doc["message"]) for n in fields]
-
-    ids = F.filter(F.transform("_json", lambda d: first_text(*names(d, ID_NAMES))), lambda x: x != "")
-    # model names keep their case, so they are read from the original text
-    models = F.transform("_docs", lambda d: first_text(
-        F.get_json_object(d, "$.model"), F.get_json_object(d, "$.response.model"), F.get_json_object(d, "$.message.model")))
-    models = F.filter(models, lambda x: x != "")
-    out = parsed.withColumns({
-        "decoded_model": F.coalesce(F.get(models, F.lit(0)), F.lit("")),
-        "decoded_id": F.coalesce(F.get(ids, F.lit(0)), F.lit("")),
-        **{n: F.col("_best.usage." + n) for n in USAGE},
-    })
-    return out.drop("_docs", "_json", "_best")
+    session.ship(bodies.sparkSession)
+    text = F.col(body)
+    may = F.lower(F.translate(text, "_-", "")).contains("usage") | text.contains("\\u")
+    return bodies.select("*", F.inline(F.pandas_udf(_decode, DECODED)(F.when(may, text), F.coalesce(stream_mode, F.lit(False)))))
 
 
 def stream_key() -> list[Column]:
@@ -140,7 +173,14 @@ def stream_key() -> list[Column]:
 
 
 def settle_stream(chunks: DataFrame) -> DataFrame:
-    """Per stream the usage of its highest chunk that has any; later arrival wins ties."""
-    used = chunks.where("(input_tokens <> 0 or output_tokens <> 0) and trim(correlation_id) <> ''")
+    """Per stream the usage of its highest chunk that has any; later arrival wins ties.
+
+    Chunks without a correlation id belong to no stream and count one by one.
+    """
+    names = ["family", "auth", "caller", "correlation"]
+    rows = chunks.where("input_tokens <> 0 or output_tokens <> 0").select(
+        *stream_key(), "chunk_index", "seq", "input_tokens", "output_tokens")
+    alone = F.coalesce(F.col("correlation") == "", F.lit(True))
     best = F.max_by(F.struct("chunk_index", "input_tokens", "output_tokens"), F.struct("chunk_index", "seq"))
-    return used.groupBy(*stream_key()).agg(best.alias("b")).select("family", "auth", "caller", "correlation", "b.*")
+    settled = rows.where(~alone).groupBy(*names).agg(best.alias("b")).select(*names, "b.*")
+    return settled.unionByName(rows.where(alone).select(*settled.columns))

@@ -165,7 +165,7 @@ def _body():
     def t(*parts):
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
-    openai = t('{"id":"r-', rid, '","model":"GPT-x","usage":{"prompt_tokens":', i, ',"completion_tokens":', o,
+    openai = t('{"id":"Resp-A_', rid, '","model":"GPT-x","usage":{"prompt_tokens":', i, ',"completion_tokens":', o,
                ',"prompt_tokens_details":{"cached_tokens":', k, "}}}")
     claude = t('event: message_start\ndata: {"type":"message_start","message":{"id":"m-', rid, '","model":"Claude-y","usage":{"input_tokens":999999,"output_tokens":1}}}\n\n'
                'event: message_delta\ndata: {"type":"message_delta","usage":{"input_tokens":', i, ',"output_tokens":', o, ',"cache_read_input_tokens":', k, "}}\n\ndata: [DONE]\n")
@@ -173,28 +173,36 @@ def _body():
                ',"candidatesTokenCount":"', o, '","thoughtsTokenCount":', r, ',"totalTokenCount":', (c("input_tokens") + c("output_tokens") + c("reasoning_tokens")).cast("string"), "}}]")
     responses = t('data: {"type":"response.completed","response":{"id":"q-', rid, '","model":"GPT-r","usage":{"input_tokens":', i, ',"output_tokens":', o,
                   ',"input_tokens_details":{"cached_tokens":', k, "}}}}\r\n\r\ndata: not json\r\n")
-    kind = c("id") % 4
-    return F.when(kind == 0, openai).when(kind == 1, claude).when(kind == 2, gemini).otherwise(responses)
-
-
-@query("decode_payload_usage", f"""{B.REQ} SELECT id, CASE id % 4 WHEN 0 THEN 'GPT-x' WHEN 1 THEN 'Claude-y' WHEN 2 THEN 'Gem-z' ELSE 'GPT-r' END AS decoded_model,
-  CASE id % 4 WHEN 0 THEN 'r-' || id WHEN 1 THEN 'm-' || id WHEN 2 THEN '' ELSE 'q-' || id END AS decoded_id, input_tokens, output_tokens,
-  CASE WHEN id % 4 = 2 THEN reasoning_tokens ELSE 0 END AS reasoning_tokens, CASE WHEN id % 4 IN (0, 3) THEN cached_tokens ELSE 0 END AS cached_tokens,
-  CASE WHEN id % 4 = 2 THEN 0 ELSE cached_tokens END AS cache_read_tokens, 0 AS cache_creation_tokens,
-  input_tokens + output_tokens + CASE WHEN id % 4 = 2 THEN reasoning_tokens ELSE 0 END AS total_tokens FROM requests
-  WHERE input_tokens + output_tokens + reasoning_tokens + cached_tokens > 0""")
+    deep = t('{"response":{"response":{"response":{"Request-ID":"D_', rid, '","model":"Deep-M","usage":{"input_tokens":', i, ',"output_tokens":', o,
+             ',"cache_usage":{"cached_tokens":"', k, '"}}}}}}')
+    listed = t('{"usage":{"output_tokens":0},"response":[{"model":"List-M"},{"stream_id":', rid, ',"total-usage":{"inputTokens":" ', i, ' ","Output_Tokens":', o, '},"model":"other"}]}')
+    kind = c("id") % 6
+    return (F.when(kind == 0, openai).when(kind == 1, claude).when(kind == 2, gemini).when(kind == 3, responses)
+            .when(kind == 4, deep).otherwise(listed))
+
+
+@query("decode_payload_usage", f"""{B.REQ} SELECT id,
+  CASE id % 6 WHEN 0 THEN 'GPT-x' WHEN 1 THEN '' WHEN 2 THEN 'Gem-z' WHEN 3 THEN 'GPT-r' WHEN 4 THEN 'Deep-M' ELSE 'List-M' END AS decoded_model,
+  CASE id % 6 WHEN 0 THEN 'Resp-A_' || id WHEN 3 THEN 'q-' || id WHEN 4 THEN 'D_' || id WHEN 5 THEN id || '' ELSE '' END AS decoded_id, input_tokens, output_tokens,
+  CASE WHEN id % 6 = 2 THEN reasoning_tokens ELSE 0 END AS reasoning_tokens, CASE WHEN id % 6 IN (0, 3, 4) THEN cached_tokens ELSE 0 END AS cached_tokens,
+  CASE WHEN id % 6 IN (2, 5) THEN 0 ELSE cached_tokens END AS cache_read_tokens, 0 AS cache_creation_tokens,
+  input_tokens + output_tokens + CASE WHEN id % 6 = 2 THEN reasoning_tokens ELSE 0 END AS total_tokens FROM requests
+  WHERE input_tokens + output_tokens + CASE WHEN id % 6 = 2 THEN reasoning_tokens WHEN id % 6 = 5 THEN 0 ELSE cached_tokens END > 0""")
 def decode_payload_usage(spark, sf_dir):
-    """Bodies of four shapes made from the facts, among conversation text without any usage."""
+    """Bodies of six shapes made from the facts, among conversation text without any usage.
+
+    A message start of a stream has no counted usage, so its model and id go with it.
+    """
     bodies = S.requests(spark, sf_dir).select("id", _body().alias("body"))
     noise = S.table(spark, sf_dir, "conversations").select((-c("conv_id") - 1).alias("id"), c("text").alias("body"))
-    out = D.decode_payload_usage(bodies.unionByName(noise), c("id") % 4 == 1)
+    out = D.decode_payload_usage(bodies.unionByName(noise), c("id") % 6 == 1)
     return out.select("id", "decoded_model", "decoded_id", *D.USAGE)
 
 
 _CHUNKS = ("ch AS (SELECT r.id, provider, auth_id, api_key_hash, n AS chunk_index, CASE WHEN id % 5 = 0 AND n = 1 THEN 4 ELSE n END AS seq, "
            "CASE WHEN id % 4 = 0 AND n = 3 THEN 0 ELSE input_tokens * n END AS i, CASE WHEN id % 4 = 0 AND n = 3 THEN 0 ELSE output_tokens * n END AS o FROM requests r, (VALUES (1), (2), (3)) v(n))")
-_SETTLED = f"""{B.REQ}, {_CHUNKS} SELECT {B.d_family('provider')} AS family, lower(auth_id) AS auth, api_key_hash AS caller, CAST(id AS VARCHAR) AS correlation,
-  chunk_index, i AS input_tokens, o AS output_tokens FROM ch WHERE i <> 0 OR o <> 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY chunk_index DESC, seq DESC) = 1"""
+_SETTLED = f"""{B.REQ}, {_CHUNKS} SELECT {B.d_family('provider')} AS family, lower(auth_id) AS auth, api_key_hash AS caller, CASE WHEN id % 97 = 0 THEN '' ELSE CAST(id AS VARCHAR) END AS correlation,
+  chunk_index, i AS input_tokens, o AS output_tokens FROM ch WHERE i <> 0 OR o <> 0 QUALIFY id % 97 = 0 OR row_number() OVER (PARTITION BY id ORDER BY chunk_index DESC, seq DESC) = 1"""
 facts_query("settle_stream", _SETTLED)(lambda f: D.settle_stream(S.chunks(f)))
 
 # --- migrations ----------------------------------------------------------------------------

@@ -132,6 +132,9 @@ _GROUPS = (f"g AS (SELECT client, min(api_key) AS api_key, max(api_key_hash) AS
            f"cg AS (SELECT *, {B.D_AVG} FROM (SELECT min(api_key) AS api_key, max(api_key_hash) AS api_key_hash, "
            + ", ".join(f"CAST(sum({s}) AS BIGINT) AS {s}" for s in SUMS) + " FROM k GROUP BY grp))")
 facts_query("client_coalesce", f"{B.FACTS}, {_GROUPS} SELECT * FROM cg")(lambda facts: L.coalesce_masked(L.client_groups(facts)))
+facts_query("client_coalesce_models", f"""{B.FACTS}, {_GROUPS}, cm AS (SELECT client, model, {B.d_sums()} FROM m WHERE client IS NOT NULL GROUP BY 1, 2)
+  SELECT *, {B.D_AVG} FROM (SELECT min(k.api_key) AS api_key, max(k.api_key_hash) AS api_key_hash, cm.model AS model, {", ".join(f"CAST(sum(cm.{s}) AS BIGINT) AS {s}" for s in SUMS)}
+  FROM cm JOIN k ON cm.client = k.client GROUP BY k.grp, cm.model)""")(L.coalesced_models)
 facts_query("client_selector", f"""{B.FACTS}, {_GROUPS} SELECT api_key, api_key_hash, requests,
   CASE WHEN api_key_hash <> '' THEN 'h.' || api_key_hash || '.' || substr(sha256(':' || api_key), 1, 56)
   ELSE 'm.' || substr(sha256(':' || api_key), 1, 56) END AS selector FROM cg""")(

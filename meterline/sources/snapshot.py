@@ -24,9 +24,9 @@ _TEXT = ["source", "provider", "auth_id", "auth_index", "auth_type", "api_key",
          "base_url", "failure"]
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of any size class: one document per file or one per line."""
-    return flatten_snapshot(spark.read.schema(SNAPSHOT_SCHEMA).json(path))
+def read_snapshot(spark: SparkSession, path: str, indented: bool = False) -> DataFrame:
+    """One document per line, or with ``indented`` one per file. What is not such a document fails the read."""
+    return flatten_snapshot(spark.read.schema(SNAPSHOT_SCHEMA).json(path, mode="FAILFAST", multiLine=indented))
 
 
 def flatten_snapshot(docs: DataFrame) -> DataFrame:

@@ -158,13 +158,13 @@ def updates(facts: DataFrame) -> DataFrame:
 
 
 def chunks(facts: DataFrame) -> DataFrame:
-    """Three stream chunks per request; terminal ones may lack usage, some first chunks come last."""
+    """Three stream chunks per request; terminal ones may lack usage, some first chunks come last, some have no correlation id."""
     n = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("chunk_index")
     df = facts.select("id", "ts", "provider", "auth_id", "api_key_hash", n, "input_tokens", "output_tokens")
     idx = F.col("chunk_index")
     no_usage = (F.col("id") % 4 == 0) & (idx == 3)
     return df.select(
-        F.col("id").cast("string").alias("correlation_id"), "provider", "auth_id",
+        F.when(F.col("id") % 97 == 0, F.lit(" ")).otherwise(F.col("id").cast("string")).alias("correlation_id"), "provider", "auth_id",
         F.col("api_key_hash").alias("api_key"), "chunk_index", (idx == 3).alias("terminal"),
         F.when((F.col("id") % 5 == 0) & (idx == 1), F.lit(4)).otherwise(idx).alias("seq"),
         F.when(no_usage, F.lit(0)).otherwise(F.col("input_tokens") * idx).cast("bigint").alias("input_tokens"),

@@ -103,13 +103,20 @@ def _settle(key, parts, state):
 
 
 def st_settle(chunks: DataFrame, late: str = "30 seconds") -> DataFrame:
-    """Settled usage per stream. ``chunks`` needs an event time ``at`` (never NULL)."""
+    """Settled usage per stream, and every chunk without a correlation id at once.
+
+    ``chunks`` needs an event time ``at`` (never NULL). A chunk after the terminal one opens its stream anew.
+    """
     session.ship(chunks.sparkSession)
-    rows = event_time(chunks.where("trim(correlation_id) <> ''"), "at").withWatermark("at", late)
+    blank = F.coalesce(F.trim("correlation_id") == "", F.lit(True))
+    alone = chunks.where(blank & ((F.col("input_tokens") != 0) | (F.col("output_tokens") != 0))).select(
+        *D.stream_key(), F.col("chunk_index").cast("int"), F.col("input_tokens").cast("bigint"), F.col("output_tokens").cast("bigint"))
+    rows = event_time(chunks.where(~blank), "at").withWatermark("at", late)
     keyed = rows.select(*D.stream_key(), "at", F.unix_millis("at").alias("at_ms"), "chunk_index", "terminal", "seq",
                         "input_tokens", "output_tokens")
-    return (keyed.groupBy("family", "auth", "caller", "correlation")
-            .applyInPandasWithState(_settle, SETTLED, _OPEN_STREAM, "append", "EventTimeTimeout"))
+    settled = (keyed.groupBy("family", "auth", "caller", "correlation")
+               .applyInPandasWithState(_settle, SETTLED, _OPEN_STREAM, "append", "EventTimeTimeout"))
+    return settled.unionByName(alone)
 
 
 _OPEN_ROWS = "natives string, fallbacks string"

@@ -145,6 +145,34 @@ def test_bodies(spark):
     assert got[4]["total_tokens"] == 27 and got[5]["decoded_id"] == "12345"
 
 
+def test_body_edges(spark):
+    """Case of ids, depth, arrays, the winner's own model and id, whole numbers in text, unreadable documents."""
+    at = '{"response":' * 33
+    bodies = [
+        ('{"ID":"Mixed-Case_7","usage":{"input_tokens":9007199254740993,"output_tokens":"12.5","total_tokens":1}}', False),
+        ('{"response":{"response":{"response":{"usage":{"output_tokens":3}}}}}', False),
+        ('{"response":[{"usage":{"input_tokens":" 2 "}},{"model":"Q"}]}', False),
+        ('data: {"message":{"id":"start","model":"S","usage":{"input_tokens":9}}}\ndata: {"id":true,"usage":{"output_tokens":4}}', True),
+        ('data: {"usage":{"input_tokens":5}\ndata: {"usage":{"input_tokens":1.9}} trailing', False),
+        ('{"model":5,"usage":{"input_tokens":5}}', False),
+        (at + '{"usage":{"input_tokens":5}}' + "}" * 33, False),
+        ('{"u\\u0073age":{"input_tokens":6}}', False), ("", False), (None, False), ("[" * 100000, False), ('{"usage":null}', False)]
+    df = spark.createDataFrame([(i, b, s) for i, (b, s) in enumerate(bodies)], "id int, body string, s boolean")
+    out = D.decode_payload_usage(df, c("s"))
+    got = {r["id"]: (r["decoded_model"], r["decoded_id"], r["input_tokens"], r["output_tokens"], r["total_tokens"]) for r in out.collect()}
+    assert got == {0: ("", "Mixed-Case_7", 9007199254740993, 0, 1), 1: ("", "", 0, 3, 3), 2: ("Q", "", 2, 0, 2),
+                   3: ("", "true", 0, 4, 4), 4: ("", "", 1, 0, 1), 7: ("", "", 6, 0, 6)}
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_unreadable_snapshot_fails(spark, tmp_path):
+    doc = {"version": 1, "usage": {"apis": {"a": {"models": {"m": {"details": [{"timestamp": S.NOW}]}}}}}}
+    (tmp_path / "s.json").write_text(json.dumps(doc, indent=1))
+    assert SN.read_snapshot(spark, str(tmp_path), indented=True).count() == 1
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        SN.read_snapshot(spark, str(tmp_path)).collect()
+
+
 def test_usage_lines_to_facts(spark, tmp_path):
     lines = [
         {"provider": "codex", "source": "codex", "auth_index": "channel-a", "model": "gpt-5.6", "api_key": "Bearer secret-key", "streaming": True,
