@@ -50,6 +50,10 @@ def inside_retention(now: Column, days: int) -> Column:
     return F.lit(True) if days <= 0 else F.col("ts") >= now - F.expr(f"INTERVAL {days} DAYS")
 
 
+def has_upstream() -> Column:
+    return F.coalesce(tidy(F.col("api")) != "", F.lit(False))
+
+
 def import_antijoin(existing: DataFrame, imported: DataFrame, order: list) -> DataFrame:
     """Imported rows not yet known, one per fingerprint (the first by ``order``).
 
@@ -65,25 +69,29 @@ def import_antijoin(existing: DataFrame, imported: DataFrame, order: list) -> Da
 
 def merge_snapshots(existing: DataFrame, imported: DataFrame, now: Column, retention_days: int = 0,
                     order: list | None = None) -> DataFrame:
-    """Existing rows and new imported ones inside the retention; both carry no fingerprint yet."""
-    fresh = with_fingerprint(clean_numbers(imported, now)).where(inside_retention(now, retention_days))
+    """Existing rows and new imported ones inside the retention; both carry no fingerprint yet.
+
+    Imported rows without an upstream are left out.
+    """
+    named = clean_numbers(imported, now).where(has_upstream())
+    fresh = with_fingerprint(named).where(inside_retention(now, retention_days))
     added = import_antijoin(with_fingerprint(existing), fresh, order or ["id"])
     return existing.unionByName(added.select(*existing.columns))
 
 
 def import_counts(existing: DataFrame, imported: DataFrame, now: Column, retention_days: int = 0,
                   order: list | None = None) -> DataFrame:
-    """One row: input, accepted, rejected, added, skipped, ignored by retention."""
+    """One row: input, accepted, rejected (no upstream), added, skipped, ignored by retention."""
     rows = with_fingerprint(clean_numbers(imported, now))
-    keep = inside_retention(now, retention_days)
+    keep = has_upstream() & inside_retention(now, retention_days)
     per_fp = rows.groupBy("fingerprint").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(keep).alias("kept"))
+        F.count(F.lit(1)).alias("n"), F.count_if(keep).alias("kept"), F.count_if(~has_upstream()).alias("nameless"))
     known = with_fingerprint(existing).select("fingerprint", F.lit(1).alias("known")).distinct()
     c = F.col
     added = F.when((c("kept") > 0) & c("known").isNull(), 1).otherwise(0)
     out = per_fp.join(known, "fingerprint", "left").agg(
         F.sum("n").alias("input"), F.sum(added).alias("added"),
-        F.sum(c("kept") - added).alias("skipped"), F.sum(c("n") - c("kept")).alias("ignored"))
+        F.sum(c("kept") - added).alias("skipped"), F.sum(c("n") - c("kept") - c("nameless")).alias("ignored"))
     done = c("added") + c("skipped") + c("ignored")
     return out.select("input", done.alias("accepted"), (c("input") - done).alias("rejected"),
                       "added", "skipped", "ignored")

@@ -1,6 +1,6 @@
 """Export documents (api -> model -> details) in and out."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterline.functions import identity as I
@@ -20,6 +20,11 @@ _DETAIL = ("struct<timestamp:string, model:string, latency_ms:bigint, ttft_ms:bi
            + ">, failed:boolean, status_code:int, failure:string>")
 SNAPSHOT_SCHEMA = (f"version int, exported_at string, usage struct<apis:map<string, struct<models:map<string, "
                    f"struct<details:array<{_DETAIL}>>>>>>")
+#: Names of the counters in documents.
+EXPORTED = {"total_requests": "requests", "success_count": "successes", "failure_count": "failures",
+            "total_tokens": "total_tokens", "input_tokens": "input_tokens", "output_tokens": "output_tokens",
+            "cached_tokens": "cache_read_tokens", "cache_write_tokens": "cache_write_tokens",
+            "reasoning_tokens": "reasoning_tokens"}
 _TEXT = ["source", "provider", "auth_id", "auth_index", "auth_type", "api_key", "api_key_hash", "endpoint",
          "base_url", "failure"]
 
@@ -69,12 +74,14 @@ def _detail_struct() -> Column:
 
 
 def snapshot_rows(facts: DataFrame, details_per_model: int) -> DataFrame:
-    """One row per (api, model): all counters, and the newest details in time order.
+    """One row per (api, model): all counters, those of the whole api, and the newest details in time order.
 
     The detail arrays are bounded by ``details_per_model``; counters cover every row.
     """
     facts = facts.withColumn("model", I.norm_model(F.col("model")))
-    totals = R.aggregate(with_effective(facts), ["api", "model"])
+    whole = Window.partitionBy("api")  # over the rollup: one row per model of an upstream
+    totals = R.aggregate(with_effective(facts), ["api", "model"]).withColumn(
+        "api_totals", F.struct(*[F.sum(s).over(whole).alias(s) for s in SUMS]))
     newest = E.visible_details(facts, details_per_model)
     nested = (newest.select("api", "model", F.struct(F.coalesce(P.ntz_to_micros(F.col("ts")), F.lit(-2**62)).alias("at"),
                                                      "id", _detail_struct().alias("d")).alias("x"))
@@ -82,10 +89,17 @@ def snapshot_rows(facts: DataFrame, details_per_model: int) -> DataFrame:
     return totals.join(nested, ["api", "model"], "left")
 
 
+def _counters(at: str) -> list[Column]:
+    """Counters under their names in documents."""
+    count = F.col(at + "latency_count")
+    mean = F.when(count > 0, F.round(F.col(at + "latency_sum") / count, 6)).otherwise(F.lit(0.0))
+    return [*[F.col(at + s).cast("bigint").alias(n) for n, s in EXPORTED.items()], mean.alias("avg_latency_ms")]
+
+
 def snapshot_documents(facts: DataFrame, details_per_model: int, exported_at: str) -> DataFrame:
     """Self-contained documents, one per (api, model), ready for ``write.json``; the reader takes them all."""
     rows = snapshot_rows(facts, details_per_model)
-    model = F.struct(*SUMS, "avg_latency_ms", "details")
-    api = F.struct(*SUMS, F.create_map(F.col("model"), model).alias("models"))
+    model = F.struct(*_counters(""), "details")
+    api = F.struct(*_counters("api_totals."), F.create_map(F.col("model"), model).alias("models"))
     return rows.select(F.lit(1).alias("version"), F.lit(exported_at).alias("exported_at"),
                        F.struct(F.create_map(F.col("api"), api).alias("apis")).alias("usage"))

@@ -229,3 +229,25 @@ def test_fact_folder_prunes_days(spark, tmp_path):
     rewrite_without(spark, src, S.now(), 10, dst)
     want = facts.where("ts is null or ts >= timestamp_ntz'2024-01-21 00:00:00'").count()
     assert spark.read.parquet(dst).count() == want
+
+
+def test_snapshot_totals_of_an_upstream(spark):
+    facts = S.requests(spark, "/root/testdata/sf0.001").withColumn("api", F.concat(F.lit("up"), c("id") % 2))
+    docs = SN.snapshot_documents(facts, 2, S.NOW).select(F.explode("usage.apis").alias("api", "a"))
+    got = docs.select("api", "a.total_requests", F.explode("a.models").alias("model", "m")).groupBy("api").agg(
+        F.count_distinct("total_requests").alias("kinds"), F.max("total_requests").alias("whole"),
+        F.sum("m.total_requests").alias("parts"), F.count("*").alias("models"))
+    want = {r["api"]: r["count"] for r in facts.groupBy("api").count().collect()}
+    for r in got.collect():
+        assert r["models"] > 1 and r["kinds"] == 1 and r["whole"] == r["parts"] == want[r["api"]]
+
+
+def test_nameless_imports_are_rejected(spark):
+    from meterline.operators import imports as M
+    # stored rows carry the totals that an import recomputes
+    base = M.clean_numbers(S.requests(spark, "/root/testdata/sf0.001").where("id < 40 and ts is not null"), S.now())
+    odd = base.withColumn("api", F.when(c("id") < 5, F.lit(None)).when(c("id") < 9, F.lit(" ")).otherwise(F.concat("api", F.lit("x"))))
+    n, bad, everything = base.count(), base.where("id < 9").count(), base.unionByName(odd)
+    got = M.import_counts(base, everything, S.now()).first().asDict()
+    assert got == {"input": 2 * n, "accepted": 2 * n - bad, "rejected": bad, "added": n - bad, "skipped": n, "ignored": 0}
+    assert M.merge_snapshots(base, everything, S.now()).count() == 2 * n - bad
