@@ -171,8 +171,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def representatives(docs: DataFrame, n: int = 5) -> DataFrame:
-    """docs with one document of each group of near-duplicates (the least id; rows that share an id stay together)."""
-    prints, classes = clustered(docs, n)
-    losers = (prints.join(classes, "fp").filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .select(F.col("doc_id").alias("__id")).distinct())
+    """docs with one document of each group of a shingle similarity of 0.8 or more (the least id; rows that share an id stay together).
+
+    The groups are those of similar.py, exact at any similarity: copies at 0.8 differ in 9 or 10 of 64 bits on average.
+    """
+    from meterline.llm import similar
+
+    rows = stored(similar.grouped(docs, n), "simhash-groups")
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("least"))
+    losers = rows.join(least, "component").filter(~F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(losers, docs["doc_id"].eqNullSafe(losers["__id"]), "left_anti")

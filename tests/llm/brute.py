@@ -72,6 +72,11 @@ def simhash(text, n=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def shingles(text, n=5):
+    w = words(low(text))
+    return {tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
 def near_components(prints, radius=4):
     """Least id reachable for each (id, fingerprint)."""
     root = list(range(len(prints)))

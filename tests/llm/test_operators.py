@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from meterline.llm import chaining, components, cotraining, fingerprints, mixing, pieces, quality_rules, simhash, suffixes, token_counts, treescore
+from meterline.llm import chaining, components, cotraining, fingerprints, mixing, pieces, quality_rules, similar, simhash, suffixes, token_counts, treescore
 from meterline.llm.common import text_chunks
 from meterline.llm.registry import QUERIES
 
@@ -294,6 +294,29 @@ def test_simhash_ball(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_near_dedup_is_exact_at_similarity(spark, monkeypatch):
+    """Copies with a few words changed, in a group whose shingles are frequent, against all pairs."""
+    monkeypatch.setattr(similar, "SAMPLE", 1)
+    rnd = random.Random(6)
+    rows, base = [], [[f"w{rnd.randint(0, 9000)}" for _ in range(rnd.choice((6, 40, 150, 400)))] for _ in range(12)]
+    for i in range(240):
+        w = list(base[i % 12] if i % 3 else base[0])
+        for _ in range(rnd.randint(0, max(1, len(w) // 40))):
+            w[rnd.randrange(len(w))] = f"x{rnd.randint(0, 9000)}"
+        rows.append((i, "license of the common kind and so on " * (i % 2) + " ".join(w)))
+    have = [brute.shingles(t) for _, t in rows]
+    group, near = list(range(240)), 0
+    for i in range(240):
+        for j in range(i):
+            if 5 * len(have[i] & have[j]) >= 4 * len(have[i] | have[j]):
+                near += have[i] != have[j]
+                x, y = group[i], group[j]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    assert near > 100 and 12 < len(set(group)) < 200
+    left = simhash.representatives(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(group))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.component for r in components.components(links).collect()}
