@@ -216,6 +216,24 @@ def test_chaining(spark, docs, no_docs):
     assert chaining.dedup(docs).columns == docs.columns and chaining.dedup(no_docs).count() == 0
 
 
+def test_chaining_past_quotes(spark):
+    """Passages in documents a and a + 4, shorter quotes of them in the three between: only the copy loses its passage."""
+    rnd = random.Random(8)
+    fresh = lambda n: [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for a in range(0, 300, 5):
+        x = fresh(n := rnd.choice((40, 45, 60, 100)))
+        for i in range(5):
+            at, size = (0, n) if i in (0, 4) else (rnd.randint(0, n - 25), 25)
+            w, where = fresh(60), rnd.randint(0, 60)
+            rows.append((a + i, " ".join(w[:where] + x[at:at + size] + w[where:])))
+        want[a + 4] = [(where, where + n)]
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        got = {r["__id"]: sorted(tuple(s) for s in r["__spans"]) for r in chaining.removals(docs).collect()}
+        assert got == want
+
+
 def test_chain_order_and_gaps():
     p, q = np.array([0, 5, 10, 12, 400]), np.array([100, 105, 110, 3, 500])
     assert [c.tolist() for c in chaining.chains(p, q)] == [[0, 1, 2], [3], [4]]
