@@ -335,6 +335,17 @@ def test_near_dedup_is_exact_at_similarity(spark, monkeypatch):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(group))
 
 
+def test_sketches_bound_the_difference():
+    rnd = np.random.default_rng(9)
+    base = rnd.integers(0, 1 << 63, 60_000).astype(np.uint64)
+    some = [base[:n] for n in (0, 3, 500, 513, 900, 1030, 2000, 4100, 30_000, 37_000)] + [base[n:2 * n] for n in (500, 1030, 20_000)]
+    bits = similar.Sketches(similar.sketches(np.concatenate(some), np.array([len(x) for x in some])))
+    for i, x in enumerate(some):
+        apart = bits.apart(i, np.arange(len(some)))
+        assert all(a <= len(np.setxor1d(x, y)) for a, y in zip(apart, some))
+    assert bits.apart(2, np.array([10]))[0] > 300 / 2 and bits.apart(5, np.array([11]))[0] > 2060 / 4.5
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.component for r in components.components(links).collect()}
