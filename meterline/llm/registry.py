@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and the DuckDB statements of those that SQL can express."""
 
-from meterline.llm import chaining, cotraining, fingerprints, mixing, pieces, quality_rules, simhash, suffixes, token_counts, treescore
+from meterline.llm import (align, chaining, cotraining, fingerprints, mixing, pieces, quality_rules, runs, simhash, suffixes, token_counts,
+                           toxic_spans, treescore)
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.query,
@@ -13,5 +14,8 @@ QUERIES = {
     "op8_order_minhash": fingerprints.query,
     "op9_cotraining": cotraining.query,
     "op10_simhash": simhash.query,
+    "op11_periodic_runs": runs.query,
+    "op12_toxic_spans": toxic_spans.query,
+    "op13_token_alignment": align.query,
 }
 ORACLES: dict[str, str] = {}
