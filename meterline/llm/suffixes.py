@@ -307,4 +307,5 @@ def find_and_cut(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_and_cut(load(spark, sf_dir)).drop("kept")
+    """The contract's columns and `text`, what is left of each text (a character cut apart shows as U+FFFD)."""
+    return find_and_cut(load(spark, sf_dir)).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
