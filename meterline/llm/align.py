@@ -33,6 +33,7 @@ from meterline.llm.token_counts import byte_symbols
 A_VOCABULARY = "byte_bpe_50k.json"
 B_MODEL = "piece_bpe_32k.model"
 PIECE = 256  # merge steps of one piece
+FEW = 32  # texts given to a library at once: its results take many times the memory of their ids
 CHUNK = 3 << 19
 _FAR = np.iinfo(np.int64).max
 
@@ -80,9 +81,8 @@ def piece_model(name: str):  # noqa: ANN201
 DIGITS = lru_cache(1)(lambda: Strings([str(i).encode() for i in range(1 << 16)]))
 
 
-def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], np.int64)
-    return np.concatenate([np.array(x, np.int64) for x in lists]) if sizes.sum() else np.zeros(0, np.int64), sizes
+def flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.int64), *lists]), np.array([len(x) for x in lists], np.int64)
 
 
 def gives_back(text: Bytes, strings: Strings, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -150,8 +150,9 @@ class Aligned:
         a_lib, a_strings = byte_level(a_name)
         b_lib, b_strings = piece_model(b_name)
         plain = [x or "" for x in texts]
-        a, a_sizes = flat([e.ids for e in a_lib.encode_batch_fast([" " + x for x in plain], add_special_tokens=False)])
-        b, b_sizes = flat(b_lib.encode(plain, num_threads=1))
+        a, a_sizes = flat([np.array(e.ids, np.int64) for i in range(0, len(plain), FEW) for e in
+                           a_lib.encode_batch_fast([" " + x for x in plain[i:i + FEW]], add_special_tokens=False)])
+        b, b_sizes = flat([np.array(x, np.int64) for i in range(0, len(plain), FEW) for x in b_lib.encode(plain[i:i + FEW], num_threads=1)])
         good = gives_back(text, a_strings, a, a_sizes) & gives_back(text, b_strings, b, b_sizes)
         a, b = a[np.repeat(good, a_sizes)], b[np.repeat(good, b_sizes)]
         self.a, self.b = a, b

@@ -28,26 +28,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from meterline import session
-from meterline.llm.common import IS_SPACE, Bytes, Rolling, load, mix64, text_chunks
+from meterline.llm.common import IS_SPACE, Bytes, Rolling, load, mix64, ragged, text_chunks
 
-MAX_TOXIC, MAX_CLEAN = 1500, 2000
+MAX_TOXIC, MAX_CLEAN = 1200, 1500
 MAX_BYTES = 16 << 20
 FOLDS = 5  # documents with crc32(id) % FOLDS = 0 are held out
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4, 5)
-BUCKET_BITS = 21
+BUCKET_BITS = 20
 MIN_RATIO = 10.0  # log-likelihood ratio of a toxic spelling
 MIN_SHARE = 0.6  # of the documents with the spelling that are toxic
 ROUNDS = 60
 RATE = 0.3
 RIDGE = 0.02
 PIECE = 128
+BLOCK = 1 << 18  # words whose sums are made at once in training
 _PUNCT = np.ones(256, bool)
 _PUNCT[128:] = False
 _PUNCT[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
-def spellings(text: Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of each word, and a row of spelling hashes per word: whole, first and last bytes."""
+def spellings(text: Bytes, limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of each word, and a row of spelling hashes per word: whole, first and last bytes.
+
+    Hashes are made for about `limit` bytes of texts at once.
+    """
+    cut = np.unique(np.searchsorted(text.off, np.arange(0, text.off[-1] + limit, limit), side="left").clip(0, text.n)) if text.n else np.zeros(1, np.int64)
+    parts = []
+    for i, j in zip(cut, np.append(cut[1:], text.n)):
+        base = text.off[i]
+        s, e, d, h = _spellings(Bytes(text.data[base:text.off[j]], text.off[i:j + 1] - base))
+        parts.append((s + base, e + base, d + i, h))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _spellings(text: Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, doc = text.words()
     low = text.lower()
     n = len(low.data)
@@ -165,12 +179,14 @@ def emissions(weights: np.ndarray, spelt: np.ndarray, doc: np.ndarray) -> np.nda
 
 def toxic_spellings(spelt: np.ndarray, doc: np.ndarray, toxic: np.ndarray, odds: float) -> np.ndarray:
     """Hashes of spellings whose documents are toxic far more often than all are; shares as among all labels."""
-    width = spelt.shape[1]
-    keys, number = np.unique(spelt.reshape(-1), return_inverse=True)
-    pairs = np.unique(np.repeat(doc, width) * len(keys) + number.reshape(-1))
-    of, in_doc = pairs % len(keys), pairs // len(keys)
-    n = np.bincount(of, minlength=len(keys))
-    bad = np.bincount(of, weights=toxic[in_doc], minlength=len(keys))
+    keys, n, bad = [], [], []
+    for column in spelt.T:
+        key, number = np.unique(column, return_inverse=True)
+        pairs = np.unique(doc * len(key) + number)
+        keys.append(key)
+        n.append(np.bincount(pairs % len(key), minlength=len(key)))
+        bad.append(np.bincount(pairs % len(key), weights=toxic[pairs // len(key)], minlength=len(key)))
+    keys, n, bad = (np.concatenate(x) for x in (keys, n, bad))
     rate = toxic.mean()  # of the sample
     part = lambda k, q: np.where(k > 0, k * np.log(np.maximum(k, 1) / (n * q)), 0.0)
     ratio = part(bad, rate) + part(n - bad, 1 - rate)
@@ -192,12 +208,13 @@ def fit(text: Bytes, toxic: np.ndarray, learn: np.ndarray, odds: float) -> Model
         return none
     use = told[doc]
     first = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=text.n)[told])])
-    chain = Chain(first)
-    words, number = np.unique(spelt[use, 0], return_inverse=True)
-    one = np.unique(number, return_index=True)[1]
-    own = bucket(spelt[use][one])
+    blocks = np.unique(np.searchsorted(first, np.arange(0, first[-1], BLOCK)).clip(0, len(first) - 2))
+    chains = [(first[i], Chain(first[i:j + 1] - first[i])) for i, j in zip(blocks, np.append(blocks[1:], len(first) - 1))]
+    words, one, number = np.unique(spelt[use, 0], return_index=True, return_inverse=True)
+    own = bucket(spelt[np.flatnonzero(use)[one]])
     near = [np.unique(bucket(h), return_inverse=True) for h in neighbours(spelt[use, 0], doc[use])]
     y = marked[use].astype(float)
+    del spelt, marked
     twice = y[1:] * y[:-1]
     twice[first[1:-1][first[1:-1] > 0] - 1] = 0
     begins = np.zeros(len(y), bool)
@@ -211,25 +228,29 @@ def fit(text: Bytes, toxic: np.ndarray, learn: np.ndarray, odds: float) -> Model
         e = w[0] + w[own].sum(1)[number]
         for places, at in near:
             e = e + w[places][at]
-        _, p, pp = chain.sums(e, step)
-        err = p - y
+        sums = [chain.sums(e[at:at + chain.first[-1]], step)[1:] for at, chain in chains]
+        err, more = np.concatenate([p for p, _ in sums]) - y, sum(pp.sum() for _, pp in sums) - twice.sum()
         g = np.bincount(own.reshape(-1), weights=np.repeat(np.bincount(number, weights=err, minlength=len(words)), own.shape[1]), minlength=size)
         for places, at in near:
             g[places] += np.bincount(at, weights=err, minlength=len(places))
         g[0] += err.sum()
-        more = pp.sum() - twice.sum()
         last = np.append(begins[1:], True)
         g = np.concatenate([g + RIDGE * w, [err.sum() - more, err[~last].sum() - more, more] + RIDGE * logs])
         seen, square = 0.9 * seen + 0.1 * g, 0.99 * square + 0.01 * g * g
         move = RATE * (seen / (1 - 0.9 ** i)) / (np.sqrt(square / (1 - 0.99 ** i)) + 1e-6)
         w, logs = w - move[:size], np.clip(logs - move[size:], -8, 8)
     model = Model(w, np.array([[1.0, np.exp(logs[0])], [np.exp(logs[1]), np.exp(logs[2])]]), None, float(share))
-    signs = evidence(model, text)[0][~learn]
+    signs = evidence(model, only(text, ~learn))[0]
     model.calibration = logistic(signs, toxic[~learn])
     model.calibration[0] += np.log(odds) - np.log(toxic.mean() / (1 - toxic.mean()))  # from the sample's share to that of all labels
     return model
 
 
+def only(text: Bytes, which: np.ndarray) -> Bytes:
+    sizes = np.diff(text.off)[which]
+    return Bytes(text.data[ragged(text.off[:-1][which], sizes)], np.concatenate([[0], np.cumsum(sizes)]))
+
+
 def evidence(model: Model, text: Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per text: 1, log odds of any toxic word, log odds of the likeliest one, log length; and the words' marginals."""
     starts, ends, doc, spelt = spellings(text)
@@ -295,7 +316,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted, toxic_words, spans): spans in characters of the text, with their largest marginal."""
     spark = docs.sparkSession
     session.ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # BUCKET_BITS bits of weights, 16 MB
+    shared = spark.sparkContext.broadcast(model)  # BUCKET_BITS bits of weights, 8 MB
     names = ["doc_id", "held_out", "score", "predicted", "toxic_words", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
