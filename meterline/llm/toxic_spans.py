@@ -202,7 +202,7 @@ def fit(text: Bytes, toxic: np.ndarray, learn: np.ndarray, odds: float) -> Model
         return none
     _, _, doc, spelt = spellings(text)
     known = toxic_spellings(spelt[learn[doc]], doc[learn[doc]], toxic, odds)
-    marked = np.isin(spelt, known).any(1) & (toxic[doc] > 0)
+    marked = np.any([np.isin(column, known) for column in spelt.T], axis=0) & (toxic[doc] > 0)
     told = learn & ((toxic == 0) | (np.bincount(doc, weights=marked, minlength=text.n) > 0))
     if not marked[told[doc]].any():
         return none

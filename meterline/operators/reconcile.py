@@ -4,9 +4,12 @@ A *native* row and a *fallback* row describe one request when they share the mat
 callers and correlation ids do not contradict each other, and they were seen close together.
 """
 
-import json
+import hashlib
+from collections import deque
+from collections.abc import Iterator
+from heapq import heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ LATE = LATE_NATIVE_SECONDS * MICRO
 SLACK = CLOCK_SLACK_SECONDS * MICRO
 HORIZON = PENDING + LATE  # nothing older can still be matched
 
-HOT_ROWS = 50000  # keys with more rows are cut into time chunks of about this size
+MAX_CORRELATION = 256  # longer correlation ids name no stream
 
 
 def has_tokens() -> Column:
@@ -53,182 +56,356 @@ def _caller() -> Column:
 
 
 def _slim(feed: DataFrame, kind: int) -> DataFrame:
-    """Only what matching needs. Rows without a request time count as seen-time rows (NULL ts_us)."""
+    """Only what matching needs. A row without a request time was asked when it was seen."""
     if "alias" in feed.columns:
         feed = feed.withColumn("model", first_text(F.col("alias"), F.col("model")))
+    seen = ntz_to_micros(F.col("observed_at"))
     return feed.where(has_tokens()).select(
-        match_key().alias("key"), F.lit(kind).alias("kind"), "id",
-        ntz_to_micros(F.col("observed_at")).alias("seen"), ntz_to_micros(F.col("ts")).alias("asked"),
-        _caller().alias("caller"), tidy(F.col("correlation_id")).alias("corr"))
+        match_key().alias("key"), F.lit(kind).alias("kind"), "id", seen.alias("seen"),
+        F.coalesce(ntz_to_micros(F.col("ts")), seen).alias("asked"), _caller().alias("caller"), tidy(F.col("correlation_id")).alias("corr"),
+        (_stream(feed) if kind else F.lit(None).cast("string")).alias("stream"))
 
 
-# --- matching inside one bounded group -----------------------------------------------------
+# --- replay of one match key ----------------------------------------------------------------
 
-def compatible(a: tuple, b: tuple) -> bool:
-    """Rows are (id, seen, asked, caller, corr)."""
-    return not (a[3] and b[3] and a[3] != b[3]) and not (a[4] and b[4] and a[4] != b[4])
+_NEVER = float("inf")
 
 
-def in_time(native: tuple, fallback: tuple) -> bool:
-    return native[2] is None or fallback[2] is None or native[2] <= fallback[2] + SLACK
+class Row:
+    __slots__ = ("kind", "id", "seen", "asked", "caller", "corr", "cancel", "order", "spots")
 
+    def __init__(self, kind, id, seen, asked, caller, corr, cancel=None) -> None:
+        self.kind, self.id, self.seen, self.asked, self.caller, self.corr = kind, id, seen, asked, caller, corr
+        self.cancel, self.order, self.spots = cancel, 0, None
 
-def in_time_late(native: tuple, fallback: tuple) -> bool:
-    return in_time(native, fallback) or native[2] <= fallback[1] + PENDING + RECENT
+    def fields(self) -> tuple:
+        return self.kind, self.id, self.seen, self.asked, self.caller, self.corr, self.cancel
 
 
-def arrive(kind: int, row: tuple, natives: list, fallbacks: list):
-    """Take one row in order of observation; returns (native, fallback, how) or None.
+class Line:
+    """Rows in order of arrival under a bound each; finds the first whose bound is at most x (a tree of minima)."""
 
-    The two lists hold unmatched rows, oldest first, and are changed in place.
+    def __init__(self) -> None:
+        self.size, self.rows, self.least = 1, [], [_NEVER, _NEVER]
+
+    def add(self, row: Row, bound: float) -> int:
+        at = len(self.rows)
+        if at == self.size:
+            leaves = self.least[self.size:] + [_NEVER] * self.size
+            self.size *= 2
+            self.least = [_NEVER] * self.size + leaves
+            for i in range(self.size - 1, 0, -1):
+                self.least[i] = min(self.least[2 * i], self.least[2 * i + 1])
+        self.rows.append(row)
+        i = self.size + at
+        while i and self.least[i] > bound:
+            self.least[i] = bound
+            i //= 2
+        return at
+
+    def drop(self, at: int) -> None:
+        self.rows[at] = None
+        i = self.size + at
+        self.least[i] = _NEVER
+        while i > 1:
+            i //= 2
+            self.least[i] = min(self.least[2 * i], self.least[2 * i + 1])
+
+    def first(self, x: float) -> Row | None:
+        if self.least[1] > x:
+            return None
+        i = 1
+        while i < self.size:
+            i = 2 * i if self.least[2 * i] <= x else 2 * i + 1
+        return self.rows[i - self.size]
+
+
+class Pool:
+    """Unmatched rows of one kind, found by what a partner may carry: a blank caller or correlation fits any."""
+
+    def __init__(self) -> None:
+        self.lines: dict[tuple, Line] = {}
+
+    def add(self, row: Row, bound: float) -> None:
+        row.spots = []
+        for name in ((row.caller, row.corr), (row.caller, None), (None, row.corr), (None, None)):
+            line = self.lines.setdefault(name, Line())
+            row.spots.append((line, line.add(row, bound)))
+
+    def drop(self, row: Row) -> None:
+        for line, at in row.spots:
+            line.drop(at)
+        row.spots = None
+
+    def first(self, caller: str, corr: str, x: float) -> Row | None:
+        found = None
+        for a in (caller, "") if caller else (None,):
+            for b in (corr, "") if corr else (None,):
+                row = self.lines[a, b].first(x) if (a, b) in self.lines else None
+                if row is not None and (found is None or row.order < found.order):
+                    found = row
+        return found
+
+
+class Replay:
+    """Rows of one match key in order of observation (natives first at equal times); one-to-one, oldest first.
+
+    Results are (native_id, fallback_id, how, seen): recent, pending and late pairs, superseded fallbacks, and lone
+    rows once their time is over. Each step costs the logarithm of the open rows, whatever a burst holds.
     """
-    seen = row[1]
-    if kind == 0:
-        for how, test in (("pending", lambda f: seen <= f[1] + PENDING),
-                          ("late", lambda f: f[1] + PENDING < seen <= f[1] + HORIZON and in_time_late(row, f))):
-            for i, f in enumerate(fallbacks):
-                if test(f) and compatible(row, f):
-                    return row, fallbacks.pop(i), how
-        natives.append(row)
-        return None
-    for i, n in enumerate(natives):
-        if seen - n[1] <= RECENT and compatible(n, row) and in_time(n, row):
-            return natives.pop(i), row, "recent"
-    fallbacks.append(row)
-    return None
-
-
-def expire(natives: list, fallbacks: list, now: int) -> None:
-    """Forget rows that nothing observed from ``now`` on can match."""
-    natives[:] = [n for n in natives if now - n[1] <= RECENT]
-    fallbacks[:] = [f for f in fallbacks if now - f[1] <= HORIZON]
-
-
-def _rows(pdf: pd.DataFrame):
-    pdf = pdf.sort_values(["seen", "kind", "id"])
-    asked = [None if pd.isna(a) else int(a) for a in pdf["asked"]]
-    for kind, i, seen, a, caller, corr in zip(pdf["kind"], pdf["id"], pdf["seen"], asked, pdf["caller"], pdf["corr"]):
-        yield int(kind), (int(i), int(seen), a, caller, corr)
-
-
-def _match(pdf: pd.DataFrame, natives: list, fallbacks: list) -> list:
-    out = []
-    for kind, row in _rows(pdf):
-        expire(natives, fallbacks, row[1])
-        hit = arrive(kind, row, natives, fallbacks)
-        if hit:
-            out.append((hit[0][0], hit[1][0], hit[2]))
-    return out
-
-
-_PAIRS = "native_id long, fallback_id long, how string"
-
-
-def _match_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame(_match(pdf, [], []), columns=["native_id", "fallback_id", "how"])
-
-
-def _match_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One chunk of a hot key: start from the carried rows, report pairs and what is left over."""
-    carried = json.loads(pdf["carry"].iloc[0] or "[[], []]")
-    natives, fallbacks = [[tuple(r) for r in part] for part in carried]
-    key, chunk = pdf["key"].iloc[0], pdf["chunk"].iloc[0]
-    pairs = _match(pdf, natives, fallbacks)
-    nxt = pdf["next_seen"].iloc[0]
-    if pd.isna(nxt):
-        natives, fallbacks = [], []
-    else:
-        expire(natives, fallbacks, int(nxt))
-    left = json.dumps([natives, fallbacks]) if natives or fallbacks else ""
-    rows = [(key, chunk, n, f, how, None) for n, f, how in pairs] + [(key, chunk, None, None, None, left)]
-    out = pd.DataFrame(rows, columns=["key", "chunk", "native_id", "fallback_id", "how", "left_over"])
-    return out.astype({"native_id": "Int64", "fallback_id": "Int64"})
-
-
-# --- hot keys ------------------------------------------------------------------------------
-
-def _chunks(rows: DataFrame, size: int) -> DataFrame:
-    """(key, second) -> chunk number, from per-second counts; a chunk holds about ``size`` rows."""
-    sec = F.floor(F.col("seen") / MICRO)
-    counts = rows.groupBy("key", sec.alias("sec")).agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("first_seen"))
-    w = Window.partitionBy("key").orderBy("sec")
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select("key", "sec", "first_seen", F.floor(before / size).alias("slot")).withColumn(
-        "chunk", F.dense_rank().over(Window.partitionBy("key").orderBy("slot")))
-
-
-def _match_hot(rows: DataFrame, size: int) -> DataFrame:
-    """Exact matching of keys of any size.
-
-    Every chunk first runs as if nothing were carried into it. Chunks whose real carry differs from
-    the assumed one run again, until all agree; a carry only spans the last seconds of a chunk, so
-    it rarely travels. Each round is checkpointed.
+
+    def __init__(self) -> None:
+        self.natives, self.pending, self.late = Pool(), Pool(), Pool()
+        self.queues = {"natives": deque(), "pending": deque(), "late": deque()}
+        self.cancels: list[tuple] = []
+        self.count = 0
+        self.out: list[tuple] = []
+
+    def open_rows(self) -> list[Row]:
+        rows = [r for q in self.queues.values() for r in q if r.spots is not None]
+        return sorted(rows, key=lambda r: (r.seen, r.kind, r.id))
+
+    def hold(self, row: Row) -> None:
+        """Keep an unmatched row."""
+        self.count += 1
+        row.order = self.count
+        if row.kind == 0:
+            self.natives.add(row, row.asked)
+            self.queues["natives"].append(row)
+            return
+        self.pending.add(row, 0)
+        self.queues["pending"].append(row)
+        if row.cancel is not None:
+            heappush(self.cancels, (row.cancel, row.order, row))
+
+    def advance(self, now: int) -> None:
+        """Settle what no row observed from ``now`` on can match."""
+        while self.cancels and self.cancels[0][0] < now:
+            at, _, row = heappop(self.cancels)
+            if row.spots is not None:
+                self.pending.drop(row)
+                self.out.append((None, row.id, "superseded", at))
+        natives, pending, late = self.queues.values()
+        while natives and (natives[0].spots is None or now - natives[0].seen > RECENT):
+            row = natives.popleft()
+            if row.spots is not None:
+                self.natives.drop(row)
+                self.out.append((row.id, None, "native", row.seen))
+        while pending and (pending[0].spots is None or now - pending[0].seen > PENDING):
+            row = pending.popleft()
+            if row.spots is not None:
+                self.pending.drop(row)
+                self.late.add(row, -max(row.asked + SLACK, row.seen + PENDING + RECENT))
+                late.append(row)
+        while late and (late[0].spots is None or now - late[0].seen > HORIZON):
+            row = late.popleft()
+            if row.spots is not None:
+                self.late.drop(row)
+                self.out.append((None, row.id, "fallback", row.seen))
+
+    def arrive(self, row: Row) -> None:
+        self.advance(row.seen)
+        if row.kind == 1:
+            n = self.natives.first(row.caller, row.corr, row.asked + SLACK)
+            if n is None:
+                self.hold(row)
+            else:
+                self.natives.drop(n)
+                self.out.append((n.id, row.id, "recent", row.seen))
+            return
+        for pool, how, x in ((self.pending, "pending", 0), (self.late, "late", -row.asked)):
+            f = pool.first(row.caller, row.corr, x)
+            if f is not None:
+                pool.drop(f)
+                self.out.append((row.id, f.id, how, row.seen))
+                return
+        self.hold(row)
+
+
+# --- slices of the sorted feeds ---------------------------------------------------------------
+
+_ROW = ["kind", "id", "seen", "asked", "caller", "corr", "cancel"]
+_TOLD = ("slice int, key string, head boolean, native_id bigint, fallback_id bigint, how string, kind int, id bigint, seen bigint, asked bigint, "
+         "caller string, corr string, cancel bigint, first_key string, last_key string, digest string")
+_PAIRED = ("recent", "pending", "late", "superseded")
+
+
+def _told(slice_: int, rows: list[tuple]) -> pa.RecordBatch:
+    names = [f.split(" ")[0] for f in _TOLD.split(", ")][1:]
+    types = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int32(), *[pa.int64()] * 3, *[pa.string()] * 2, pa.int64(), *[pa.string()] * 3]
+    cols = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array([slice_] * len(rows), pa.int32())] + [pa.array(c, t) for c, t in zip(cols, types)], ["slice", *names])
+
+
+def _replay_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replays the keys of a slice one after the other, holding the open rows of one key only.
+
+    Rows come by key and observation; those with carried = true, if any, come first and are only held. The last key's
+    open rows leave as carry: its next row, if there is one, is in the next slice.
+    """
+    key, first_key, replay, slice_, out = None, None, Replay(), 0, []
+
+    def take(head: bool) -> None:
+        out.extend((key, head, n, f, how, *[None] * 10) for n, f, how, _ in replay.out if how in _PAIRED)
+        replay.out.clear()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("key").to_pylist()
+        kinds = batch.column("kind").to_numpy()
+        slice_ = batch.column("slice")[0].as_py()
+        cut = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        rows = None
+        for a, b in zip(cut, cut[1:]):
+            if keys[a] != key:
+                if key is not None:
+                    replay.advance(_END)
+                    take(key == first_key)
+                key, replay = keys[a], Replay()
+                first_key = first_key if first_key is not None else key
+            if key != first_key and b < len(keys) and kinds[a] == 1 and kinds[a:b].all() and b - a == 1 and batch.column("cancel")[a].as_py() is None:
+                continue  # one lone fallback
+            if key != first_key and b < len(keys) and not kinds[a:b].any():
+                continue  # natives only
+            rows = rows or list(zip(*[batch.column(c).to_pylist() for c in (*_ROW, "carried")]))
+            for r in rows[a:b]:
+                row = Row(*r[:7])
+                replay.hold(row) if r[7] else replay.arrive(row)
+            if len(replay.out) > 10000:
+                take(key == first_key)
+        if len(out) > 10000:
+            yield _told(slice_, out)
+            out = []
+    if key is None:
+        return
+    take(key == first_key)
+    carry = [r.fields() for r in replay.open_rows()]
+    out.extend((key, key == first_key, None, None, "carry", *r, None, None, None) for r in carry)
+    digest = hashlib.sha256(repr(carry).encode()).hexdigest() if carry else ""
+    yield _told(slice_, [*out, (None, None, None, None, "slice", *[None] * 7, first_key, key, digest)])
+
+
+_END = 1 << 62
+
+
+def replayed(rows: DataFrame) -> DataFrame:
+    """(key, native_id, fallback_id, how) of all keys: pairs and superseded fallbacks, equal to one sequential replay per key.
+
+    The rows are range-partitioned by key and time, so a slice has about the same size whatever a key holds, and a key
+    may run through many slices. Every slice is first replayed as if nothing were open at its start. A slice whose first
+    key goes on from the slice before starts again with what that one left open, until no slice was started wrong; only
+    rows of that key run again. The driver holds one short entry per slice.
     """
-    seconds = session.checkpoint(_chunks(rows, size))
-    starts = seconds.groupBy("key", "chunk").agg(F.min("first_seen").alias("first_seen"))
-    w = Window.partitionBy("key").orderBy("chunk")
-    bounds = starts.select("key", "chunk", F.lead("first_seen").over(w).alias("next_seen"))
-    cut = (rows.withColumn("sec", F.floor(F.col("seen") / MICRO))
-           .join(seconds.select("key", "sec", "chunk"), ["key", "sec"]).drop("sec"))
-    cut = session.checkpoint(cut.join(bounds, ["key", "chunk"]))
-    schema = f"key string, chunk int, {_PAIRS}, left_over string"
+    spark = rows.sparkSession
+    session.ship(spark)
+    order = ["key", "seen", "kind", "id"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = rows.select("key", *_ROW, F.lit(False).alias("carried")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    cut = session.checkpoint(cut.withColumn("slice", F.spark_partition_id()))
 
     def run(part: DataFrame) -> DataFrame:
-        return session.checkpoint(part.groupBy("key", "chunk").applyInPandas(_match_chunk, schema))
+        return session.checkpoint(part.mapInArrow(_replay_slice, _TOLD))
+
+    rounds = [run(cut)]
+    ends = sorted(rounds[0].where("how = 'slice'").select("slice", "first_key", "last_key", "digest").collect())
+    before = {b[0]: a for a, b in zip(ends, ends[1:]) if a[2] == b[1]}  # slice that starts inside a key: the one before it
+    left = {e[0]: e[3] for e in ends}
+    keys = {e[0]: (e[1], e[2]) for e in ends}
+    used = {i: 0 for i in left}  # round whose results count for the first key of a slice
+    started = dict.fromkeys(before, "")
+    while wrong := [i for i, a in before.items() if started[i] != left[a[0]]]:
+        wanted = spark.createDataFrame([(before[i][0], i, keys[i][0], used[before[i][0]]) for i in wrong], "prev int, slice int, first_key string, round int")
+        told = None
+        for k, r in enumerate(rounds):
+            told = r.withColumn("round", F.lit(k)) if told is None else told.unionByName(r.withColumn("round", F.lit(k)))
+        # what a slice left open: from its last run, unless its first key is not its last (then that key never ran again)
+        carry = (told.where("how = 'carry'").withColumnRenamed("slice", "prev").join(F.broadcast(wanted), "prev")
+                 .where(F.when(F.col("head"), told["round"] == wanted["round"]).otherwise(told["round"] == 0)).select("slice", "key", *_ROW, F.lit(True).alias("carried")))
+        again = cut.join(F.broadcast(wanted.select("slice", "first_key")), "slice").where("key = first_key").select("slice", "key", *_ROW, "carried")
+        part = carry.unionByName(again).repartition(min(n, len(wrong)), "slice").sortWithinPartitions("slice", F.desc("carried"), "seen", "kind", "id")
+        rounds.append(session.checkpoint(part.groupBy("slice").applyInArrow(_replay_group, _TOLD)))
+        for i in wrong:
+            started[i], used[i] = left[before[i][0]], len(rounds) - 1
+        for i, _, _, digest in rounds[-1].where("how = 'slice'").select("slice", "first_key", "last_key", "digest").collect():
+            if keys[i][0] == keys[i][1]:
+                left[i] = digest
+    latest = spark.createDataFrame([(i, k) for i, k in used.items()] or [(-1, 0)], "slice int, latest int")
+    closed = spark.createDataFrame([(e[0],) for e in ends if e[0] not in {a[0] for a in before.values()}] or [(-1,)], "last int")
+    result = None
+    for k, r in enumerate(rounds):
+        r = r.join(F.broadcast(latest), "slice").where((F.col("head") & (F.col("latest") == k)) | (~F.col("head") & F.lit(k == 0)))
+        pairs = r.where(F.col("how").isin(*_PAIRED)).select("key", "native_id", "fallback_id", "how")
+        over = r.where("how = 'carry' and cancel is not null").join(F.broadcast(closed), F.col("slice") == F.col("last")).select(
+            "key", "native_id", F.col("id").alias("fallback_id"), F.lit("superseded").alias("how"))
+        both = pairs.unionByName(over)
+        result = both if result is None else result.unionByName(both)
+    return result
+
+
+def _replay_group(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by([("carried", "descending"), ("seen", "ascending"), ("kind", "ascending"), ("id", "ascending")])
+    return pa.Table.from_batches(list(_replay_slice(iter(rows.to_batches(10000)))))
+
+
+# --- fallbacks that a newer one of their stream replaces ---------------------------------------
+
+def _stream(feed: DataFrame) -> Column:
+    c = F.col
+    corr = tidy(c("correlation_id"))
+    parts = [I.provider_family(c("provider")), F.lower(tidy(c("auth_id"))), _caller(), corr]
+    return F.when((corr != "") & (F.length(corr) <= MAX_CORRELATION), F.concat_ws("\u001f", *parts))
 
-    out = run(cut.withColumn("carry", F.lit("")))
-    assumed = bounds.select("key", "chunk", F.lit("").alias("carry"))
-    while True:
-        real = out.where("left_over is not null").select("key", (F.col("chunk") + 1).alias("chunk"),
-                                                         F.col("left_over").alias("carry"))
-        todo = session.checkpoint(real.join(assumed.withColumnRenamed("carry", "old"), ["key", "chunk"])
-                                  .where("carry <> old").select("key", "chunk", "carry"))
-        if todo.isEmpty():
-            return out.where("how is not null").select("native_id", "fallback_id", "how")
-        again = run(cut.join(todo, ["key", "chunk"]))
-        out = session.checkpoint(out.join(todo.select("key", "chunk"), ["key", "chunk"], "left_anti").unionByName(again))
-        assumed = session.checkpoint(
-            assumed.join(todo.select("key", "chunk"), ["key", "chunk"], "left_anti").unionByName(todo))
 
+def _next_of_stream(rows: DataFrame) -> DataFrame:
+    """Adds ``cancel``: when the next fallback of the stream was seen, if the row was still held then.
 
-# --- whole feeds ---------------------------------------------------------------------------
+    Rows meet in slots of the holding time, each also in the slot before its own, so a stream of any length is spread.
+    """
+    slot = F.floor(F.col("seen") / PENDING)
+    both = rows.withColumn("slot", slot).withColumn("at", F.explode(F.array("slot", F.col("slot") - 1)))
+    follow = F.lead("seen").over(Window.partitionBy("stream", "at").orderBy("seen", "id"))
+    cancel = F.when(follow - F.col("seen") <= PENDING, follow)
+    return both.withColumn("cancel", cancel).where(F.col("at") == F.col("slot")).drop("slot", "at")
 
-def match_feeds(native: DataFrame, fallback: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Matched pairs (native_id, fallback_id, how).
 
-    Keys are counted first. Keys seen by one feed only need no work; a single native beside a single
-    fallback is decided by expressions; small groups are resolved in pandas; hot keys in chunks.
+def _matched(native: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(key, native_id, fallback_id, how).
+
+    A fallback that no recent native took replaces the one held for its stream, whatever its key. Whether it was taken
+    is only known after the replay: at first none counts as taken, and keys whose replaced rows turn out different run
+    again. An outcome only bears on later ones, so this ends; most feeds need one round.
     """
-    session.ship(native.sparkSession)
     c = F.col
-    rows = _slim(native, 0).unionByName(_slim(fallback, 1))
-    body = F.struct("id", "seen", "asked", "caller", "corr")
-    per_key = rows.groupBy("key").agg(
-        F.count_if(c("kind") == 0).alias("natives"), F.count_if(c("kind") == 1).alias("fallbacks"),
-        F.min(F.when(c("kind") == 0, body)).alias("n"), F.min(F.when(c("kind") == 1, body)).alias("f"))
-    both = session.checkpoint(per_key.where("natives > 0 and fallbacks > 0"))
-
-    single = both.where("natives = 1 and fallbacks = 1")
-    n, f = c("n"), c("f")
-    agree = F.lit(True)
-    for name in ("caller", "corr"):
-        agree = agree & ((n[name] == "") | (f[name] == "") | (n[name] == f[name]))
-    timely = n["asked"].isNull() | f["asked"].isNull() | (n["asked"] <= f["asked"] + SLACK)
-    gap = n["seen"] - f["seen"]
-    # at equal times the native row counts as seen first
-    how = (F.when((gap <= 0) & (gap >= -RECENT) & timely, F.lit("recent"))
-           .when((gap > 0) & (gap <= PENDING), F.lit("pending"))
-           .when((gap > PENDING) & (gap <= HORIZON) & (timely | (n["asked"] <= f["seen"] + PENDING + RECENT)), F.lit("late")))
-    direct = single.select(n["id"].alias("native_id"), f["id"].alias("fallback_id"),
-                           F.when(agree, how).alias("how")).where("how is not null")
-
-    crowded = both.where("natives > 1 or fallbacks > 1").select("key", (c("natives") + c("fallbacks")).alias("size"))
-    small = rows.join(crowded.where(c("size") <= hot_rows).select("key"), "key", "left_semi")
-    pairs = direct.unionByName(small.groupBy("key").applyInPandas(_match_group, _PAIRS))
-    hot = crowded.where(c("size") > hot_rows).select("key")
-    if not hot.isEmpty():
-        pairs = pairs.unionByName(_match_hot(session.checkpoint(rows.join(hot, "key", "left_semi")), hot_rows))
-    return pairs
+    natives, fallbacks = _slim(native, 0), _slim(fallback, 1)
+    none = F.lit(None).cast("bigint")
+    streamed = _next_of_stream(fallbacks.where("stream is not null"))
+    rows = session.checkpoint(natives.withColumn("cancel", none).unionByName(fallbacks.where("stream is null").withColumn("cancel", none))
+                              .unionByName(streamed))
+    out = session.checkpoint(replayed(rows))
+    busy = rows.where("cancel is not null").select("stream").distinct()
+    chained = session.checkpoint(rows.where("stream is not null").join(busy, "stream", "left_semi"))
+    while True:
+        taken = out.where("how = 'recent'").select(c("fallback_id").alias("id"))
+        fresh = _next_of_stream(chained.drop("cancel").join(taken, "id", "left_anti"))
+        changed = session.checkpoint(chained.join(fresh.select("id", c("cancel").alias("now")), "id").where(~c("cancel").eqNullSafe(c("now"))))
+        if changed.isEmpty():
+            return out
+        keys = changed.select("key").distinct()
+        new = changed.select("id", F.lit(1).alias("kind"), "now", F.lit(True).alias("new"))
+        old = rows.join(new, ["id", "kind"], "left")
+        rows = session.checkpoint(old.withColumn("cancel", F.when(c("new"), c("now")).otherwise(c("cancel"))).drop("now", "new"))
+        chained = session.checkpoint(chained.join(new.drop("kind"), "id", "left")
+                                     .withColumn("cancel", F.when(c("new"), c("now")).otherwise(c("cancel"))).drop("now", "new"))
+        again = replayed(rows.join(keys, "key", "left_semi"))
+        out = session.checkpoint(out.join(keys, "key", "left_anti").unionByName(again))
+
+
+# --- whole feeds ---------------------------------------------------------------------------
+
+def match_feeds(native: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(native_id, fallback_id, how): matched pairs, and superseded fallbacks with a NULL native_id."""
+    return _matched(native, fallback).select("native_id", "fallback_id", "how")
 
 
 def _extra(feed: DataFrame, id_name: str) -> DataFrame:
@@ -244,16 +421,15 @@ def _fill(rows: DataFrame) -> DataFrame:
     return rows.withColumns(new).drop("u_endpoint", "u_api_key", "u_api_key_hash", "u_stream")
 
 
-def reconcile_feeds(native: DataFrame, fallback: DataFrame, hot_rows: int = HOT_ROWS,
-                    pairs: DataFrame | None = None) -> DataFrame:
+def reconcile_feeds(native: DataFrame, fallback: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """One row per request: (columns of the feeds) plus ``origin`` and ``how``.
 
     Natives always count unless a counted fallback met them late; fallbacks count when unmatched or
-    when matched late. Either way the other row only adds missing metadata.
+    when matched late, and not when superseded. Either way the other row only adds missing metadata.
     """
-    pairs = session.checkpoint(match_feeds(native, fallback, hot_rows)) if pairs is None else pairs
+    pairs = session.checkpoint(match_feeds(native, fallback)) if pairs is None else pairs
     early, late = pairs.where("how <> 'late'"), pairs.where("how = 'late'")
-    for_native = early.join(_extra(fallback, "fallback_id"), "fallback_id").drop("fallback_id")
+    for_native = early.where("native_id is not null").join(_extra(fallback, "fallback_id"), "fallback_id").drop("fallback_id")
     for_fallback = late.join(_extra(native, "native_id"), "native_id").drop("native_id")
     base = [x for x in native.columns]
     kept_native = native.join(late.select(F.col("native_id").alias("id")), "id", "left_anti").select(base)
@@ -266,7 +442,7 @@ def reconcile_feeds(native: DataFrame, fallback: DataFrame, hot_rows: int = HOT_
 
 
 def union_feeds(native: DataFrame, fallback: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Native rows and the fallback rows nobody matched."""
+    """Native rows and the fallback rows that were neither matched nor superseded."""
     alone = fallback.join(pairs.select(F.col("fallback_id").alias("id")), "id", "left_anti")
     return native.withColumn("origin", F.lit("native")).unionByName(
         alone.select(native.columns).withColumn("origin", F.lit("fallback")))
