@@ -41,6 +41,7 @@ ROUNDS = 60
 RATE = 0.3
 RIDGE = 0.02
 PIECE = 128
+CHUNK = 1 << 18  # bytes of text scored at once; longer single texts on their own
 BLOCK = 1 << 18  # words whose sums are made at once in training
 _PUNCT = np.ones(256, bool)
 _PUNCT[128:] = False
@@ -322,7 +323,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part, text in text_chunks(batch):
+            for part, text in text_chunks(batch, limit=CHUNK):
                 signs, p, starts, ends, doc = evidence(m, text)
                 s = scores(m, signs)
                 hot = np.flatnonzero(p >= 0.5) if m.calibration is not None else np.zeros(0, np.int64)
