@@ -1,13 +1,8 @@
 """Usage out of captured response bodies, and settled stream chunks."""
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterline import session
 from meterline.functions.identity import provider_family
 from meterline.functions.text import tidy
 
@@ -30,136 +25,113 @@ DONE = "[DONE]"
 USAGE = ["input_tokens", "output_tokens", "reasoning_tokens", "cached_tokens", "cache_read_tokens",
          "cache_creation_tokens", "total_tokens"]
 MAX_DEPTH = 32
-DECODED = "array<struct<decoded_model:string, decoded_id:string, " + ", ".join(f"{n}:bigint" for n in USAGE) + ">>"
-
-#: Counters that a field of a usage object fills, and those that a field of its nested objects fills.
-_FILLS = {n: [t] for names, t in [(INPUT_NAMES, "input_tokens"), (OUTPUT_NAMES, "output_tokens"),
-                                  (REASONING_NAMES, "reasoning_tokens"), (CACHE_READ_NAMES, "cache_read_tokens"),
-                                  (CACHE_CREATION_NAMES, "cache_creation_tokens"), (TOTAL_NAMES, "total_tokens")]
-          for n in names} | {n: ["cached_tokens", "cache_read_tokens"] for n in CACHED_NAMES}
-_FILLS_NESTED = ({n: ["cached_tokens", "cache_read_tokens"] for n in NESTED_CACHED}
-                 | {n: ["cache_creation_tokens"] for n in NESTED_CREATION})
-_INT64 = 1 << 63
 
+#: Names that fill a counter: those of the usage object, and those of its nested objects.
+_FILLED_BY = {
+    "input_tokens": (INPUT_NAMES, []), "output_tokens": (OUTPUT_NAMES, []), "reasoning_tokens": (REASONING_NAMES, []),
+    "cached_tokens": (CACHED_NAMES, NESTED_CACHED), "cache_read_tokens": (CACHE_READ_NAMES + CACHED_NAMES, NESTED_CACHED),
+    "cache_creation_tokens": (CACHE_CREATION_NAMES, NESTED_CREATION), "total_tokens": (TOTAL_NAMES, [])}
+_MAP, _LIST = "map<string,variant>", "array<variant>"
+_NODES = "array<struct<told:boolean,v:variant>>"
+_FIELDS = "array<struct<told:boolean,name:string,v:variant>>"
 
-class _Number(str):
-    """A JSON number as written."""
 
+def _one_of(column: str, names: list[str]) -> str:
+    return f"{column} IN ({', '.join(repr(n) for n in names)})"
 
-class _Object(list):
-    """The (name, value) pairs of a JSON object in order, repeated names included."""
 
+def _plain(key: str) -> str:
+    return f"translate(lower(trim({key})), '_-', '')"
 
-def _unreadable(name: str):
-    raise ValueError(name)
 
+def _fields(v: str, told: str = "false") -> str:
+    """The fields of an object, by name; none of anything else."""
+    return (f"transform(map_entries(coalesce(try_variant_get({v}, '$', '{_MAP}'), CAST(map() AS {_MAP}))), "
+            f"e -> named_struct('told', {told}, 'name', {_plain('e.key')}, 'v', e.value))")
 
-_JSON = json.JSONDecoder(object_pairs_hook=_Object, parse_int=_Number, parse_float=_Number, parse_constant=_unreadable)
 
+def _whole(v: str) -> str:
+    """A counter: whole numbers in text count, other text is 0, fractions of numbers are cut."""
+    number = "coalesce(CAST(least(greatest(try_cast(t AS double), -9.2233720368547e18D), 9.2233720368547e18D) AS bigint), 0)"
+    value = (f"CASE WHEN t RLIKE '^[+-]?[0-9]{{1,19}}$' THEN coalesce(try_cast(t AS bigint), 0) "
+             f"WHEN schema_of_variant({v}) = 'STRING' THEN 0 ELSE {number} END")
+    return _named(f"trim(try_variant_get({v}, '$', 'string'))", "t", value)
 
-def _name(field: str) -> str:
-    return field.strip().lower().replace("_", "").replace("-", "")
 
+def _step() -> str:
+    """One level down: the fields of all open objects, and what is inside messages, responses and arrays."""
+    wanted = USAGE_NAMES + ID_NAMES + ["model"]
+    fields = f"flatten(transform(acc.open, n -> {_fields('n.v', 'n.told')}))"
+    items = (f"flatten(transform(acc.open, n -> transform(coalesce(try_variant_get(n.v, '$', '{_LIST}'), CAST(array() AS {_LIST})), "
+             "x -> named_struct('told', n.told, 'v', x))))")
+    inside = "transform(filter(fs, f -> f.name IN ('message', 'response')), f -> named_struct('told', f.told OR f.name = 'message', 'v', f.v))"
+    found = f"filter(fs, f -> {_one_of('f.name', wanted)})"
+    down = (f"named_struct('open', CAST(concat({items}, {inside}) AS {_NODES}), "
+            f"'found', CAST(concat(acc.found, {found}) AS {_FIELDS}))")
+    return f"CASE WHEN size(acc.open) = 0 THEN acc ELSE {_named(fields, 'fs', down)} END"
 
-def _whole(value) -> int:
-    """A counter; text that is no whole number counts as 0, fractions of numbers are cut."""
-    if not isinstance(value, str):
-        return 0
-    text = value.strip()
-    if re.fullmatch(r"[+-]?[0-9]{1,19}", text) and -_INT64 <= int(text) < _INT64:
-        return int(text)
-    if not isinstance(value, _Number):
-        return 0
-    return int(min(max(float(text), -_INT64), _INT64 - 1024))
 
+def _named(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def _fill(counters: dict, fields: _Object, targets: dict) -> None:
-    for field, value in fields:
-        name = _name(field)
-        if name in NESTED_NAMES and targets is _FILLS:
-            if isinstance(value, _Object):
-                _fill(counters, value, _FILLS_NESTED)
-        for t in targets.get(name, []):
-            counters[t] = counters[t] or _whole(value)
 
+def _counters(usage: str) -> str:
+    """The counters of a usage object: of the names that fill one, the first that is not 0."""
+    nested = f"flatten(transform(filter(u, f -> {_one_of('f.name', NESTED_NAMES)}), f -> {_fields('f.v')}))"
 
-def _counters(usage) -> dict:
-    out = dict.fromkeys(USAGE, 0)
-    if isinstance(usage, _Object):
-        _fill(out, usage, _FILLS)
-        both = out["input_tokens"] + out["output_tokens"]
-        out["total_tokens"] = out["total_tokens"] or min(max(both, -_INT64), _INT64 - 1)
-    return out
+    def first(names: list[str], inner: list[str]) -> str:
+        own = f"filter(u, f -> {_one_of('f.name', names)})"
+        both = f"concat({own}, filter(n, f -> {_one_of('f.name', inner)}))" if inner else own
+        return f"coalesce(get(filter(transform({both}, f -> {_whole('f.v')}), x -> x <> 0), 0), 0)"
 
+    parts = ", ".join(f"'{c}', {first(*names)}" for c, names in _FILLED_BY.items() if c != "total_tokens")
+    total = first(*_FILLED_BY["total_tokens"])
+    all_ = ", ".join(f"'{c}', c.{c}" for c in USAGE[:-1])
+    whole = f"named_struct({all_}, 'total_tokens', CASE WHEN c.t <> 0 THEN c.t ELSE c.input_tokens + c.output_tokens END)"
+    return _named(_fields(usage), "u", _named(nested, "n", _named(f"named_struct({parts}, 't', {total})", "c", whole)))
 
-def _weight(counters: dict) -> int:
-    return sum(abs(v) for v in counters.values())
 
+_WEIGHT = " + ".join(f"abs(c.{n})" for n in USAGE)
 
-def _walk(value, stream: bool, found: dict, in_message: bool = False, depth: int = 0) -> None:
-    """Collect the fullest usage, the first model and the first id of a document, through messages, responses and arrays."""
-    if depth > MAX_DEPTH or not isinstance(value, list):
-        return
-    if not isinstance(value, _Object):
-        for v in value:
-            _walk(v, stream, found, in_message, depth + 1)
-        return
-    for field, v in value:
-        name = _name(field)
-        if name in USAGE_NAMES:
-            if not (stream and in_message):
-                counters = _counters(v)
-                if _weight(counters) >= _weight(found["usage"]):
-                    found["usage"] = counters
-        elif name == "model":
-            if v is not None and (not isinstance(v, str) or isinstance(v, _Number)):
-                raise ValueError("model")
-            found["model"] = found["model"] or v or ""
-        elif name in ID_NAMES:
-            text = str(v).lower() if isinstance(v, bool) else v if isinstance(v, str) else ""
-            found["id"] = found["id"] or str(text)
-        elif name in ("message", "response"):
-            _walk(v, stream, found, in_message or name == "message", depth + 1)
 
-
-def _documents(body: str) -> list[str]:
+def _documents(text: Column) -> Column:
     """The JSON documents of a body: itself, or its event-stream data lines."""
-    body = body.strip()
-    if body[:1] in ("{", "["):
-        return [body]
-    lines = (line.strip() for line in body.split("\n"))
-    data = (line[5:].strip() for line in lines if line.startswith("data:"))
-    return [d for d in data if d and d != DONE]
-
-
-def decode_body(body: str, stream: bool) -> list[dict]:
-    """The fullest usage of one body with the model and id of its own document; later documents win ties."""
-    best = None
-    for text in _documents(body):
-        found = {"usage": dict.fromkeys(USAGE, 0), "model": "", "id": ""}
-        try:
-            _walk(_JSON.raw_decode(text)[0], stream, found)
-        except (ValueError, RecursionError):  # not JSON: no usage in it
-            continue
-        if _weight(found["usage"]) and (best is None or _weight(found["usage"]) >= _weight(best["usage"])):
-            best = found
-    return [{"decoded_model": best["model"], "decoded_id": best["id"]} | best["usage"]] if best else []
-
-
-def _decode(body: pd.Series, stream: pd.Series) -> pd.Series:
-    return pd.Series([decode_body(b, bool(s)) if b else [] for b, s in zip(body, stream)], dtype=object)
+    body = F.trim(text, F.lit(" \t\r\n"))
+    lines = F.transform(F.split(body, "\n"), lambda x: F.trim(x, F.lit(" \t\r")))
+    data = F.transform(F.filter(lines, lambda x: x.startswith("data:")), lambda x: F.trim(F.substring(x, 6, 1 << 30), F.lit(" \t")))
+    return F.when(body.rlike(r"^[{\[]"), F.array(body)).otherwise(F.filter(data, lambda d: (d != "") & (d != DONE)))
 
 
 def decode_payload_usage(bodies: DataFrame, stream_mode: Column, body: str = "body") -> DataFrame:
-    """Adds the usage of each body: the fullest usage object at any depth, later ones win ties.
+    """Adds the usage of each body: the fullest usage object at any depth, with the model and id of its own document.
 
-    Nesting has no fixed schema, so documents are walked in Arrow batches; bodies that cannot name a usage field
-    never leave the JVM, and nothing is shuffled. Rows without usage are dropped; null bodies have none.
+    Bodies are parsed to VARIANT values and searched level by level with built-in functions: no schema, no shuffle and
+    no Python. Among equal usages the later document wins, inside a document the deeper and then the later name;
+    the first model and id are the shallowest. A document with a name twice in one object, or with a model that is no
+    text, is unreadable. Rows without usage are dropped; null bodies have none.
     """
-    session.ship(bodies.sparkSession)
-    text = F.col(body)
+    c = F.col
+    text = c(body)
     may = F.lower(F.translate(text, "_-", "")).contains("usage") | text.contains("\\u")
-    return bodies.select("*", F.inline(F.pandas_udf(_decode, DECODED)(F.when(may, text), F.coalesce(stream_mode, F.lit(False)))))
+    parsed = "filter(transform(__docs, d -> try_parse_json(d)), v -> v IS NOT NULL)"
+    start = f"named_struct('open', CAST(array(named_struct('told', false, 'v', v)) AS {_NODES}), 'found', CAST(array() AS {_FIELDS}))"
+    found = f"transform({parsed}, v -> aggregate(sequence(0, {MAX_DEPTH}), {start}, (acc, i) -> {_step()}, acc -> acc.found))"
+    usages = f"transform(filter(fs, f -> {_one_of('f.name', USAGE_NAMES)} AND NOT (__stream AND f.told)), f -> {_counters('f.v')})"
+    best = f"array_max(transform({usages}, (c, i) -> named_struct('weight', {_WEIGHT}, 'at', i, 'c', c)))"
+    models = "filter(fs, f -> f.name = 'model' AND NOT is_variant_null(f.v))"
+    model = f"coalesce(get(filter(transform({models}, f -> try_variant_get(f.v, '$', 'string')), x -> x <> ''), 0), '')"
+    ids = (f"filter(fs, f -> {_one_of('f.name', ID_NAMES)} AND NOT is_variant_null(f.v) AND NOT schema_of_variant(f.v) RLIKE '^(OBJECT|ARRAY)')")
+    ident = f"coalesce(get(filter(transform({ids}, f -> try_variant_get(f.v, '$', 'string')), x -> x <> ''), 0), '')"
+    readable = f"filter(__found, fs -> NOT exists({models}, f -> schema_of_variant(f.v) <> 'STRING'))"
+    told = f"transform({readable}, (fs, d) -> named_struct('b', {best}, 'doc', d, 'model', {model}, 'id', {ident}))"
+    winner = ("array_max(transform(filter(__told, t -> t.b.weight > 0), "
+              "t -> named_struct('weight', t.b.weight, 'doc', t.doc, 'model', t.model, 'id', t.id, 'c', t.b.c)))")
+    rows = bodies.withColumns({"__stream": F.coalesce(stream_mode, F.lit(False)), "__docs": F.when(may, _documents(text))})
+    # one expression inside a generator: as columns and a filter the search would be repeated for each use
+    chosen = _named(f"{found}", "__found", _named(told, "__told", f"filter(array({winner}), w -> w IS NOT NULL)"))
+    won = rows.withColumn("__won", F.explode(F.expr(chosen)))
+    return won.select(*bodies.columns, c("__won.model").alias("decoded_model"), c("__won.id").alias("decoded_id"), *[c("__won.c")[n].alias(n) for n in USAGE])
 
 
 def stream_key() -> list[Column]:

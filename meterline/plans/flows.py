@@ -112,17 +112,23 @@ def learn_auth_index(facts):
 
 # --- two feeds -----------------------------------------------------------------------------
 
-_FEEDS = (f"nat AS (SELECT * REPLACE (id + 1 AS input_tokens) FROM requests WHERE id % 3 <> 0), "
-          f"fal AS (SELECT * REPLACE (id + 1 AS input_tokens, ts + INTERVAL 1 SECOND * (reasoning_tokens % 4 - 2) AS ts) FROM requests WHERE id % 2 = 0), "
+_FEEDS = (f"nat AS (SELECT * REPLACE (id + 1 AS input_tokens), coalesce(ts, {B.NOW}) AS seen FROM requests WHERE id % 3 <> 0), "
+          f"fal AS (SELECT * REPLACE (id + 1 AS input_tokens, ts + INTERVAL 1 SECOND * (reasoning_tokens % 4 - 2) AS ts), coalesce(ts, {B.NOW}) + INTERVAL 1 SECOND AS seen "
+          f"FROM requests WHERE id % 2 = 0 UNION ALL SELECT * REPLACE (-id - 1 AS id, id + 1 AS input_tokens, output_tokens + 1 AS output_tokens), coalesce(ts, {B.NOW}) FROM requests WHERE id % 14 = 0), "
           f"pr AS (SELECT nat.id AS native_id, fal.id AS fallback_id FROM nat JOIN fal ON nat.input_tokens = fal.input_tokens AND nat.output_tokens = fal.output_tokens "
           "AND lower(trim(nat.model)) = lower(trim(fal.model)) AND nat.provider = fal.provider AND nat.auth_id = fal.auth_id "
-          "AND (nat.ts IS NULL OR fal.ts IS NULL OR nat.ts <= fal.ts + INTERVAL 1 SECOND))")
+          f"AND coalesce(nat.ts, nat.seen) <= coalesce(fal.ts, fal.seen) + INTERVAL 1 SECOND), "
+          "gone AS (SELECT part.id FROM fal part WHERE part.id < 0 AND -part.id - 1 NOT IN (SELECT fallback_id FROM pr))")
 
 
 def _pairs(facts):
     return C.match_feeds(S.native_feed(facts), S.fallback_feed(facts))
 
 
+def _or_none(name):
+    return F.coalesce(c(name), F.lit(-1).cast("bigint"))
+
+
 @facts_query("match_key", f"""{B.REQ} SELECT id, concat_ws(chr(31), {B.d_family('provider')}, lower(trim(model)),
   CAST(input_tokens + CASE WHEN {B.d_family('provider')} = 'claude' THEN cached_tokens + cache_write_tokens ELSE 0 END AS VARCHAR), CAST(output_tokens AS VARCHAR),
   CAST(output_tokens + input_tokens + CASE WHEN {B.d_family('provider')} = 'claude' THEN cached_tokens + cache_write_tokens ELSE 0 END AS VARCHAR)) AS match_key
@@ -132,21 +138,24 @@ def match_key(facts):
     return rows.where(C.has_tokens()).select("id", C.match_key().alias("match_key"))
 
 
-facts_query("match_feeds", f"{B.REQ}, {_FEEDS} SELECT native_id, fallback_id, 'recent' AS how FROM pr")(_pairs)
+@facts_query("match_feeds", f"{B.REQ}, {_FEEDS} SELECT native_id, fallback_id, 'recent' AS how FROM pr UNION ALL SELECT -1, id, 'superseded' FROM gone")
+def match_feeds(facts):
+    """Pairs, and the partial fallbacks that the whole one of their stream replaced; it does not if a native took it."""
+    return _pairs(facts).withColumn("native_id", _or_none("native_id"))
 
 
 @facts_query("reconcile_feeds", f"""{B.REQ}, {_FEEDS}, e1 AS (SELECT nat.*, {B.d_endpoint('nat.endpoint')} AS e, pr.fallback_id IS NOT NULL AS hit,
     coalesce(f.api_key_hash, '') AS fk, coalesce({B.d_endpoint('f.endpoint')}, '') AS fe, coalesce(f.stream, false) AS fs FROM nat LEFT JOIN pr ON nat.id = pr.native_id LEFT JOIN fal f ON f.id = pr.fallback_id)
   SELECT id, 'native' AS origin, CASE WHEN hit THEN 'recent' ELSE '' END AS how, CASE WHEN e = '' THEN fe ELSE e END AS endpoint,
     CASE WHEN api_key_hash = '' THEN fk ELSE api_key_hash END AS api_key, stream OR fs AS stream, input_tokens FROM e1
-  UNION ALL SELECT id, 'fallback', '', {B.d_endpoint('endpoint')}, api_key_hash, stream, input_tokens FROM fal WHERE id NOT IN (SELECT fallback_id FROM pr)""")
+  UNION ALL SELECT id, 'fallback', '', {B.d_endpoint('endpoint')}, api_key_hash, stream, input_tokens FROM fal WHERE id NOT IN (SELECT fallback_id FROM pr UNION ALL FROM gone)""")
 def reconcile_feeds(facts):
     out = C.reconcile_feeds(S.native_feed(facts), S.fallback_feed(facts))
     return out.select("id", "origin", "how", "endpoint", "api_key", "stream", "input_tokens")
 
 
 @facts_query("union_feeds", f"""{B.REQ}, {_FEEDS} SELECT 'native' AS origin, id, output_tokens FROM nat UNION ALL
-  SELECT 'fallback', id, output_tokens FROM fal WHERE id NOT IN (SELECT fallback_id FROM pr)""")
+  SELECT 'fallback', id, output_tokens FROM fal WHERE id NOT IN (SELECT fallback_id FROM pr UNION ALL FROM gone)""")
 def union_feeds(facts):
     return C.union_feeds(S.native_feed(facts), S.fallback_feed(facts), _pairs(facts)).select("origin", "id", "output_tokens")
 
@@ -241,10 +250,13 @@ def st_health(spark, facts):
     return J.drain(J.st_health(facts), "health", ["slot_start"])
 
 
-@stream_query("st_series_hour", f"""{B.FACTS} SELECT CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) * 3600 AS hour_start, model, provider,
-  {B.d_sums(['requests', *R.TOKENS])} FROM m WHERE ts IS NOT NULL GROUP BY 1, 2, 3""")
+@stream_query("st_series_hour", f"""{B.FACTS} SELECT coalesce(CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) * 3600, {J.UNDATED_HOUR}) AS hour_start, model, provider,
+  {B.d_sums(['requests', *R.TOKENS])} FROM m GROUP BY 1, 2, 3""")
 def st_series_hour(spark, facts):
-    return J.drain(J.st_series_hour(facts), "hours", ["hour_start", "model", "provider"])
+    dated = J.drain(J.st_series_hour(facts), "hours", ["hour_start", "model", "provider"])
+    path = session.fresh_path(spark, "undated-hours")
+    J.st_undated_hours(facts, path, session.fresh_path(spark, "undated-hours-offsets")).awaitTermination()
+    return dated.unionByName(J.read_undated_hours(spark, path))
 
 
 @stream_query("st_rollup", B.d_by({"api": "api", "model": "model", "day": "day"}))
@@ -262,39 +274,38 @@ def st_append(spark, facts):
     return rows.groupBy("local_day").agg(F.count(F.lit(1)).alias("requests"), F.sum("total_tokens").alias("tokens"))
 
 
-@stream_query("st_dedup", f"{B.REQ} SELECT id, 1 AS copies FROM requests WHERE ts IS NOT NULL")
+@stream_query("st_dedup", f"{B.REQ} SELECT id, CASE WHEN ts IS NULL AND id % 5 = 0 THEN 2 ELSE 1 END AS copies FROM requests")
 def st_dedup(spark, facts):
-    """Every fifth row arrives twice; one copy is left."""
-    twice = facts.where("ts is not null").withColumn("copy", F.explode(F.when(c("id") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    """Every fifth row arrives twice; one copy is left of those with a time."""
+    twice = facts.withColumn("copy", F.explode(F.when(c("id") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     out = J.drain(J.st_dedup(M.with_fingerprint(twice)), "dedup", conf=J.ROCKS)
     return out.groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
 
 
 @stream_query("st_enrich", f"""{B.REQ}, {_UPD} SELECT id, CASE WHEN e = '' AND hit THEN '/v1/late' ELSE e END AS endpoint, CASE WHEN api_key = '' AND hit THEN 'z******' ELSE api_key END AS api_key,
-  stream OR hit AS stream FROM (SELECT *, {B.d_endpoint('endpoint')} AS e, id IN (SELECT id FROM t) AS hit FROM requests WHERE ts IS NOT NULL)
-  WHERE ts < TIMESTAMP '2024-01-29 00:00:00'""")
+  stream OR hit AS stream FROM (SELECT *, {B.d_endpoint('endpoint')} AS e, ts IS NOT NULL AND id IN (SELECT id FROM t) AS hit FROM requests)""")
 def st_enrich(spark, facts):
-    """The last rows may still wait for metadata when the input ends; the check leaves out the last days."""
-    rows = M.with_fingerprint(facts.where("ts is not null"))
-    out = J.drain(J.st_enrich(rows, S.updates(rows)), "enrich", conf=J.ROCKS)
-    return out.where("ts < timestamp'2024-01-29 00:00:00'").select("id", "endpoint", "api_key", "stream")
+    """Each update comes twice."""
+    rows, end = M.with_fingerprint(facts), J.Ending(spark)
+    updates = S.updates(rows)
+    twice = updates.unionByName(updates.withColumn("seq", c("seq") + 1))
+    out = J.drain(J.st_enrich(end.closing(rows), end.closing(twice)), "enrich", conf=J.ROCKS, ending=end)
+    return out.select("id", "endpoint", "api_key", "stream")
 
 
 @stream_query("st_settle", _SETTLED)
 def st_settle(spark, facts):
-    return J.drain(J.st_settle(S.chunks(facts)), "settle", conf=J.ROCKS)
-
-
-_SEEN = "TIMESTAMP '2024-01-29 00:00:00'"
+    end = J.Ending(spark)
+    return J.drain(J.st_settle(end.closing(S.chunks(facts), "at")), "settle", conf=J.ROCKS, ending=end)
 
 
-@stream_query("st_reconcile", f"""{B.REQ}, {_FEEDS}, bs AS (SELECT id, ts AS base FROM requests WHERE ts < {_SEEN} - INTERVAL 1 SECOND)
-  SELECT native_id, fallback_id, 'recent' AS how, epoch_us(base) + 1000000 AS seen FROM pr JOIN bs ON bs.id = pr.native_id
-  UNION ALL SELECT nat.id, -1, 'native', epoch_us(base) FROM nat JOIN bs ON bs.id = nat.id WHERE nat.id NOT IN (SELECT native_id FROM pr)
-  UNION ALL SELECT -1, fal.id, 'fallback', epoch_us(base) + 1000000 FROM fal JOIN bs ON bs.id = fal.id WHERE fal.id NOT IN (SELECT fallback_id FROM pr)""")
+@stream_query("st_reconcile", f"""{B.REQ}, {_FEEDS}
+  SELECT native_id, fallback_id, 'recent' AS how, epoch_us(fal.seen) AS seen FROM pr JOIN fal ON fal.id = pr.fallback_id
+  UNION ALL SELECT id, -1, 'native', epoch_us(seen) FROM nat WHERE id NOT IN (SELECT native_id FROM pr)
+  UNION ALL SELECT -1, id, 'fallback', epoch_us(seen) FROM fal WHERE id NOT IN (SELECT fallback_id FROM pr)""")
 def st_reconcile(spark, facts):
-    """Pairs and lone rows; the check leaves out the last days, whose lone rows may still wait."""
-    out = J.drain(J.st_reconcile(S.native_feed(facts), S.fallback_feed(facts)), "reconcile", conf=J.ROCKS)
-    done = out.where("seen < unix_micros(timestamp'2024-01-29 00:00:00') - if(how = 'native', 1000000, 0)")
-    none = F.lit(-1).cast("bigint")
-    return done.select(F.coalesce("native_id", none).alias("native_id"), F.coalesce("fallback_id", none).alias("fallback_id"), "how", "seen")
+    """Pairs and lone rows, to the last."""
+    end = J.Ending(spark)
+    feeds = [end.closing(f, "observed_at") for f in (S.native_feed(facts), S.fallback_feed(facts))]
+    out = J.drain(J.st_reconcile(*feeds), "reconcile", conf=J.ROCKS, ending=end)
+    return out.withColumns({n: _or_none(n) for n in ("native_id", "fallback_id")})

@@ -190,9 +190,11 @@ def native_feed(facts: DataFrame) -> DataFrame:
 
 
 def fallback_feed(facts: DataFrame) -> DataFrame:
-    """Fallback rows, seen one second later, stamped -2..1 seconds off."""
-    seen = F.coalesce(F.col("ts"), now()) + F.expr("INTERVAL 1 SECOND")
-    off = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
-                             (F.col("reasoning_tokens") % 4 - 2).cast("decimal(18,6)"))
-    rows = _feed(facts).where("id % 2 = 0").withColumn("observed_at", seen)
-    return rows.withColumn("ts", F.col("ts") + off).select(*_FEED, F.lit("").alias("correlation_id"), "observed_at")
+    """Fallback rows, seen one second later, stamped -2..1 seconds off; every seventh has a partial row of its stream a second before it."""
+    c = F.col
+    seen = F.coalesce(c("ts"), now())
+    off = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (c("reasoning_tokens") % 4 - 2).cast("decimal(18,6)"))
+    rows = _feed(facts).where("id % 2 = 0").withColumn("correlation_id", F.when(c("id") % 14 == 0, F.concat(F.lit("s"), c("id").cast("string"))).otherwise(""))
+    whole = rows.withColumn("observed_at", seen + F.expr("INTERVAL 1 SECOND")).withColumn("ts", c("ts") + off)
+    part = rows.where("id % 14 = 0").withColumn("observed_at", seen).withColumns({"id": -c("id") - 1, "output_tokens": c("output_tokens") + 1})
+    return whole.unionByName(part).select(*_FEED, "correlation_id", "observed_at")

@@ -4,16 +4,19 @@ Each job is a transform of a streaming DataFrame, or a ``foreachBatch`` writer t
 a batch always writes the folder named after its id, so a repeated batch replaces itself.
 """
 
-import json
 import os
+from collections import Counter
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from meterline import session
-from meterline.functions.tokens import with_effective
+from meterline.functions import text as X
+from meterline.functions.identity import norm_endpoint
 from meterline.operators import imports as M
 from meterline.operators import payloads as D
 from meterline.operators import reconcile as C
@@ -34,42 +37,156 @@ def tables_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+# --- time ----------------------------------------------------------------------------------
+
+CLOSING = "timestamp'9999-12-31 00:00:00'"  # event time of the row that ends an input
+
+
+def dated(df: DataFrame, late: str, name: str = "ts") -> DataFrame:
+    """The rows that have a time, under a watermark; the row that ends an input only moves the watermark.
+
+    The filter names the event time, so it stays above the watermark. Rows without a time pass none of it: jobs that
+    keep them lead them past the stateful part with ``undated``.
+    """
+    rows = event_time(df, name).withWatermark(name, late)
+    return rows.where(F.col(name) < F.expr(CLOSING))
+
+
+def undated(df: DataFrame, name: str = "ts") -> DataFrame:
+    return df.where(F.col(name).isNull())
+
+
+class Ending:
+    """Ends of finite inputs: each stream gets a second source whose only row moves the watermark past every wait."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.ends = spark, []
+
+    def closing(self, stream: DataFrame, name: str = "ts") -> DataFrame:
+        path = session.fresh_path(self.spark, "end")
+        self.spark.createDataFrame([], stream.schema).write.parquet(path)
+        self.ends.append((path, stream.schema, name))
+        return stream.unionByName(self.spark.readStream.schema(stream.schema).parquet(path))
+
+    def send(self) -> None:
+        for path, schema, name in self.ends:
+            row = [F.expr(CLOSING if f.name == name else "null").cast(f.dataType).alias(f.name) for f in schema]
+            self.spark.range(1).select(*row).write.mode("append").parquet(path)
+
+
 # --- windows -------------------------------------------------------------------------------
 
 def st_health(facts: DataFrame, late: str = "30 seconds") -> DataFrame:
     w = F.window("ts", f"{HEALTH_STEP_MINUTES} minutes")
-    return (event_time(facts).withWatermark("ts", late).groupBy(w.alias("w"))
+    return (dated(facts, late).observe("input", F.count(F.lit(1)).alias("rows")).groupBy(w.alias("w"))
             .agg(F.count_if(~F.col("failed")).alias("success"), F.count_if(F.col("failed")).alias("failure"))
             .select(F.unix_timestamp(F.col("w.start")).alias("slot_start"), "success", "failure"))
 
 
-def st_series_hour(facts: DataFrame, late: str = "30 seconds") -> DataFrame:
-    """Requests and token parts per clock hour, model and provider: the base of hourly cost."""
+_HOUR = ["requests", *R.TOKENS]
+UNDATED_HOUR = -62135596800  # 0001-01-01 00:00:00 UTC stands for a missing time, as in the batch series
+
+
+def _hour_sums() -> list:
     m = R.row_measures()
-    rows = R.prepared(facts).withColumn("provider", F.lower(F.trim("provider")))
-    return (event_time(rows).withWatermark("ts", late)
-            .groupBy(F.window("ts", "1 hour").alias("w"), "model", "provider")
-            .agg(*[F.sum(m[n]).cast("bigint").alias(n) for n in ["requests", *R.TOKENS]])
-            .select(F.unix_timestamp(F.col("w.start")).alias("hour_start"), "model", "provider", "requests", *R.TOKENS))
+    return [F.sum(m[n]).cast("bigint").alias(n) for n in _HOUR]
+
+
+def _hour_rows(facts: DataFrame) -> DataFrame:
+    return R.prepared(facts).withColumn("provider", F.lower(F.trim("provider")))
+
+
+def st_series_hour(facts: DataFrame, late: str = "30 seconds") -> DataFrame:
+    """Requests and token parts per clock hour, model and provider: the base of hourly cost. Rows with a time only."""
+    return (dated(_hour_rows(facts), late).observe("input", F.count(F.lit(1)).alias("rows"))
+            .groupBy(F.window("ts", "1 hour").alias("w"), "model", "provider").agg(*_hour_sums())
+            .select(F.unix_timestamp(F.col("w.start")).alias("hour_start"), "model", "provider", *_HOUR))
+
+
+def st_undated_hours(facts: DataFrame, path: str, checkpoint: str):
+    """The rows of ``st_series_hour`` without a time: one folder of sums per batch, no state."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sums = _hour_rows(batch).groupBy("model", "provider").agg(*_hour_sums())
+        sums.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
+
+    return (undated(facts).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_undated_hours(spark: SparkSession, path: str) -> DataFrame:
+    sums = [F.sum(n).cast("bigint").alias(n) for n in _HOUR]
+    return spark.read.parquet(path).groupBy("model", "provider").agg(*sums).select(
+        F.lit(UNDATED_HOUR).cast("bigint").alias("hour_start"), "model", "provider", *_HOUR)
 
 
 def st_dedup(facts: DataFrame, window: str = DEDUP_WINDOW) -> DataFrame:
-    """Exact copies inside the window are dropped; opt-in, as live rows are never deduplicated by default."""
-    return (event_time(facts).withWatermark("ts", window)
-            .dropDuplicatesWithinWatermark(["fingerprint"]))
+    """Exact copies inside the window are dropped; opt-in, as live rows are never deduplicated by default.
+
+    Rows without a time have no window and pass.
+    """
+    once = dated(facts, window).dropDuplicatesWithinWatermark(["fingerprint"])
+    return once.unionByName(event_time(undated(facts)))
+
+
+_UPDATE = "seq bigint, endpoint string, api_key string, api_key_hash string, stream boolean"
+_CHANGES = ["endpoint", "api_key", "api_key_hash", "stream"]
+
+
+class _Enrich(StatefulProcessor):
+    """Facts and updates of one (fingerprint, ts) until the wait is over; then the newest fact takes the folded updates."""
 
+    def __init__(self, wait_ms: int) -> None:
+        self.wait_ms = wait_ms
 
-def st_enrich(facts: DataFrame, updates: DataFrame, wait: str = "30 minutes") -> DataFrame:
-    """Metadata that comes before or after its event, within ``wait``."""
-    left = event_time(facts).withWatermark("ts", wait)
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.facts = handle.getListState("facts", "id bigint, body string")
+        self.updates = handle.getListState("updates", _UPDATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            facts, updates = pdf[pdf["body"].notna()], pdf[pdf["body"].isna()]
+            if len(facts):
+                self.facts.appendList([(int(i), b) for i, b in zip(facts["id"], facts["body"])])
+            if len(updates):
+                rows_ = zip(updates["id"], *[updates[n] for n in _CHANGES])
+                self.updates.appendList([(int(i), *(None if pd.isna(v) else v for v in r)) for i, *r in rows_])
+        self.handle.registerTimer(int(key[1]) // 1000 + self.wait_ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        facts = sorted(self.facts.get()) if self.facts.exists() else []
+        if facts:
+            updates = sorted((tuple(u) for u in self.updates.get()), key=lambda u: u[0]) if self.updates.exists() else []
+            first = [next((u[i] for u in updates if u[i] is not None), None) for i in (1, 2, 3)]
+            any_stream = any(u[4] for u in updates) if updates else None
+            blank = (None,) * 4
+            out = [(b, *blank) for _, b in facts[:-1]] + [(facts[-1][1], *first, any_stream)]
+            yield pd.DataFrame(out, columns=["body", *["u_" + n for n in _CHANGES]]).astype({"u_stream": "boolean"})
+        self.facts.clear()
+        self.updates.clear()
+
+
+def st_enrich(facts: DataFrame, updates: DataFrame, wait: int = 1800) -> DataFrame:
+    """Metadata that comes before or after its event, within ``wait`` seconds: folded, and given to the newest copy of a fact.
+
+    Facts leave when their wait is over; facts without a time leave at once, as they are.
+    """
+    session.ship(facts.sparkSession)
+    c, ntz = F.col, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    us = F.unix_micros("ts").alias("ts_us")
+    end = norm_endpoint(c("endpoint"))
+    left = event_time(facts.withColumn("body", F.to_json(F.struct(*facts.columns), ntz))).select(
+        "fingerprint", "ts", us, "id", "body", *[F.lit(None).cast("boolean" if n == "stream" else "string").alias(n) for n in _CHANGES])
     right = event_time(updates).select(
-        F.col("fingerprint").alias("u_fingerprint"), F.col("ts").alias("u_ts"),
-        *[F.col(n).alias("u_" + n) for n in ("endpoint", "api_key", "api_key_hash", "stream")]).withWatermark("u_ts", wait)
-    joined = left.join(right, F.expr("fingerprint = u_fingerprint and ts = u_ts"), "leftOuter")
-    from meterline.functions.identity import norm_endpoint
-    c = F.col
+        "fingerprint", "ts", us, c("seq").cast("bigint").alias("id"), F.lit(None).cast("string").alias("body"), F.when(end != "", end).alias("endpoint"),
+        F.when(~X.is_unknown_key(c("api_key")), c("api_key")).alias("api_key"), F.when(X.tidy(c("api_key_hash")) != "", c("api_key_hash")).alias("api_key_hash"), "stream")
+    told = dated(left.unionByName(right), f"{wait} seconds").groupBy("fingerprint", "ts_us").transformWithStateInPandas(
+        _Enrich(wait * 1000), "body string, " + ", ".join(f"u_{n} {'boolean' if n == 'stream' else 'string'}" for n in _CHANGES), "append", "EventTime")
+    rows = told.select(F.from_json("body", facts.schema, ntz).alias("f"), *["u_" + n for n in _CHANGES]).select("f.*", *["u_" + n for n in _CHANGES])
     new = M.enriched(norm_endpoint(c("endpoint")), c("api_key"), c("api_key_hash"), c("stream"))
-    return joined.withColumns(new).drop("u_fingerprint", "u_ts", "u_endpoint", "u_api_key", "u_api_key_hash", "u_stream")
+    rows = rows.withColumns(new).select(*facts.columns)
+    return rows.unionByName(undated(facts).withColumn("endpoint", end))
 
 
 # --- stateful ------------------------------------------------------------------------------
@@ -109,9 +226,9 @@ def st_settle(chunks: DataFrame, late: str = "30 seconds") -> DataFrame:
     """
     session.ship(chunks.sparkSession)
     blank = F.coalesce(F.trim("correlation_id") == "", F.lit(True))
-    alone = chunks.where(blank & ((F.col("input_tokens") != 0) | (F.col("output_tokens") != 0))).select(
+    alone = chunks.where(blank & (F.col("at") < F.expr(CLOSING).cast("timestamp_ntz")) & ((F.col("input_tokens") != 0) | (F.col("output_tokens") != 0))).select(
         *D.stream_key(), F.col("chunk_index").cast("int"), F.col("input_tokens").cast("bigint"), F.col("output_tokens").cast("bigint"))
-    rows = event_time(chunks.where(~blank), "at").withWatermark("at", late)
+    rows = dated(chunks.where(~blank | (F.col("at") >= F.expr(CLOSING).cast("timestamp_ntz"))), late, "at")
     keyed = rows.select(*D.stream_key(), "at", F.unix_millis("at").alias("at_ms"), "chunk_index", "terminal", "seq",
                         "input_tokens", "output_tokens")
     settled = (keyed.groupBy("family", "auth", "caller", "correlation")
@@ -119,55 +236,62 @@ def st_settle(chunks: DataFrame, late: str = "30 seconds") -> DataFrame:
     return settled.unionByName(alone)
 
 
-_OPEN_ROWS = "natives string, fallbacks string"
-
-
-def _leave(natives, fallbacks, now):
-    """Rows that nothing can match from ``now`` on, as lone results."""
-    before = [(r, "native") for r in natives] + [(r, "fallback") for r in fallbacks]
-    C.expire(natives, fallbacks, now)
-    gone = [(r, how) for r, how in before if r not in (natives if how == "native" else fallbacks)]
-    return [(r[0], None, how, r[1]) if how == "native" else (None, r[0], how, r[1]) for r, how in gone]
-
-
-def _reconcile(key, parts, state):
-    """Open rows of one match key; pairs leave when found, lone rows when their time is over."""
-    natives, fallbacks = [[tuple(r) for r in json.loads(p)] for p in state.get] if state.exists else ([], [])
-    out = []
-    if state.hasTimedOut:
-        out += _leave(natives, fallbacks, state.getCurrentWatermarkMs() * 1000)
-    else:
-        for kind, row in C._rows(pd.concat(list(parts))):
-            out += _leave(natives, fallbacks, row[1])
-            hit = C.arrive(kind, row, natives, fallbacks)
-            if hit:
-                out.append((hit[0][0], hit[1][0], hit[2], row[1]))
-    if natives or fallbacks:
-        state.update((json.dumps(natives), json.dumps(fallbacks)))
-        ends = [n[1] + C.RECENT for n in natives] + [f[1] + C.HORIZON for f in fallbacks]
-        state.setTimeoutTimestamp(max(min(ends) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-    elif state.exists:
-        state.remove()
-    pdf = pd.DataFrame(out, columns=["native_id", "fallback_id", "how", "seen"])
-    yield pdf.astype({"native_id": "Int64", "fallback_id": "Int64", "how": "string"})
+class _Match(StatefulProcessor):
+    """Open rows of one match key, one state entry and one timer each; lone rows leave when their time is over."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "kind int, id bigint", "seen bigint, asked bigint, caller string, corr string")
+
+    def _replay(self):
+        replay = C.Replay()
+        rows = [C.Row(*k, *v) for k, v in self.open.iterator()] if self.open.exists() else []
+        for row in sorted(rows, key=lambda r: (r.seen, r.kind, r.id)):
+            replay.hold(row)
+        return replay, {(r.kind, r.id) for r in rows}
+
+    def _leave(self, replay, before):
+        now = {(r.kind, r.id): r for r in replay.open_rows()}
+        for name in before - now.keys():
+            self.open.removeKey(name)
+        for name in now.keys() - before:
+            row = now[name]
+            self.open.updateValue(name, (row.seen, row.asked, row.caller, row.corr))
+            self.handle.registerTimer((row.seen + (C.HORIZON if row.kind else C.RECENT)) // 1000 + 1)
+        if replay.out:
+            yield pd.DataFrame(replay.out, columns=["native_id", "fallback_id", "how", "seen"]).astype({"native_id": "Int64", "fallback_id": "Int64"})
+
+    def handleInputRows(self, key, rows, timerValues):
+        replay, before = self._replay()
+        pdf = pd.concat(list(rows)).sort_values(["seen", "kind", "id"])
+        for values in zip(*[pdf[n].tolist() for n in ("kind", "id", "seen", "asked", "caller", "corr")]):
+            replay.arrive(C.Row(*values))
+        yield from self._leave(replay, before)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        replay, before = self._replay()
+        replay.advance(timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._leave(replay, before)
 
 
 def st_reconcile(native: DataFrame, fallback: DataFrame, late: str = "10 seconds") -> DataFrame:
     """(native_id, fallback_id, how, seen): pairs, and lone rows once nothing can match them any more.
 
-    ``seen`` is the time of observation that completed the pair, in microseconds.
+    ``seen`` is the time of observation that completed the pair, in microseconds; rows always have one.
 
-    Works on observation time; input is expected in that order up to ``late``.
+    Works on observation time; input is expected in that order up to ``late``. Held fallbacks are not superseded here:
+    streams cross match keys, and only the batch job looks across them.
     """
     session.ship(native.sparkSession)
-    both = event_time(native, "observed_at"), event_time(fallback, "observed_at")
+    end = F.expr(CLOSING).cast("timestamp_ntz")
     slim = []
-    for kind, feed in enumerate(both):
-        s = C._slim(feed.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz")), kind)
-        slim.append(s.withColumn("at", F.timestamp_micros("seen")))
-    rows = slim[0].unionByName(slim[1]).withWatermark("at", late)
-    return rows.groupBy("key").applyInPandasWithState(
-        _reconcile, "native_id long, fallback_id long, how string, seen long", _OPEN_ROWS, "append", "EventTimeTimeout")
+    for kind, feed in enumerate((native, fallback)):
+        mark = feed.where(F.col("observed_at") >= end).withColumn("input_tokens", F.lit(1).cast("bigint"))
+        s = C._slim(feed.where(F.col("observed_at") < end), kind).unionByName(C._slim(mark.fillna(""), kind))
+        slim.append(s.withColumn("at", F.timestamp_micros("seen")).drop("stream"))
+    rows = dated(slim[0].unionByName(slim[1]), late, "at")
+    return rows.groupBy("key").transformWithStateInPandas(
+        _Match(), "native_id bigint, fallback_id bigint, how string, seen bigint", "append", "EventTime")
 
 
 # --- writers -------------------------------------------------------------------------------
@@ -203,16 +327,32 @@ def compact_rollup(spark: SparkSession, path: str, out: str, up_to: int) -> None
 
 # --- running a job to the end of its input --------------------------------------------------
 
-def drain(df: DataFrame, name: str, keys: list | None = None, conf: dict | None = None) -> DataFrame:
-    """Run over all input present and return what was written (a table in the shared folder).
+@dataclass
+class Ended:
+    """What a finished job wrote; rows its stateful parts dropped as late; sums of its observed counts."""
+
+    rows: DataFrame
+    dropped: int = 0
+    observed: Counter = field(default_factory=Counter)
+
+    def late(self, *totals: str) -> int:
+        """Late rows. Windows drop partial sums, so there the rows read are compared with the rows in the result."""
+        if not totals:
+            return self.dropped
+        kept = self.rows.agg(F.coalesce(sum((F.sum(t) for t in totals[1:]), F.sum(totals[0])), F.lit(0))).first()[0]
+        return self.observed["rows"] - kept
+
+
+def run_to_end(df: DataFrame, name: str, keys: list | None = None, conf: dict | None = None, ending: Ending | None = None) -> Ended:
+    """Run over all input present, then over the closing rows of ``ending``; the result is a table in the shared folder.
 
     With ``keys`` the job runs in update mode: each batch writes the groups it changed into its own
-    folder, and the newest version of each group is returned.
+    folder, and the newest version of each group is returned. The number of state partitions is fixed for the life of
+    a query: it is the session's number of shuffle partitions at the first start.
     """
     spark = df.sparkSession
     path, checkpoint = session.fresh_path(spark, name), session.fresh_path(spark, name + "-offsets")
-    # the number of state partitions is fixed for the life of a query: one per core
-    conf = {"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)} | (conf or {})
+    conf = {"spark.sql.streaming.numRecentProgressUpdates": "100000"} | (conf or {})
     old = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
@@ -220,21 +360,39 @@ def drain(df: DataFrame, name: str, keys: list | None = None, conf: dict | None
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
 
-    try:
+    done = Ended(df)
+
+    def run() -> None:
         out = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
         if keys:
             q = out.foreachBatch(write).outputMode("update").start()
         else:
             q = out.format("parquet").option("path", path).outputMode("append").start()
         q.awaitTermination()
+        for p in q.recentProgress:
+            done.dropped += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+            for metrics in p.observedMetrics.values():
+                done.observed.update({k: v or 0 for k, v in metrics.asDict().items()})
+
+    try:
+        run()
+        if ending:
+            ending.send()
+            run()
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if not keys:
-        return spark.read.schema(df.schema).parquet(path)
+        done.rows = spark.read.schema(df.schema).parquet(path)
+        return done
     rows = spark.read.schema(T.StructType([*df.schema, T.StructField("batch", T.LongType())])).parquet(path)
     newest = F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "batch").alias("v")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "v.*")
+    done.rows = rows.groupBy(*keys).agg(newest).select(*keys, "v.*")
+    return done
+
+
+def drain(df: DataFrame, name: str, keys: list | None = None, conf: dict | None = None, ending: Ending | None = None) -> DataFrame:
+    return run_to_end(df, name, keys, conf, ending).rows
 
 
 ROCKS = {"spark.sql.streaming.stateStore.providerClass": session.ROCKSDB}

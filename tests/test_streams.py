@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterline.operators import health, payloads, reconcile
+from meterline.operators import imports as M
 from meterline.operators import rollup as R
 from meterline.sources import tables as S
 from meterline.streaming import jobs as J
@@ -69,8 +70,72 @@ def test_settle_over_batches_and_idle(spark, tmp_path):
 
 
 def test_reconcile_over_batches(spark, events_dir):
-    facts = stream(spark, events_dir).where("ts is not null")
-    got = J.drain(J.st_reconcile(S.native_feed(facts), S.fallback_feed(facts)), "r", conf=J.ROCKS)
-    batch = S.requests(spark, SF).where("ts is not null")
-    want = reconcile.match_feeds(S.native_feed(batch), S.fallback_feed(batch))
-    assert rows(got.where("how not in ('native', 'fallback')").select("native_id", "fallback_id", "how")) == rows(want)
+    facts, end = stream(spark, events_dir), J.Ending(spark)
+    feeds = [end.closing(f, "observed_at") for f in (S.native_feed(facts), S.fallback_feed(facts))]
+    done = J.run_to_end(J.st_reconcile(*feeds, late="90 days"), "r", conf=J.ROCKS, ending=end)
+    batch = S.requests(spark, SF)
+    native, fallback = S.native_feed(batch), S.fallback_feed(batch)
+    want = [r for r in rows(reconcile.match_feeds(native, fallback).select("native_id", "fallback_id", "how")) if r[2] is not None and "superseded" not in r]
+    got = done.rows
+    assert rows(got.where("how not in ('native', 'fallback')").select("native_id", "fallback_id", "how")) == want
+    # every row left: in a pair or alone
+    assert got.where("native_id is not null").count() == native.where(reconcile.has_tokens()).count()
+    assert got.where("fallback_id is not null").count() == fallback.where(reconcile.has_tokens()).count()
+    assert done.late() == 0
+
+
+FACT = ["id", "ts", "fingerprint", "endpoint", "api_key", "api_key_hash", "stream"]
+
+
+def test_enrich_folds_and_ends(spark, tmp_path):
+    """Updates before and after their fact, twice, in parts; copies of a fact; a fact without a time; a late one."""
+    def fact(i, at, fp, end="", key="", own="", s=False):
+        return (i, at and f"2024-01-01 {at}", fp, end, key, own, s)
+    facts = [[fact(1, "00:00:00", "a"), fact(2, "00:01:00", "b"), fact(7, None, "a")], [fact(3, "00:01:00", "b"), fact(4, "00:20:00", "c", "/x", "k")],
+             [fact(5, "09:00:00", "d"), fact(6, "00:00:30", "late")], [fact(9, "09:01:00", "e")], [fact(8, "00:00:30", "later")]]
+    upd = [[(1, "00:01:00", "b", "/u", "", "", True)], [(2, "00:00:00", "a", "", "q", "", False), (2, "00:00:00", "a", "", "q", "", False), (3, "00:00:00", "a", "/v", "r", "h", False),
+            (4, "00:20:00", "c", "/y", "z", "h", True)], [(5, "00:01:00", "b", "/u", "", "", True)], [(7, "09:01:00", "e", "/e", "", "", False)], [(6, "00:02:00", "b", "/w", "", "", True)]]
+    types = "id long, ts string, fingerprint string, endpoint string, api_key string, api_key_hash string, stream boolean"
+    paths = [str(tmp_path / "facts"), str(tmp_path / "updates")]
+    for batch in zip(facts, upd):
+        for k, part in enumerate(batch):
+            part = [(r[0], r[1] and f"2024-01-01 {r[1]}", *r[2:]) for r in part] if k else part
+            df = spark.createDataFrame(part, types).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+            (df.withColumnRenamed("id", "seq") if k else df).coalesce(1).write.mode("append").parquet(paths[k])
+    end = J.Ending(spark)
+    sources = [end.closing(spark.readStream.schema(spark.read.parquet(p).schema).option("maxFilesPerTrigger", 1).parquet(p)) for p in paths]
+    done = J.run_to_end(J.st_enrich(*sources), "enrich", conf=J.ROCKS, ending=end)
+    got = {r["id"]: tuple(r[n] for n in FACT[3:]) for r in done.rows.collect()}
+    assert got == {1: ("/v", "q", "h", False), 2: ("", "", "", False), 3: ("/u", "", "", True), 4: ("/x", "k", "h", True), 5: ("", "", "", False), 6: ("", "", "", False),
+                   7: ("", "", "", False), 9: ("/e", "", "", False)}
+    assert done.rows.count() == 8 and done.late() == 2  # fact 8 and update 6 came when the watermark had passed them
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """Three batches; the last one is behind the watermark by days."""
+    path = str(tmp_path / "events")
+    events = S.table(spark, SF, "events").where("ts is not null")
+    edge = events.agg(F.expr("percentile_approx(unix_micros(cast(ts as timestamp)), 0.5)")).first()[0]
+    late = events.where(F.unix_micros(F.col("ts").cast("timestamp")) < edge - 3 * 86400 * 1000000)
+    rest = events.join(late.select("event_id"), "event_id", "left_anti").select(events.columns)
+    for part in (rest.where("event_id % 2 = 0"), rest.where("event_id % 2 = 1"), late):
+        part.coalesce(1).write.mode("append").parquet(path)
+    n, facts = late.count(), S.facts_from_events(events)
+    undated = facts.where("ts is null").count()
+    n -= S.facts_from_events(late).where("ts is null").count()
+    assert n > 0
+    wide = "40 days"
+    for job, totals, keys in ((J.st_health, ("success", "failure"), ["slot_start"]), (J.st_series_hour, ("requests",), ["hour_start", "model", "provider"])):
+        assert J.run_to_end(job(stream(spark, path), "1 hour"), "late", keys).late(*totals) >= n
+        assert J.run_to_end(job(stream(spark, path), wide), "late", keys).late(*totals) == 0
+    with_fp = lambda: M.with_fingerprint(stream(spark, path))
+    some = J.run_to_end(J.st_dedup(with_fp(), "1 hour"), "late", conf=J.ROCKS)
+    assert some.late() >= n and some.rows.count() == facts.count() - some.late()
+    assert some.rows.where("ts is null").count() == undated
+    assert J.run_to_end(J.st_dedup(with_fp(), wide), "late", conf=J.ROCKS).late() == 0
+
+
+def test_undated_hours(spark, events_dir, tmp_path):
+    path = str(tmp_path / "hours")
+    J.st_undated_hours(stream(spark, events_dir), path, str(tmp_path / "c")).awaitTermination()
+    assert J.read_undated_hours(spark, path).agg(F.sum("requests")).first()[0] == S.requests(spark, SF).where("ts is null").count()
