@@ -26,6 +26,7 @@ from meterline import session
 from meterline.llm.common import Bytes, Rolling, load, mix64, n_partitions, ragged, stored, text_chunks
 
 LENGTH = 400
+CHUNK = 1 << 20  # bytes of text worked on at once
 ANCHOR = 32
 BLOCK = 32
 PIECE = 1 << 23  # windows whose anchors are found at once; places must fit 24 bits with a window's length
@@ -228,14 +229,14 @@ def find_and_cut(docs: DataFrame) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, text in text_chunks(batch):
+            for part, text in text_chunks(batch, limit=CHUNK):
                 u = Units(text)
                 yield rows(part.column("doc_id"), u.doc, u.t1, u.t2, np.ones(len(u.t1), bool))
 
     def smaller(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, text in text_chunks(batch):
+                for part, text in text_chunks(batch, limit=CHUNK):
                     act, u = Acts(part.column("__found")), Units(text)
                     which, need = act.split(0, u.doc, u.t1, u.t2)
                     unit, first, n, t1, t2 = u.blocks(which)
@@ -276,7 +277,7 @@ def find_and_cut(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, text in text_chunks(batch):
+            for part, text in text_chunks(batch, limit=CHUNK):
                 act, u = Acts(part.column("__found")), Units(text)
                 which, _ = act.split(0, u.doc, u.t1, u.t2)
                 unit, first, n, t1, t2 = u.blocks(which)
