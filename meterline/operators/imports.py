@@ -3,11 +3,16 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterline import session
 from meterline.functions import identity as I
 from meterline.functions import text as X
 from meterline.functions import tokens as K
 from meterline.functions.text import tidy
 from meterline.functions.timeparse import ntz_to_micros
+from meterline.schema import TOKEN_COLUMNS
+
+
+NEGATIVE, NAMELESS, FOREIGN = "negative token count", "no upstream", "unsupported version"
 
 
 def fingerprint() -> Column:
@@ -67,34 +72,66 @@ def import_antijoin(existing: DataFrame, imported: DataFrame, order: list) -> Da
     return unique.join(known, "fingerprint", "left_anti").select(*cols)
 
 
+def fault() -> Column:
+    """Why a row must not be imported; NULL where it may. Rows without a ``version`` column come from no document."""
+    negative = F.lit(False)
+    for t in TOKEN_COLUMNS:
+        negative = negative | (F.col(t) < 0)
+    return (F.when(negative, F.lit(NEGATIVE)).when(~has_upstream(), F.lit(NAMELESS)))
+
+
+def judged(imported: DataFrame) -> DataFrame:
+    """Adds ``reason`` (NULL for good rows)."""
+    reason = fault()
+    if "version" in imported.columns:
+        reason = F.when(~F.coalesce(F.col("version"), F.lit(0)).isin(0, 1), F.lit(FOREIGN)).otherwise(reason)
+    return imported.withColumn("reason", reason)
+
+
+def quarantine(imported: DataFrame) -> DataFrame:
+    """(reason, rows): what an import leaves out or fails for."""
+    return judged(imported).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def admitted(imported: DataFrame, now: Column, salt: str = "") -> DataFrame:
+    """Rows of an import after the gate, repaired and with their fingerprint, and ``refused`` for those left out.
+
+    A negative count or a foreign version refuses the whole import, a blank upstream its own row. Numbers, labels and
+    caller identity are repaired before the fingerprint, so history with raw labels meets the rows it once was.
+    """
+    rows = judged(imported)
+    closed = rows.agg(F.coalesce(F.bool_or(F.col("reason").isin(NEGATIVE, FOREIGN)), F.lit(False)).alias("closed"))
+    rows = rows.crossJoin(F.broadcast(closed)).withColumn("refused", F.col("closed") | F.col("reason").isNotNull())
+    # cut here: inlined into the fingerprint, the label patterns would be repeated many times over
+    return with_fingerprint(session.checkpoint(clean_labels(clean_numbers(rows.drop("closed", "reason"), now), salt)))
+
+
 def merge_snapshots(existing: DataFrame, imported: DataFrame, now: Column, retention_days: int = 0,
-                    order: list | None = None) -> DataFrame:
-    """Existing rows and new imported ones inside the retention; both carry no fingerprint yet.
+                    order: list | None = None, salt: str = "") -> DataFrame:
+    """Existing rows and the new ones of an import inside the retention.
 
-    Imported rows without an upstream are left out.
+    ``existing`` is only fingerprinted where it does not carry a stored ``fingerprint``.
     """
-    named = clean_numbers(imported, now).where(has_upstream())
-    fresh = with_fingerprint(named).where(inside_retention(now, retention_days))
-    added = import_antijoin(with_fingerprint(existing), fresh, order or ["id"])
+    fresh = admitted(imported, now, salt).where(~F.col("refused") & inside_retention(now, retention_days))
+    stored = existing if "fingerprint" in existing.columns else with_fingerprint(existing)
+    added = import_antijoin(stored, fresh, order or ["id"])
     return existing.unionByName(added.select(*existing.columns))
 
 
-def import_counts(existing: DataFrame, imported: DataFrame, now: Column, retention_days: int = 0,
-                  order: list | None = None) -> DataFrame:
-    """One row: input, accepted, rejected (no upstream), added, skipped, ignored by retention."""
-    rows = with_fingerprint(clean_numbers(imported, now))
-    keep = has_upstream() & inside_retention(now, retention_days)
-    per_fp = rows.groupBy("fingerprint").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(keep).alias("kept"), F.count_if(~has_upstream()).alias("nameless"))
-    known = with_fingerprint(existing).select("fingerprint", F.lit(1).alias("known")).distinct()
+def import_counts(existing: DataFrame, imported: DataFrame, now: Column, retention_days: int = 0, salt: str = "") -> DataFrame:
+    """One row: input, accepted, rejected (refused rows), added, skipped, ignored by retention."""
     c = F.col
+    keep = ~c("refused") & inside_retention(now, retention_days)
+    per_fp = admitted(imported, now, salt).groupBy("fingerprint").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(keep).alias("kept"), F.count_if("refused").alias("refused"))
+    stored = existing if "fingerprint" in existing.columns else with_fingerprint(existing)
+    known = stored.select("fingerprint", F.lit(1).alias("known")).distinct()
     added = F.when((c("kept") > 0) & c("known").isNull(), 1).otherwise(0)
+    total = lambda x, name: F.coalesce(F.sum(x), F.lit(0)).alias(name)
     out = per_fp.join(known, "fingerprint", "left").agg(
-        F.sum("n").alias("input"), F.sum(added).alias("added"),
-        F.sum(c("kept") - added).alias("skipped"), F.sum(c("n") - c("kept") - c("nameless")).alias("ignored"))
-    done = c("added") + c("skipped") + c("ignored")
-    return out.select("input", done.alias("accepted"), (c("input") - done).alias("rejected"),
-                      "added", "skipped", "ignored")
+        total(c("n"), "input"), total(c("refused"), "rejected"), total(added, "added"), total(c("kept") - added, "skipped"),
+        total(c("n") - c("kept") - c("refused"), "ignored"))
+    return out.select("input", (c("input") - c("rejected")).alias("accepted"), "rejected", "added", "skipped", "ignored")
 
 
 def fold_updates(updates: DataFrame) -> DataFrame:

@@ -52,22 +52,53 @@ _CLEAN = (f"c0 AS (SELECT *, {B.d_family('provider')} = 'claude' OR (trim(provid
 _IN = f"ts >= {B.NOW} - INTERVAL 25 DAY"
 
 
-@facts_query("merge_snapshots", f"""{B.REQ}, {_IMPORTED}, {_CLEAN}, x AS (SELECT *, {d_fp()} AS fp FROM imp WHERE {_IN}), k AS (SELECT DISTINCT {d_fp()} AS fp FROM requests),
-  n AS (SELECT * FROM x WHERE fp NOT IN (SELECT fp FROM k) QUALIFY row_number() OVER (PARTITION BY fp ORDER BY id, seq) = 1)
-  SELECT id, {B.TS} AS ts, latency_ms, total_tokens, false AS added FROM requests UNION ALL SELECT id, {B.TS}, latency_ms, total_tokens, true FROM n""")
+def d_relabelled(table: str) -> str:
+    """Repaired labels of history, as clean_import_labels gives them."""
+    blank = "source IN ('', 'deadbeef01')"
+    up = "'upstream · ' || CAST(substr(api, 12) AS VARCHAR)"
+    api = (f"CASE WHEN NOT {blank} THEN CASE WHEN provider = '' THEN {up} ELSE provider END || ' · ' || source "
+           f"ELSE CASE WHEN provider = '' THEN {up} ELSE provider END || CASE WHEN auth_index = '' THEN '' ELSE ' · 上游 ' || auth_index END END")
+    return (f"SELECT * REPLACE (CASE WHEN trim(model) = '' THEN 'unknown' ELSE model END AS model, CASE WHEN {blank} THEN provider ELSE source END AS source, {api} AS api) "
+            f"FROM {table}")
+
+
+_RAW = "SELECT * REPLACE (replace(api, ' - ', ' · ') AS api) FROM requests"
+_HISTORY = (f"raw AS ({_RAW}), stored AS ({d_relabelled('raw')}), "
+            + _IMPORTED.replace("FROM requests", "FROM raw") + f", {_CLEAN}, named AS (SELECT *, id % 50 = 21 AS refused FROM imp), x AS (SELECT *, {d_fp()} AS fp, {_IN} AS keep "
+            f"FROM ({d_relabelled('named')})), k AS (SELECT DISTINCT {d_fp()} AS fp FROM stored)")
+
+
+def _history(facts):
+    """Stored rows with repaired labels, and an import of the same with raw ones, a part of it without an upstream."""
+    raw = facts.withColumn("api", F.replace("api", F.lit(" - "), F.lit(" · ")))
+    imported = S.imported(raw)
+    return session.checkpoint(M.clean_labels(raw)), imported.withColumn("api", F.when(c("id") % 50 == 21, F.lit(" ")).otherwise(c("api")))
+
+
+@facts_query("merge_snapshots", f"""{B.REQ}, {_HISTORY},
+  n AS (SELECT * FROM x WHERE keep AND NOT refused AND fp NOT IN (SELECT fp FROM k) QUALIFY row_number() OVER (PARTITION BY fp ORDER BY id, seq) = 1)
+  SELECT id, api, {B.TS} AS ts, latency_ms, total_tokens, false AS added FROM stored UNION ALL SELECT id, api, {B.TS}, latency_ms, total_tokens, true FROM n""")
 def merge_snapshots(facts):
-    imported = S.imported(facts)
-    out = M.merge_snapshots(facts.withColumns({"seq": F.lit(0), "added": F.lit(False)}), imported.withColumn("added", F.lit(True)),
+    stored, imported = _history(facts)
+    out = M.merge_snapshots(stored.withColumns({"seq": F.lit(0), "added": F.lit(False)}), imported.withColumn("added", F.lit(True)),
                             S.now(), 25, ["id", "seq"])
-    return out.select("id", "ts", "latency_ms", "total_tokens", "added")
+    return out.select("id", "api", "ts", "latency_ms", "total_tokens", "added")
 
 
-@facts_query("import_counts", f"""{B.REQ}, {_IMPORTED}, {_CLEAN}, x AS (SELECT *, {d_fp()} AS fp, {_IN} AS keep FROM imp), k AS (SELECT DISTINCT {d_fp()} AS fp FROM requests),
-  n AS (SELECT count(DISTINCT fp) AS added FROM x WHERE keep AND fp NOT IN (SELECT fp FROM k)),
-  t AS (SELECT count(*) AS input, count(*) FILTER (WHERE keep) AS kept FROM x)
-  SELECT input, input AS accepted, 0 AS rejected, added, kept - added AS skipped, input - kept AS ignored FROM t, n""")
+@facts_query("import_counts", f"""{B.REQ}, {_HISTORY},
+  n AS (SELECT count(DISTINCT fp) AS added FROM x WHERE keep AND NOT refused AND fp NOT IN (SELECT fp FROM k)),
+  t AS (SELECT count(*) AS input, count(*) FILTER (WHERE keep AND NOT refused) AS kept, count(*) FILTER (WHERE refused) AS rejected FROM x)
+  SELECT input, input - rejected AS accepted, rejected, added, kept - added AS skipped, input - kept - rejected AS ignored FROM t, n""")
 def import_counts(facts):
-    return M.import_counts(facts, S.imported(facts), S.now(), 25)
+    return M.import_counts(*_history(facts), S.now(), 25)
+
+
+@facts_query("import_quarantine", f"""{B.REQ}, {_HISTORY}, q AS (SELECT CASE WHEN id % 1000 = 3 THEN 'negative token count' WHEN refused THEN 'no upstream' END AS reason FROM x)
+  SELECT reason, count(*) AS rows FROM q WHERE reason IS NOT NULL GROUP BY 1""")
+def import_quarantine(facts):
+    """Rows an import is refused for, by reason, with some negative counts among them."""
+    imported = _history(facts)[1]
+    return M.quarantine(imported.withColumn("cached_tokens", F.when(c("id") % 1000 == 3, F.lit(-1).cast("bigint")).otherwise(c("cached_tokens"))))
 
 
 @facts_query("clean_import_labels", f"""{B.REQ} SELECT id, CASE WHEN trim(model) = '' THEN 'unknown' ELSE model END AS model,

@@ -339,7 +339,7 @@ def headers_filter(facts):
 
 # --- the whole projection ------------------------------------------------------------------
 
-def raw_lines(facts: DataFrame) -> DataFrame:
+def raw_lines(facts: DataFrame, *keep: str) -> DataFrame:
     """JSON lines in two spellings made from the facts."""
     micros = P.ntz_to_micros(c("ts"))
     zulu = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
@@ -357,7 +357,17 @@ def raw_lines(facts: DataFrame) -> DataFrame:
         c("failed").alias("Failed"), F.struct(c("status_code").alias("StatusCode"), c("failure").alias("Body")).alias("Failure"),
         F.struct(c("input_tokens").alias("InputTokens"), c("output_tokens").alias("OutputTokens"), c("cached_tokens").alias("CachedTokens"),
                  c("cache_write_tokens").alias("CacheCreationTokens")).alias("Detail"), rid.alias("RequestID")))
-    return facts.select(F.when(c("id") % 2 == 0, snake).otherwise(pascal).alias("value"))
+    return facts.select(*keep, F.when(c("id") % 2 == 0, snake).otherwise(pascal).alias("value"))
+
+
+@facts_query("rejected_lines", f"""{B.REQ} SELECT CASE WHEN id % 97 = 0 THEN 'no JSON object' ELSE 'field of another kind' END AS reason, count(*) AS lines FROM requests
+  WHERE id % 97 = 0 OR id % 89 = 0 GROUP BY 1""")
+def rejected_lines(facts):
+    """What the reader leaves out, by reason: some lines are cut short, some hold a list for an object."""
+    lines = raw_lines(facts, "id")
+    listed = F.concat(F.lit('{"detail":["'), c("id").cast("string"), F.lit('"]}'))
+    broken = F.when(c("id") % 97 == 0, F.substring("value", 1, 20)).when(c("id") % 89 == 0, listed).otherwise(c("value"))
+    return J.rejected_lines(lines.select(broken.alias("value"))).groupBy("reason").agg(F.sum("copies").alias("lines"))
 
 
 @facts_query("src_usage_json", f"""{B.REQ} SELECT CAST(id AS VARCHAR) AS correlation_id, provider, CASE WHEN trim(model) = '' THEN '' ELSE model END AS model,

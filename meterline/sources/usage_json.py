@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterline import session
 from meterline.functions import identity as I
 from meterline.functions import text as X
 from meterline.functions import timeparse as P
@@ -125,30 +126,65 @@ def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
         for name in DURATION_FIELDS}).drop(*DURATION_FIELDS)
 
 
+def rejected_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(line, reason, copies): the lines that ``parse_records`` leaves out, each text once."""
+    c = F.col
+    bad = F.from_json(column, "struct<_x:string, " + f"{_BAD}:string>", {"columnNameOfCorruptRecord": _BAD})[_BAD].isNotNull()
+    typed = F.from_json(column, _schema(False), {"columnNameOfCorruptRecord": _BAD})[_BAD].isNotNull()
+    reason = F.when(bad, F.lit("no JSON object")).when(typed, F.lit("field of another kind"))
+    found = lines.select(c(column).alias("line"), F.explode(F.filter(F.array(reason), lambda r: r.isNotNull())).alias("reason"))
+    return found.groupBy("line", "reason").agg(F.count(F.lit(1)).alias("copies"))
+
+
 def read_usage(spark: SparkSession, path: str) -> DataFrame:
     return parse_records(spark.read.text(path))
 
 
+IDENTITY = ["provider", "executor_type", "source", "base_url", "api_key", "auth_index", "auth_id"]
+
+
+def identities(raw: DataFrame, salt: str = "") -> DataFrame:
+    """Every combination of identity fields once, with its labels: ``api``, ``source_label``, ``key_label`` and the hashes.
+
+    A table in the shared folder: its size is known when it is joined, so Spark broadcasts it below its own threshold.
+    The chain of patterns is too long to compile as one stage; it runs without, on these few rows only.
+    """
+    c = F.col
+    few = session.checkpoint(raw.select(*IDENTITY).distinct())
+    df = I.with_source_labels(I.with_upstream_key(few))
+    df = df.withColumn("key_label", X.mask_key(I.client_key_canonical(c("api_key"))))
+    named = df.select(*IDENTITY, "api", "source_label", "key_label", I.client_key_hash(c("api_key"), salt).alias("api_key_hash"),
+                      I.client_key_hash(c("key_label"), salt).alias("label_hash"))
+    spark, compiled = raw.sparkSession, "spark.sql.codegen.wholeStage"
+    path, old = session.fresh_path(spark, "identities"), spark.conf.get(compiled, "true")
+    spark.conf.set(compiled, "false")
+    try:
+        named.write.parquet(path)
+    finally:
+        spark.conf.set(compiled, old)
+    return spark.read.schema(named.schema).parquet(path)
+
+
 def normalize_requests(raw: DataFrame, ingest_time: Column, salt: str = "", allow_headers: str = "") -> DataFrame:
-    """Raw records to fact rows: one chain of projections, no shuffle."""
+    """Raw records to fact rows.
+
+    The label heuristics are long chains of patterns, and requests share few identities: labels are made once per
+    combination and come back by a join on it. Failure texts are only searched where there is one.
+    """
     c = F.col
-    df = raw.withColumn("model", X.first_text(c("model"), F.lit("unknown")))
-    df = I.with_upstream_key(df)
-    df = I.with_source_labels(df)
-    df = K.raw_tokens(df)
-    key = I.client_key_canonical(c("api_key"))
-    label = X.mask_key(key)
+    raw = raw.withColumns({n: F.coalesce(c(n), F.lit("")) for n in IDENTITY})
+    df = K.raw_tokens(raw.withColumn("model", X.first_text(c("model"), F.lit("unknown")))).join(identities(raw, salt), IDENTITY)
+    body = tidy(c("failure_body"))
     return df.select(
         F.coalesce(c("requested_at"), ingest_time).alias("ts"), "api", "model",
         c("source_label").alias("source"), I.source_key(c("source_label")).alias("source_key"),
         tidy(c("provider")).alias("provider"), tidy(c("auth_id")).alias("auth_id"),
         tidy(c("auth_index")).alias("auth_index"), tidy(c("auth_type")).alias("auth_type"),
-        label.alias("api_key"), I.client_key_hash(c("api_key"), salt).alias("api_key_hash"),
-        I.client_key_hash(label, salt).alias("label_hash"),
+        c("key_label").alias("api_key"), "api_key_hash", "label_hash",
         I.infer_endpoint(c("endpoint"), c("provider"), c("source"), c("executor_type")).alias("endpoint"),
         tidy(c("base_url")).alias("base_url"), "stream",
         "input_tokens", "output_tokens", "reasoning_tokens", "cached_tokens", "cache_tokens",
         "cache_write_tokens", "total_tokens", "latency_ms", "ttft_ms", "failed", "status_code",
-        X.shorten(X.redact_text(c("failure_body")), FAILURE_LIMIT).alias("failure"),
+        F.when(F.coalesce(body, F.lit("")) == "", F.lit("")).otherwise(X.shorten(X.redact_text(body), FAILURE_LIMIT)).alias("failure"),
         I.thinking_struct(c("reasoning_effort")).alias("thinking"),
         X.headers_filter(c("response_headers"), allow_headers).alias("headers"))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from meterline import session
 from meterline.functions import identity as I
 from meterline.functions import text as X
 from meterline.functions import timeparse as P
@@ -243,12 +244,28 @@ def test_snapshot_totals_of_an_upstream(spark):
         assert r["models"] > 1 and r["kinds"] == 1 and r["whole"] == r["parts"] == want[r["api"]]
 
 
-def test_nameless_imports_are_rejected(spark):
+def test_import_flow(spark):
+    """Raw labels and caller keys meet the stored rows; nameless rows are left out; a negative count refuses the import."""
     from meterline.operators import imports as M
-    # stored rows carry the totals that an import recomputes
-    base = M.clean_numbers(S.requests(spark, "/root/testdata/sf0.001").where("id < 40 and ts is not null"), S.now())
-    odd = base.withColumn("api", F.when(c("id") < 5, F.lit(None)).when(c("id") < 9, F.lit(" ")).otherwise(F.concat("api", F.lit("x"))))
-    n, bad, everything = base.count(), base.where("id < 9").count(), base.unionByName(odd)
-    got = M.import_counts(base, everything, S.now()).first().asDict()
+    raw = S.requests(spark, "/root/testdata/sf0.001").where("id < 40 and ts is not null").withColumn("api", F.replace("api", F.lit(" - "), F.lit(" · ")))
+    raw = raw.withColumn("api_key", F.concat(F.lit("Bearer raw-key-"), c("id") % 3)).withColumn("api_key_hash", F.lit(""))
+    raw = session.checkpoint(raw)
+    stored = session.checkpoint(M.with_fingerprint(session.checkpoint(M.clean_labels(M.clean_numbers(raw, S.now()), "pepper"))))
+    n, bad = raw.count(), raw.where("id < 9").count()
+    odd = raw.withColumn("api", F.when(c("id") < 5, F.lit(None)).when(c("id") < 9, F.lit(" ")).otherwise(c("api"))).withColumn("latency_ms", c("latency_ms") + 1)
+    got = M.import_counts(stored, raw.unionByName(odd), S.now(), salt="pepper").first().asDict()
     assert got == {"input": 2 * n, "accepted": 2 * n - bad, "rejected": bad, "added": n - bad, "skipped": n, "ignored": 0}
-    assert M.merge_snapshots(base, everything, S.now()).count() == 2 * n - bad
+    assert M.merge_snapshots(stored, raw.unionByName(odd), S.now(), salt="pepper").count() == 2 * n - bad
+    negative = odd.withColumn("cache_tokens", F.when(c("id") == 20, F.lit(-1).cast("bigint")).otherwise(c("cache_tokens")))
+    for refused in (negative, odd.withColumn("version", F.when(c("id") == 20, 7).otherwise(1))):
+        got = M.import_counts(stored, refused, S.now(), salt="pepper").first().asDict()
+        assert (got["accepted"], got["rejected"], got["added"]) == (0, n, 0)
+    assert {r["reason"]: r["rows"] for r in M.quarantine(negative).collect()} == {"no upstream": bad, "negative token count": 1}
+
+
+def test_unreadable_lines_are_counted(spark):
+    lines = spark.createDataFrame([("broken",), ("broken",), ('{"model":"m"}',), ('{"detail":[1]}',), ("",), (None,), ("[1]",)], "value string")
+    got = {(r["line"], r["reason"]): r["copies"] for r in J.rejected_lines(lines).collect()}
+    assert got[("broken", "no JSON object")] == 2 and got[('{"detail":[1]}', "field of another kind")] == 1
+    assert not any(line == '{"model":"m"}' for line, _ in got)
+    assert J.parse_records(lines).where("model = 'm'").count() == 1
