@@ -252,7 +252,7 @@ def test_import_flow(spark):
     raw = session.checkpoint(raw)
     stored = session.checkpoint(M.with_fingerprint(session.checkpoint(M.clean_labels(M.clean_numbers(raw, S.now()), "pepper"))))
     n, bad = raw.count(), raw.where("id < 9").count()
-    odd = raw.withColumn("api", F.when(c("id") < 5, F.lit(None)).when(c("id") < 9, F.lit(" ")).otherwise(c("api"))).withColumn("latency_ms", c("latency_ms") + 1)
+    odd = raw.withColumn("api", F.when(c("id") < 5, F.lit(None)).when(c("id") < 9, F.lit(" ")).otherwise(c("api"))).withColumn("input_tokens", c("input_tokens") + 1)
     got = M.import_counts(stored, raw.unionByName(odd), S.now(), salt="pepper").first().asDict()
     assert got == {"input": 2 * n, "accepted": 2 * n - bad, "rejected": bad, "added": n - bad, "skipped": n, "ignored": 0}
     assert M.merge_snapshots(stored, raw.unionByName(odd), S.now(), salt="pepper").count() == 2 * n - bad
