@@ -10,8 +10,7 @@ are left, and then the rest of the bits has a common variant within one bit. Fin
 rest, for any of the three groups, have no partner.
 
 Defined cases: null text: empty; no words: fingerprint 0, linked like any other; rows with equal ids are separate
-documents, but representatives() keeps or drops rows of one id together; ids that are null are greater than any; other
-columns are left out by fingerprinted() and kept by representatives().
+documents; ids that are null are greater than any; other columns are left out by fingerprinted() and kept by representatives().
 """
 
 from __future__ import annotations
@@ -171,13 +170,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def representatives(docs: DataFrame, n: int = 5) -> DataFrame:
-    """docs with one document of each group of a shingle similarity of 0.8 or more (the least id; rows that share an id stay together).
+    """docs with one row of each group at a shingle similarity of 0.8 or more, by short seeded fingerprints; see near.py.
 
-    The groups are those of similar.py, exact at any similarity: copies at 0.8 differ in 9 or 10 of 64 bits on average.
+    Copies at 0.8 differ in 9 or 10 of 64 bits on average, out of the reach of the ball above.
     """
-    from meterline.llm import similar
+    from meterline.llm import near
 
-    rows = stored(similar.grouped(docs, n), "simhash-groups")
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("least"))
-    losers = rows.join(least, "component").filter(~F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(losers, docs["doc_id"].eqNullSafe(losers["__id"]), "left_anti")
+    return near.representatives(docs, n)

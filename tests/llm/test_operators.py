@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from meterline.llm import chaining, components, cotraining, fingerprints, mixing, pieces, quality_rules, similar, simhash, suffixes, token_counts, treescore
+from meterline.llm import chaining, components, cotraining, fingerprints, mixing, near, pieces, quality_rules, similar, simhash, suffixes, token_counts, treescore
 from meterline.llm.common import text_chunks
 from meterline.llm.registry import QUERIES
 
@@ -312,8 +312,12 @@ def test_simhash_ball(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
-def test_near_dedup_is_exact_at_similarity(spark, monkeypatch):
-    """Copies with a few words changed, in a group whose shingles are frequent, against all pairs."""
+def _close(have: list[set], i: int, j: int) -> bool:
+    return 5 * len(have[i] & have[j]) >= 4 * len(have[i] | have[j])
+
+
+def test_near_dedup_against_all_pairs(spark, monkeypatch):
+    """Copies with a few words changed, in a group whose shingles are frequent; the exact join of similar.py is held to the same."""
     monkeypatch.setattr(similar, "SAMPLE", 1)
     rnd = random.Random(6)
     rows, base = [], [[f"w{rnd.randint(0, 9000)}" for _ in range(rnd.choice((6, 40, 150, 400)))] for _ in range(12)]
@@ -323,16 +327,78 @@ def test_near_dedup_is_exact_at_similarity(spark, monkeypatch):
             w[rnd.randrange(len(w))] = f"x{rnd.randint(0, 9000)}"
         rows.append((i, "license of the common kind and so on " * (i % 2) + " ".join(w)))
     have = [brute.shingles(t) for _, t in rows]
-    group, near = list(range(240)), 0
+    group, near_pairs = list(range(240)), 0
     for i in range(240):
         for j in range(i):
-            if 5 * len(have[i] & have[j]) >= 4 * len(have[i] | have[j]):
-                near += have[i] != have[j]
+            if _close(have, i, j):
+                near_pairs += have[i] != have[j]
                 x, y = group[i], group[j]
                 group = [min(x, y) if g in (x, y) else g for g in group]
-    assert near > 100 and 12 < len(set(group)) < 200
-    left = simhash.representatives(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert near_pairs > 100 and 12 < len(set(group)) < 200
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    left = simhash.representatives(docs)
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(group))
+    exact = {}
+    for r in similar.grouped(docs, 5).collect():
+        exact.setdefault(r.component, []).append(r.doc_id)
+    assert sorted(map(min, exact.values())) == sorted(set(group))
+
+
+def test_near_dedup_recall_of_lone_pairs(spark):
+    """Pairs of different sets just above the threshold, each a group of its own, so nothing else can join them."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(150):
+        w = [f"p{i}w{rnd.randint(0, 9000)}" for _ in range(200)]
+        rows.append((2 * i, " ".join(w)))
+        for at in (40, 90, 140, 190)[:rnd.randint(2, 4)]:
+            w[at] = "changed"
+        rows.append((2 * i + 1, " ".join(w)))
+    have = [brute.shingles(t) for _, t in rows]
+    close = [i for i in range(150) if _close(have, 2 * i, 2 * i + 1)]
+    assert len(close) > 100
+    left = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert left >= {2 * i for i in range(150)}
+    assert sum(2 * i + 1 not in left for i in close) >= 0.95 * len(close)
+    assert all(2 * i + 1 in left for i in range(150) if i not in close)
+
+
+def test_near_dedup_links_grow_with_the_rows(spark):
+    """Near copies of one text, most pairs below the threshold: links stay in proportion, and no false one is kept."""
+    rnd = random.Random(12)
+    base = [f"w{rnd.randint(0, 9000)}" for _ in range(120)]
+    counts = []
+    for n in (200, 400):
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for at in rnd.sample(range(120), 2):
+                w[at] = f"x{i}"
+            rows.append((i, " ".join(w)))
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        have = [brute.shingles(t) for _, t in rows]
+        each = near.described(docs, 5).withColumn("component", F.col("node"))
+        counts.append(near.linked(near.emitted(each, 0), 0).count())
+        group = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                if _close(have, i, j):
+                    x, y = group[i], group[j]
+                    group = [min(x, y) if g in (x, y) else g for g in group]
+        left = sorted(r.doc_id for r in simhash.representatives(docs).collect())
+        assert set(group) <= set(left) and n - len(left) >= 0.9 * (n - len(set(group)))
+    assert counts[1] <= 136 * 400 and counts[1] < 2.6 * counts[0]
+
+
+def test_near_dedup_keeps_one_row(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "a b c d e f", "z"), (None, "lone words of a text", "u"),
+            (1, "another text under the first id", "v"), (None, None, "n"), (4, " ", "e"), (4, "", "e"), (None, "lone words of a text", "w")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, node string")
+    left = simhash.representatives(docs)
+    assert left.columns == docs.columns
+    assert Counter((r.doc_id, (r.text or "").strip()) for r in left.collect()) == Counter(
+        [(1, "a b c d e f"), (1, "another text under the first id"), (None, "lone words of a text"), (4, "")])
+    assert simhash.representatives(docs.limit(0)).count() == 0
 
 
 def test_sketches_bound_the_difference():
