@@ -1,6 +1,6 @@
 """Event lists: pages, newest rows, drill-down, exports."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,6 +9,7 @@ from meterline.functions import timeparse as P
 from meterline.functions import tokens as K
 from meterline.functions.text import tidy
 from meterline.operators import filters as Q
+from meterline.operators import newest as N
 from meterline.operators import rollup as R
 from meterline.functions import identity as I
 from meterline.schema import (CSV_HEADER, ERRORS_DEFAULT, ERRORS_MAX, PAGE_DEFAULT, PAGE_MAX, RECENT_DEFAULT,
@@ -46,10 +47,9 @@ def export_cap(requested: int, configured: int) -> int:
 
 
 def export_window(facts: DataFrame, q: Q.Query, snapshot_at: Column, cap: int) -> DataFrame:
-    """Rows of an export with a frozen upper bound, newest first, capped when asked to."""
+    """Rows of an export with a frozen upper bound, newest first, capped when asked to; any cap leaves several ordered files."""
     rows = Q.filter_before(Q.apply(facts, q, snapshot_at), snapshot_at)
-    rows = rows.orderBy(*newest_first())
-    return rows.limit(cap) if cap > 0 else rows
+    return N.newest(rows, cap) if cap > 0 else rows.orderBy(*newest_first())
 
 
 def export_header(facts: DataFrame, q: Q.Query, snapshot_at: Column, cap: int) -> DataFrame:
@@ -105,29 +105,12 @@ def detail_sources(rows: DataFrame) -> DataFrame:
 
 # --- newest rows per group -----------------------------------------------------------------
 
-SALTS = 32
-
-
-def _newest_per_group(facts: DataFrame, n: int) -> DataFrame:
-    """Newest n rows per (api, model) in two steps: within salted slices, then across them.
-
-    No task ever sorts more than a slice of a hot group, and the second step sees at most
-    n x SALTS rows of it.
-    """
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    first = Window.partitionBy("api", "model", "_salt").orderBy(*newest_first())
-    slices = salted.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= n).drop("_rn", "_salt")
-    second = Window.partitionBy("api", "model").orderBy(*newest_first())
-    return slices.withColumn("rn", F.row_number().over(second)).where(F.col("rn") <= n)
+GROUP = ["api", "model"]
 
 
 def visible_details(facts: DataFrame, n: int) -> DataFrame:
     """The newest n rows per (api, model); a negative n means all, 0 none."""
-    if n < 0:
-        return facts
-    if n == 0:
-        return facts.where(F.lit(False))
-    return _newest_per_group(facts, n).drop("rn")
+    return N.split(facts, GROUP, n)[0]
 
 
 def visible_count(facts: DataFrame, n: int) -> DataFrame:
@@ -138,21 +121,8 @@ def visible_count(facts: DataFrame, n: int) -> DataFrame:
 
 
 def cap_overflow(facts: DataFrame, n: int) -> DataFrame:
-    """Rows beyond the newest n per (api, model).
-
-    The n-th newest row of each group is found first; the facts are then compared with it, so the
-    (possibly huge) overflow itself is never ranked.
-    """
-    if n < 0:
-        return facts.where(F.lit(False))
-    if n == 0:
-        return facts
-    edge = (_newest_per_group(facts.select("api", "model", "ts", "id"), n).where(F.col("rn") == n)
-            .select("api", "model", F.col("ts").alias("edge_ts"), F.col("id").alias("edge_id")))
-    ts, at = F.col("ts"), F.col("edge_ts")
-    older = F.when(at.isNull(), ts.isNull() & (F.col("id") < F.col("edge_id"))).otherwise(
-        ts.isNull() | (ts < at) | ((ts == at) & (F.col("id") < F.col("edge_id"))))
-    return facts.join(edge, ["api", "model"]).where(older).drop("edge_ts", "edge_id")
+    """Rows beyond the newest n per (api, model)."""
+    return N.split(facts, GROUP, n)[1]
 
 
 # --- exports -------------------------------------------------------------------------------

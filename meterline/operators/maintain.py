@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from meterline.functions.text import tidy
 from meterline.functions.tokens import clamp
 from meterline.operators import events as E
+from meterline.operators import newest as N
 from meterline.operators import rollup as R
 from meterline.schema import LOCAL_OFFSET_HOURS
 
@@ -26,7 +27,7 @@ def prune_cap(facts: DataFrame, now: Column, limit: int, retention_days: int) ->
     """(kept, removed): with a retention rows stay, without one each (api, model) keeps ``limit``."""
     if retention_days > 0 or limit < 0:
         return facts, facts.where(F.lit(False))
-    return E.visible_details(facts, limit), E.cap_overflow(facts, limit)
+    return N.split(facts, E.GROUP, limit)
 
 
 def rollup_rebuild(facts: DataFrame) -> DataFrame:
