@@ -12,6 +12,7 @@ from meterline.operators import rollup as R
 from meterline.plans import base as B
 from meterline.plans.base import facts_query, query
 from meterline.sources import tables as S
+from meterline.sources.store import FactStore
 from meterline.streaming import jobs as J
 
 c = F.col
@@ -85,6 +86,18 @@ def merge_snapshots(facts):
     return out.select("id", "api", "ts", "latency_ms", "total_tokens", "added")
 
 
+@facts_query("store_merge", f"""{B.REQ}, {_HISTORY},
+  n AS (SELECT * FROM x WHERE keep AND NOT refused AND fp NOT IN (SELECT fp FROM k) QUALIFY row_number() OVER (PARTITION BY fp ORDER BY id, seq) = 1)
+  SELECT id, api, {B.TS} AS ts, latency_ms, total_tokens FROM stored UNION ALL SELECT id, api, {B.TS}, latency_ms, total_tokens FROM n""")
+def store_merge(facts):
+    """merge_snapshots into a fact store: stored fingerprints of the days the import touches."""
+    stored, imported = _history(facts)
+    store = FactStore(facts.sparkSession, session.fresh_path(facts.sparkSession, "store"), stored.schema).create()
+    store.append(stored)
+    store.merge(imported, S.now(), 25, ["id", "seq"])
+    return store.read().select("id", "api", "ts", "latency_ms", "total_tokens")
+
+
 @facts_query("import_counts", f"""{B.REQ}, {_HISTORY},
   n AS (SELECT count(DISTINCT fp) AS added FROM x WHERE keep AND NOT refused AND fp NOT IN (SELECT fp FROM k)),
   t AS (SELECT count(*) AS input, count(*) FILTER (WHERE keep AND NOT refused) AS kept, count(*) FILTER (WHERE refused) AS rejected FROM x)

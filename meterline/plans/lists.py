@@ -12,6 +12,7 @@ from meterline.plans import base as B
 from meterline.plans.base import facts_query
 from meterline.sources import snapshot as SN
 from meterline.sources import tables as S
+from meterline.sources.store import FactStore
 
 c = F.col
 API = "gemini - 1"
@@ -151,6 +152,36 @@ def sink_requests(facts):
     return back.groupBy("local_day").agg(F.count(F.lit(1)).alias("requests"), F.sum("latency_ms").alias("latency"))
 
 
+def _store(facts):
+    """A fact store filled in two batches."""
+    store = FactStore(facts.sparkSession, session.fresh_path(facts.sparkSession, "store"), facts.schema).create()
+    store.append(facts.where("id % 3 = 0"))
+    store.append(facts.where("id % 3 <> 0"))
+    return store
+
+
+@facts_query("store_scan", f"{B.REQ} SELECT {D_ROW} FROM requests WHERE ts >= {B.NOW} - INTERVAL 7 DAY AND model = 'model-a'")
+def store_scan(facts):
+    """A filtered list from stored facts: only the folders of seven days are read."""
+    return Q.apply(_store(facts).read(), Q.Query(range="7d", model="model-a"), S.now()).select(*ROW)
+
+
+@facts_query("store_expire", f"{B.REQ} SELECT {D_ROW} FROM requests WHERE ts IS NULL OR ts >= {B.NOW} - INTERVAL 20 DAY")
+def store_expire(facts):
+    store = _store(facts)
+    store.expire(S.now(), 20)
+    return store.read().select(*ROW)
+
+
+@facts_query("store_compact", f"{B.FACTS} SELECT day AS local_day, count(*) AS requests, 1 AS batches, CAST(sum(latency_ms) AS BIGINT) AS latency FROM m GROUP BY 1")
+def store_compact(facts):
+    store = _store(facts)
+    store.compact()
+    folder = F.regexp_extract(F.input_file_name(), "batch=([^/]*)", 1)
+    return store.read().withColumn("batch", folder).groupBy("local_day").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_distinct("batch").alias("batches"), F.sum("latency_ms").alias("latency"))
+
+
 _TOP = "k AS (SELECT *, row_number() OVER (PARTITION BY api, model ORDER BY ts DESC NULLS LAST, id DESC) AS rn FROM m)"
 _EDGE = "CASE WHEN ts IS NULL THEN '' ELSE regexp_replace(strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') || '+08:00' END"
 
