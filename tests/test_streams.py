@@ -139,3 +139,10 @@ def test_undated_hours(spark, events_dir, tmp_path):
     path = str(tmp_path / "hours")
     J.st_undated_hours(stream(spark, events_dir), path, str(tmp_path / "c")).awaitTermination()
     assert J.read_undated_hours(spark, path).agg(F.sum("requests")).first()[0] == S.requests(spark, SF).where("ts is null").count()
+
+
+def test_enrich_without_python(spark, events_dir):
+    """One aggregate over all keys: no call of Python and no timer for each fact."""
+    facts = M.with_fingerprint(stream(spark, events_dir))
+    plan = J.st_enrich(facts, S.updates(facts))._jdf.queryExecution().analyzed().toString()
+    assert "collect_list" in plan and "InPandas" not in plan and "InPySpark" not in plan
