@@ -1,5 +1,6 @@
 """Streams over several batches equal their batch twins."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,38 @@ def test_enrich_without_python(spark, events_dir):
     facts = M.with_fingerprint(stream(spark, events_dir))
     plan = J.st_enrich(facts, S.updates(facts))._jdf.queryExecution().analyzed().toString()
     assert "collect_list" in plan and "InPandas" not in plan and "InPySpark" not in plan
+
+
+class Group:
+    """State of one group, kept between calls."""
+
+    def __init__(self):
+        self.get, self.exists, self.mark, self.timeout = None, False, 0, None
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def setTimeoutTimestamp(self, at):
+        assert at > self.mark
+        self.timeout = at
+
+    def call(self, fn, mark, *parts):
+        self.mark = mark
+        return sorted(tuple(r) for pdf in fn((0,), iter(parts), self) for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False))
+
+
+def test_match_keys_of_one_group():
+    """Many match keys in one call: each is replayed alone, open rows stay for the next call."""
+    names, s, g = list(J._OPEN_ROW), 1_000_000, Group()
+    rows = lambda *r: pd.DataFrame(r, columns=names)
+    first = [rows(("a", 0, 1, 10 * s, 10 * s, "", ""), ("b", 0, 2, 10 * s, 10 * s, "", "")), rows(("b", 1, 7, 11 * s, 11 * s, "", ""), ("c", 1, 8, 11 * s, 11 * s, "", ""))]
+    assert g.call(J._match, 0, *first) == [(2, 7, "recent", 11 * s)]
+    assert sorted(zip(g.get[0], g.get[2])) == [("a", 1), ("c", 8)] and g.timeout == 15001
+    assert g.call(J._match, 12_000, rows(("a", 1, 9, 12 * s, 12 * s, "", ""))) == [(1, 9, "recent", 12 * s)]
+    assert g.call(J._match, 60_000, rows()) == [(None, 8, "fallback", 11 * s)] and not g.exists
