@@ -182,3 +182,15 @@ def test_match_keys_of_one_group():
     assert sorted(zip(g.get[0], g.get[2])) == [("a", 1), ("c", 8)] and g.timeout == 15001
     assert g.call(J._match, 12_000, rows(("a", 1, 9, 12 * s, 12 * s, "", ""))) == [(1, 9, "recent", 12 * s)]
     assert g.call(J._match, 60_000, rows()) == [(None, 8, "fallback", 11 * s)] and not g.exists
+
+
+def test_streams_of_one_group():
+    """Many streams in one call: each ends alone, copies of a chunk count by arrival, others stay open until they idle."""
+    names, g = [*J._STREAM, *J._USED, "seq", "terminal", "at_ms"], Group()
+    rows = lambda *r: pd.DataFrame(r, columns=names)
+    a, b, c = [("f", "", "k", x) for x in "ab"] + [("f", None, "k", "c")]
+    assert g.call(J._settle, 0, rows((*a, 1, 5, 5, 2, False, 1000), (*b, 2, 1, 1, 9, False, 1000)), rows((*a, 1, 4, 4, 1, True, 1000), (*c, 1, 8, 8, 1, False, 2000))) == [(*a, 1, 5, 5)]
+    assert g.timeout == 61_000
+    assert g.call(J._settle, 1500, rows((*b, 2, 3, 3, 1, False, 9000), (*c, 2, 0, 0, 2, False, 3000))) == []
+    assert g.call(J._settle, 63_001, rows()) == [(*c, 1, 8, 8)]
+    assert g.call(J._settle, 63_002, rows((*b, 3, 0, 0, 3, True, 64_000))) == [(*b, 2, 3, 3)] and not g.exists
