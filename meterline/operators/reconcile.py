@@ -258,15 +258,17 @@ def _replay_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         cut = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
         rows = None
         for a, b in zip(cut, cut[1:]):
-            if keys[a] != key:
+            fresh = keys[a] != key
+            if fresh:
                 if key is not None:
                     replay.advance(_END)
                     take(key == first_key)
                 key, replay = keys[a], Replay()
                 first_key = first_key if first_key is not None else key
-            if key != first_key and b < len(keys) and kinds[a] == 1 and kinds[a:b].all() and b - a == 1 and batch.column("cancel")[a].as_py() is None:
+            whole = fresh and key != first_key and b < len(keys)  # all rows of the key are here: none in the batch before or after
+            if whole and kinds[a] == 1 and b - a == 1 and batch.column("cancel")[a].as_py() is None:
                 continue  # one lone fallback
-            if key != first_key and b < len(keys) and not kinds[a:b].any():
+            if whole and not kinds[a:b].any():
                 continue  # natives only
             rows = rows or list(zip(*[batch.column(c).to_pylist() for c in (*_ROW, "carried")]))
             for r in rows[a:b]:

@@ -4,6 +4,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from meterline.operators import reconcile as C
@@ -150,3 +151,16 @@ def test_late_native_only_enriches(spark):
     assert len(got) == 1 and (got[0]["origin"], got[0]["how"], got[0]["api_key"]) == ("fallback", "late", "k9")
     # without a request time it was asked when it was seen, too late for this fallback
     assert C.reconcile_feeds(n.withColumn("ts", F.lit(None).cast("timestamp_ntz")), f).count() == 2
+
+
+def test_keys_cut_by_batches():
+    """A key whose rows lie in two Arrow batches is no lone row in the second one."""
+    s = C.MICRO
+    native = lambda k, i, at: (0, k, 0, i, at, at, "", "", None, False)
+    fallback = lambda k, i, at: (0, k, 1, i, at, at, "", "", None, False)
+    types = [pa.int32(), pa.string(), pa.int32(), *[pa.int64()] * 3, *[pa.string()] * 2, pa.int64(), pa.bool_()]
+    rows = [native("a", 1, s), native("b", 2, s), fallback("b", 3, 2 * s), fallback("c", 4, s), native("c", 5, 2 * s), native("d", 6, s)]
+    batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], ["slice", "key", *C._ROW, "carried"])
+    for at in range(len(rows) + 1):
+        out = [r for b in C._replay_slice(iter([batch.slice(0, at), batch.slice(at)])) for r in b.to_pylist() if r["how"] in C._PAIRED]
+        assert {(r["native_id"], r["fallback_id"], r["how"]) for r in out} == {(2, 3, "recent"), (5, 4, "pending")}
