@@ -385,22 +385,25 @@ def _matched(native: DataFrame, fallback: DataFrame) -> DataFrame:
     rows = session.checkpoint(natives.withColumn("cancel", none).unionByName(fallbacks.where("stream is null").withColumn("cancel", none))
                               .unionByName(streamed))
     out = session.checkpoint(replayed(rows))
-    busy = rows.where("cancel is not null").select("stream").distinct()
-    chained = session.checkpoint(rows.where("stream is not null").join(busy, "stream", "left_semi"))
+    # only keys with a row that replaces or is replaced can ever run again: the rest is settled and read no more
+    fallen = rows.where("stream is not null")
+    chained = session.checkpoint(fallen.join(rows.where("cancel is not null").select("stream").distinct(), "stream", "left_semi"))
+    keys = session.checkpoint(chained.select("key").distinct())
+    settled = out.join(keys, "key", "left_anti")
+    live, open_ = session.checkpoint(rows.join(keys, "key", "left_semi")), session.checkpoint(out.join(keys, "key", "left_semi"))
     while True:
-        taken = out.where("how = 'recent'").select(c("fallback_id").alias("id"))
+        taken = open_.where("how = 'recent'").select(c("fallback_id").alias("id"))
         fresh = _next_of_stream(chained.drop("cancel").join(taken, "id", "left_anti"))
         changed = session.checkpoint(chained.join(fresh.select("id", c("cancel").alias("now")), "id").where(~c("cancel").eqNullSafe(c("now"))))
         if changed.isEmpty():
-            return out
+            return settled.unionByName(open_)
         keys = changed.select("key").distinct()
         new = changed.select("id", F.lit(1).alias("kind"), "now", F.lit(True).alias("new"))
-        old = rows.join(new, ["id", "kind"], "left")
-        rows = session.checkpoint(old.withColumn("cancel", F.when(c("new"), c("now")).otherwise(c("cancel"))).drop("now", "new"))
-        chained = session.checkpoint(chained.join(new.drop("kind"), "id", "left")
-                                     .withColumn("cancel", F.when(c("new"), c("now")).otherwise(c("cancel"))).drop("now", "new"))
-        again = replayed(rows.join(keys, "key", "left_semi"))
-        out = session.checkpoint(out.join(keys, "key", "left_anti").unionByName(again))
+        latest = F.when(c("new"), c("now")).otherwise(c("cancel"))
+        live = session.checkpoint(live.join(new, ["id", "kind"], "left").withColumn("cancel", latest).drop("now", "new"))
+        chained = session.checkpoint(chained.join(new.drop("kind"), "id", "left").withColumn("cancel", latest).drop("now", "new"))
+        again = replayed(live.join(keys, "key", "left_semi"))
+        open_ = session.checkpoint(open_.join(keys, "key", "left_anti").unionByName(again))
 
 
 # --- whole feeds ---------------------------------------------------------------------------
