@@ -44,7 +44,9 @@ def catalog_prices(docs: DataFrame) -> DataFrame:
         c("m.cost.input").alias("prompt"), c("m.cost.output").alias("completion"),
         F.coalesce(c("m.cost.cache_read"), c("m.cost.input")).alias("cache"),
         F.coalesce(c("m.cost.cache_write"), F.lit(0.0)).alias("cache_write"))
-    rows = rows.where(valid_price(rows))
+    # spread first: the aggregate below sorts, and a small file of many models is read by one task
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.where(valid_price(rows)).repartition(spread, "owner", "model_key", "model_id", *PRICE_COLUMNS)
     place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(p) for p in PROVIDER_PRIORITY]), c("owner")),
                                 F.lit(0)), F.lit(len(PROVIDER_PRIORITY) + 1))
     prefix = F.concat(tidy(c("owner")), F.lit("/"))

@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meterline.plans import ORACLES, QUERIES
+from meterline.sources import prices as PR
 from tests.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +45,12 @@ def test_quarantine_repairs_no_labels(spark, monkeypatch):
     monkeypatch.setattr("meterline.operators.imports.clean_labels", never)
     monkeypatch.setattr("meterline.session.checkpoint", never)
     assert QUERIES["import_quarantine"](spark, SF).count() == 2
+
+
+def test_catalog_is_spread_before_its_sort(spark):
+    """The names of all models in one file are not sorted in the one task that reads it."""
+    docs = spark.range(0, 500, 1, 1).select(F.create_map(F.lit("openai"), F.from_json(F.concat(F.lit('{"models":{"m'), "id", F.lit('":{"id":"x","cost":{"input":1,"output":2}}}}')),
+                                            PR.CATALOG_SCHEMA[len("map<string, "):-1])).alias("doc"))
+    assert PR.catalog_prices(docs).count() == 1002
+    plan = PR.catalog_prices(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RepartitionByExpression") > plan.index("Aggregate")
