@@ -30,7 +30,9 @@ BLOCKS_PER_PARTITION = 2  # shuffle partitions to one block
 MIN_BLOCKS = 6
 WORD = np.uint64(1 << 62)  # keys of words have this bit, keys of grams do not; one bit more is free
 END_WORD = WORD  # the end, as a token
-CHUNK = 1 << 21
+CHUNK = 1 << 18  # bytes of text worked on at once
+BUNCH = 50_000  # grams whose trees are built at once; more only where one pair of last context bytes has more
+HOLD = 1 << 19  # reported keys kept until equal ones are added up, or as many as are distinct
 
 
 def grams(text: Bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -182,9 +184,37 @@ def deep_levels(keys: np.ndarray, n: np.ndarray) -> list[Level]:
     return levels
 
 
+def bunches(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the grams, BUNCH or so at a time; grams that share their last two context bytes come together."""
+    pair = (keys >> np.uint64(8)) & np.uint64(0xFFFF)
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    ends = np.append(np.flatnonzero(pair[1:] != pair[:-1]) + 1, len(pair))
+    lo = 0
+    while lo < len(order):
+        k = max(np.searchsorted(ends, lo + BUNCH, side="right") - 1, np.searchsorted(ends, lo, side="right"))
+        yield order[lo:ends[k]]
+        lo = ends[k]
+
+
+def upper_nodes(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ids, counts and weighted probabilities below of the nodes of depth 1."""
+    out = (np.zeros(0, np.uint64), *[np.zeros(0)] * 3)
+    for at in bunches(keys):
+        ids, *sums = (np.concatenate(x) for x in zip(out, deep_levels(keys[at], n[at])[-1].parent()))
+        out = (tally(ids, sums[0])[0], *[tally(ids, x)[1] for x in sums])
+    return out
+
+
 def predicted(keys: np.ndarray, n: np.ndarray, top: list[Level]) -> np.ndarray:
     """log10 probability of each gram's byte after its context."""
-    levels = deep_levels(keys, n) + top
+    out = np.zeros(len(keys))
+    for at in bunches(keys):
+        out[at] = _predicted(keys[at], deep_levels(keys[at], n[at]) + top)
+    return out
+
+
+def _predicted(keys: np.ndarray, levels: list[Level]) -> np.ndarray:
     out = np.zeros(len(keys))
     for node, bit in choices(keys):
         p = None
@@ -195,20 +225,29 @@ def predicted(keys: np.ndarray, n: np.ndarray, top: list[Level]) -> np.ndarray:
     return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams and words of a block with their occurrences in training documents; the texts pass by."""
+    parts, held, limit = [], 0, HOLD
+    for batch in batches:
+        for part, text in text_chunks(batch, limit=CHUNK):
+            text, train = text.lower(), part.column("train").to_numpy(zero_copy_only=False).astype(np.uint64)
+            for k, doc in (grams(text), word_keys(text)):
+                parts.append(tally_flags(k, train[doc]))
+                held += len(parts[-1][0])
+            if held > limit:
+                parts = [tally(*(np.concatenate(x) for x in zip(*parts)))]
+                held = len(parts[0][0])
+                limit = held + max(HOLD, held)
+    return tally(*(np.concatenate(x) for x in zip(*parts)))
+
+
 def asked(docs: DataFrame, blocks: int) -> DataFrame:
     """(block, key, n): distinct grams and words of each block, with their occurrences in training documents."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        parts = []
-        for batch in table.to_batches():
-            for part, text in text_chunks(batch, limit=CHUNK):
-                text, train = text.lower(), part.column("train").to_numpy(zero_copy_only=False).astype(np.uint64)
-                for k, doc in (grams(text), word_keys(text)):
-                    parts.append(tally_flags(k, train[doc]))
-            if len(parts) > 16:
-                parts = [tally(*(np.concatenate(x) for x in zip(*parts)))]
-        k, n = tally(*(np.concatenate(x) for x in zip(*parts)))
-        return pa.table({"block": pa.array(np.full(len(k), key[0].as_py(), np.int32)), "key": pa.array(k.view(np.int64)), "n": pa.array(n)})
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, n = gathered(batches)
+        table = pa.table({"block": pa.array(np.full(len(k), key[0].as_py(), np.int32)), "key": pa.array(k.view(np.int64)), "n": pa.array(n)})
+        yield from table.to_batches(50_000)
 
     return docs.groupBy("block").applyInArrow(run, "block int, key bigint, n bigint")
 
@@ -239,7 +278,7 @@ def scored(docs: DataFrame, seed_mod: int = 7, held: int = 2) -> DataFrame:
             return
         key, n = read[3], read[4]
         word = key >= WORD
-        ids, zeros, ones, below = deep_levels(key[~word], n[~word])[-1].parent() if (~word).any() else (np.zeros(0, np.uint64), *[np.zeros(0)] * 3)
+        ids, zeros, ones, below = upper_nodes(key[~word], n[~word])
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(ids, np.uint64(0)).view(np.int64)), pa.array(np.append(zeros, n[word].sum()).astype(float)),
              pa.array(np.append(ones, (n[word] > 0).sum()).astype(float)), pa.array(np.append(below, 0.0))], ["id", "zeros", "ones", "below"])
@@ -261,8 +300,7 @@ def scored(docs: DataFrame, seed_mod: int = 7, held: int = 2) -> DataFrame:
         word = keys >= WORD
         value = np.zeros(len(keys))
         value[word] = np.log10((n[word] + 1) / (tokens + types + 1))
-        if (~word).any():
-            value[~word] = predicted(keys[~word], n[~word], tops)
+        value[~word] = predicted(keys[~word], n[~word], tops)
         at = np.searchsorted(keys, key)
         table = pa.table({"block": pa.array(block), "key": pa.array(key.view(np.int64)), "value": pa.array(value[at]), "known": pa.array(n[at] > 0)})
         yield from table.to_batches(50_000)

@@ -2,6 +2,7 @@ import hashlib
 import math
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -184,6 +185,26 @@ def test_tree_scores(docs, rows, no_docs):
     assert treescore.scored(no_docs).count() == 0
 
 
+def test_tree_memory(monkeypatch):
+    """Trees are built some grams at a time: the same values, and memory that does not grow with the grams of a task."""
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 40, 200_000).astype(np.uint64))
+    n = rng.integers(0, 5, len(keys))
+    one = treescore.deep_levels(keys, n)[-1].parent()
+    level = treescore.Level(*one)
+    tops = [level, treescore.Level(*level.parent())]
+    tracemalloc.start()
+    got = treescore.predicted(keys, n, tops)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    monkeypatch.setattr(treescore, "BUNCH", 1 << 40)
+    assert (got == treescore.predicted(keys, n, tops)).all()
+    monkeypatch.setattr(treescore, "BUNCH", 1000)
+    for a, b in zip(treescore.upper_nodes(keys, n), one, strict=True):
+        assert a == pytest.approx(b, rel=1e-12)
+
+
 def test_tree_lookup():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 5000).astype(np.uint64))
     assert (treescore.Lookup(keys).find(keys[::-1]) == np.arange(len(keys))[::-1]).all()
