@@ -24,7 +24,8 @@ def fingerprint() -> Column:
               c("failure"), c("failed"), c("latency_ms"), c("ttft_ms"), c("status_code"), c("input_tokens"),
               c("output_tokens"), c("reasoning_tokens"), c("cached_tokens"), c("cache_tokens"),
               c("cache_write_tokens"), c("total_tokens")]
-    return F.sha2(F.to_json(F.struct(*fields)), 256)
+    # never NULL, and said so: else a join on it filters the scan by the whole expression, all its parts repeated
+    return F.coalesce(F.sha2(F.to_json(F.struct(*fields)), 256), F.lit(""))
 
 
 def with_fingerprint(df: DataFrame) -> DataFrame:

@@ -54,3 +54,9 @@ def test_catalog_is_spread_before_its_sort(spark):
     assert PR.catalog_prices(docs).count() == 1002
     plan = PR.catalog_prices(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("RepartitionByExpression") > plan.index("Aggregate")
+
+
+def test_fingerprint_is_not_tested_in_the_scan(spark):
+    """A join on the fingerprint must not push its whole expression down as a filter."""
+    plan = QUERIES["enrich_metadata"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "sha2" in x]
