@@ -12,6 +12,7 @@ left out; with labels of one kind only, or none, every document is kept; other c
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,8 +159,8 @@ class CoTrained:
         return [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (*z, both)]
 
 
-def _features(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Views and labels (-1: none) of the chosen documents, at most MAX_LABELLED + MAX_POOL rows, ordered by id."""
+def _features(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Views and labels (-1: none) of the chosen documents, at most MAX_LABELLED + MAX_POOL rows, one for each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,10 +172,24 @@ def _features(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarra
 
     columns = [c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
     sample = docs.select(*columns).join(F.broadcast(chosen), "doc_id")  # chosen is bounded by its limits
-    rows = sample.mapInArrow(run, f"id {docs.schema['doc_id'].dataType.simpleString()}, y int, a binary, b binary").dropDuplicates(["id"]).toArrow()
-    rows = rows.sort_by("id")
-    view = lambda c: np.stack([np.frombuffer(x, np.float32) for x in rows.column(c).to_pylist()]) if rows.num_rows else np.zeros((0, 1), np.float32)
-    return view("a"), view("b"), rows.column("y").to_numpy()
+    return sample.mapInArrow(run, f"id {docs.schema['doc_id'].dataType.simpleString()}, y int, a binary, b binary").dropDuplicates(["id"])
+
+
+def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pickled model, or no row, from all rows of _features in order of ids."""
+    y, views = [], ([], [])
+    for batch in batches:
+        y.append(batch.column("y").to_numpy())
+        for v, name in zip(views, "ab"):
+            v.append(np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in batch.column(name)]) if batch.num_rows else np.zeros((0, 0), np.float32))
+    y = np.concatenate(y) if y else np.zeros(0, np.int32)
+    known = y >= 0
+    if len(set(y[known])) < 2 or min(np.bincount(y[known])) < 4:
+        return
+    both = [np.concatenate([x for x in v if len(x)]) for v in views]
+    views = None
+    made = CoTrained([v[known] for v in both], y[known].astype(np.float32), [v[~known] for v in both])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["model"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
@@ -187,11 +202,9 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     labelled = ids.join(known, "doc_id").orderBy(rank).limit(MAX_LABELLED)
     pool = ids.join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(rank).limit(MAX_POOL).withColumn("__quality", F.lit(-1))
     chosen = docs.sparkSession.createDataFrame(labelled.unionByName(pool).toArrow(), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __quality int")
-    a, b, y = _features(docs, chosen)
-    known_rows = y >= 0
-    if len(set(y[known_rows])) < 2 or min(np.bincount(y[known_rows])) < 4:
-        return None
-    return CoTrained([a[known_rows], b[known_rows]], y[known_rows].astype(np.float32), [a[~known_rows], b[~known_rows]])
+    rows = _features(docs, chosen).repartition(1).sortWithinPartitions("id")  # bounded, and fitted in a task: the driver gets the weights alone
+    made = rows.mapInArrow(learned, "model binary").first()
+    return pickle.loads(made.model) if made else None
 
 
 def _scored(docs: DataFrame, trained: CoTrained | None, schema: str, make) -> DataFrame:

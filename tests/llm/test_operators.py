@@ -298,6 +298,15 @@ def test_cotraining(spark, docs, no_docs):
     assert cotraining.scored(no_docs, none).count() == 0
 
 
+def test_cotraining_fits_in_a_task(spark, monkeypatch):
+    """The driver gets ids and labels of the sample and the fitted weights, never the features."""
+    plain, got = type(spark.range(1)).toArrow, []
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda self: got.append(self.columns) or plain(self))
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    assert cotraining.train(read("documents"), read("labels")) is not None
+    assert got == [["doc_id", "__quality"]]
+
+
 def test_cotraining_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
