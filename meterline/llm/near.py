@@ -6,10 +6,13 @@ similarity) and a SimHash of BITS bits. Each fingerprint emits its variants with
 bits or fewer meet in a bucket: by one seed with a chance of 0.44 at 0.8, by one of eight with 0.99. The least shingle keeps the
 buckets small whatever the number of documents, the SimHash splits those of a frequent passage.
 
-In a bucket, sets that also share the least shingle of one more seed are linked to the first of them in a seeded order, and those
-first ones to the first of the bucket: at most one link for a variant. Links are verified by the sets themselves. ROUNDS further
-rounds divide and order the buckets by other seeds and link only what is in different components yet, so a group whose first is
-like few of its members still comes together. Components of verified links are the groups.
+Variants that no other set has are dropped at once; the rounds below deal out only the others. In a bucket, sets that also share the
+least shingle of one more seed are linked to the first of them in a seeded order, and those first ones to the first of the bucket:
+at most one link for a variant. Every row brings the size and the parity sketch of its set (see similar.py): two sketches differ in no
+more bits than the sets in shingles, so a link whose sketches differ too much is no link and ends there, before any set is sent.
+The others are verified by the sets themselves. ROUNDS further rounds divide and order the buckets by other seeds and link only what is
+in different components yet, so a group whose first is like few of its members still comes together. Components of verified links are
+the groups.
 
 Defined cases: null text: empty; texts without a word have one set and form one group; equal sets are one node before anything is
 emitted, whatever the number of copies; null ids come last; rows are told apart by id and text, so of a group one row stays even
@@ -22,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from meterline import session
 from meterline.llm.common import mix64, n_partitions, stored, text_chunks
 from meterline.llm.components import components
-from meterline.llm.similar import digests, sets
+from meterline.llm.similar import digests, sets, sketches
 from meterline.llm.simhash import ball, majority, shingle_hashes
 
 SEEDS = 8
@@ -36,6 +39,7 @@ REACH = 2
 ROUNDS = 4
 SLICE = 1000  # members compared with one copy of the first of their bucket
 SEND_BYTES = 1 << 23
+EMIT_ROWS = 100  # sets whose variants are made at once
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -62,7 +66,7 @@ def variant_keys(least: np.ndarray, short: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, th, node, least, short) of each row; th is a hash of the text, node of its set; both lists are empty without a word."""
+    """(doc_id, th, node, least, short, size, sketch) of each row; th is a hash of the text, node of its set; both lists are empty without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,48 +78,89 @@ def described(docs: DataFrame, n: int) -> DataFrame:
                     a, b = prints(h, sizes[full])
                 off = pa.array(np.concatenate([[0], np.cumsum(full * SEEDS)]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(off, pa.array(x.ravel().view(np.int64))) for x in (a, b)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(digests(h, sizes).view(np.int64)), *lists],
-                                                 ["doc_id", "th", "node", "least", "short"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("th"), pa.array(digests(h, sizes).view(np.int64)), *lists,
+                     pa.array(sizes.astype(np.int64)), pa.array(sketches(h, sizes), pa.binary())],
+                    ["doc_id", "th", "node", "least", "short", "size", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(
-        run, f"doc_id {kind}, th bigint, node bigint, least array<bigint>, short array<bigint>")
+        run, f"doc_id {kind}, th bigint, node bigint, least array<bigint>, short array<bigint>, size bigint, sketch binary")
+
+
+def _keys(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the least shingles by seed, and the keys of all variants of all seeds."""
+    least, short = (part.column(c).flatten().to_numpy().view(np.uint64).reshape(part.num_rows, SEEDS) for c in ("least", "short"))
+    return least, variant_keys(least, short).reshape(part.num_rows, -1)
+
+
+def shared(each: DataFrame) -> DataFrame:
+    """(node, slots) of each set that has a variant with another one: which of its variants they are, by their place in _keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 5 * EMIT_ROWS):
+                part = batch.slice(lo, 5 * EMIT_ROWS)
+                _, keys = _keys(part)
+                slot = np.tile(np.arange(keys.shape[1], dtype=np.int32), part.num_rows)
+                node = np.repeat(part.column("node").to_numpy(), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node), pa.array(slot)], ["key", "node", "slot"])
+
+    rows = each.filter(F.size("least") > 0).select("node", "least", "short").mapInArrow(run, "key bigint, node bigint, slot int")
+    some = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    return some.groupBy("node").agg(F.collect_list("slot").alias("slots"))
 
 
 def emitted(each: DataFrame, turn: int) -> DataFrame:
-    """(key, second, node, component) of every variant of every fingerprint; second is the least shingle of another seed."""
+    """(key, second, node, component, size, sketch) of the variants in slots, or of all; second is the least shingle of another seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                least, short = (part.column(c).flatten().to_numpy().view(np.uint64).reshape(part.num_rows, SEEDS) for c in ("least", "short"))
-                keys = variant_keys(least, short).reshape(part.num_rows, -1)
-                second = np.repeat(np.roll(least, -1 - turn, 1), keys.shape[1] // SEEDS, axis=1)
+            for lo in range(0, batch.num_rows, EMIT_ROWS):
+                part = batch.slice(lo, EMIT_ROWS)
+                least, keys = _keys(part)
+                slots = part.column("slots")
+                slot, row = slots.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), slots.value_lengths().to_numpy())
+                second = np.roll(least, -1 - turn, 1)[row, slot // (keys.shape[1] // SEEDS)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.ravel().view(np.int64)) for x in (keys, second)]
-                    + [pa.array(np.repeat(part.column(c).to_numpy(), keys.shape[1])) for c in ("node", "component")],
-                    ["key", "second", "node", "component"])
+                    [pa.array(x.view(np.int64)) for x in (keys[row, slot], second)]
+                    + [part.column(c).take(pa.array(row)) for c in ("node", "component", "size", "sketch")],
+                    ["key", "second", "node", "component", "size", "sketch"])
+
+    slots = "slots" if "slots" in each.columns else F.sequence(F.lit(0), F.lit(SEEDS * len(ball(list(range(BITS)), REACH // 2)) - 1)).alias("slots")
+    some = each.filter(F.size("least") > 0).select("node", "component", "least", "short", "size", "sketch", slots)
+    return some.mapInArrow(run, "key bigint, second bigint, node bigint, component bigint, size bigint, sketch binary")
+
 
-    some = each.filter(F.size("least") > 0).select("node", "component", "least", "short")
-    return some.mapInArrow(run, "key bigint, second bigint, node bigint, component bigint")
+def may_link(x: int, y: int, a: bytes, b: bytes) -> bool:
+    """Whether sets of x and y shingles with sketches a and b can have a similarity of 4 / 5: they differ in a ninth of x + y at most."""
+    if 5 * min(x, y) < 4 * max(x, y):
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    p, q, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 4 * len(b)
+    if len(b) > len(a):  # sizes this close have sketches a level apart at most
+        q = (q >> bits) ^ (q & (1 << bits) - 1)
+    return 9 * (p ^ q).bit_count() <= x + y
 
 
-def _head(new: np.ndarray, values: np.ndarray, carried) -> np.ndarray:
-    """The value at the last mark before or at each row; before the first mark what the batch before left."""
-    at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-    return np.where(at < 0, carried, values[np.maximum(at, 0)])
+def _sketch(kept: list[tuple], column: pa.Array, i: int) -> bytes:
+    """The sketch at place i of a batch that comes after the two rows kept."""
+    return kept[i][3] if i < 2 else column[i - 2].as_py()
 
 
 def linked(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each set with the first that shares its key and second shingle, those with the first of the key; none inside a component."""
+    """(a, b): each set with the first that shares its key and second shingle, those with the first of the key; none inside a
+    component, none that the sketches rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, top, sub = None, (0, 0), (0, 0)
+        last, kept = None, [(0, 0, 0, b"")] * 2  # the firsts of the key and of the part that the batch before left
         for batch in batches:
-            key, second, node, comp = (batch.column(c).to_numpy() for c in ("key", "second", "node", "component"))
-            if not len(key):
+            if not batch.num_rows:
                 continue
+            key, second = (batch.column(c).to_numpy() for c in ("key", "second"))
+            node, comp, size = (np.concatenate([[x[i] for x in kept], batch.column(c).to_numpy()]) for i, c in enumerate(("node", "component", "size")))
+            sketch = batch.column("sketch")
             first = np.ones(len(key), bool)
             first[1:] = key[1:] != key[:-1]
             part = first.copy()
@@ -123,14 +168,19 @@ def linked(rows: DataFrame, turn: int) -> DataFrame:
             if last is not None:
                 first[0] = key[0] != last[0]
                 part[0] = first[0] or second[0] != last[1]
-            top_node, top_comp = _head(first, node, top[0]), _head(first, comp, top[1])
-            sub_node, sub_comp = _head(part, node, sub[0]), _head(part, comp, sub[1])
-            a, c = np.where(part, top_node, sub_node), np.where(part, top_comp, sub_comp)
-            use = c != comp
-            if use.any():
-                pairs = np.unique(np.stack([np.minimum(a, node)[use], np.maximum(a, node)[use]], 1), axis=0)
+            here = np.arange(2, len(key) + 2)  # after the two that were kept
+            top = np.maximum.accumulate(np.where(first, here, 0))
+            sub = np.maximum(np.maximum.accumulate(np.where(part, here, 0)), 1)
+            head = np.where(part, top, sub)
+            some = np.flatnonzero(comp[head] != comp[here])
+            if len(some):
+                a, b = head[some], here[some]
+                pairs, at = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0, return_index=True)
+                pairs = pairs[[may_link(int(size[i]), int(size[j]), _sketch(kept, sketch, i), _sketch(kept, sketch, j))
+                               for i, j in zip(a[at].tolist(), b[at].tolist())]]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-            last, top, sub = (key[-1], second[-1]), (top_node[-1], top_comp[-1]), (sub_node[-1], sub_comp[-1])
+            last = key[-1], second[-1]
+            kept = [(node[i], comp[i], size[i], _sketch(kept, sketch, i)) for i in (int(top[-1]), int(sub[-1]))]
 
     order = F.xxhash64("node", F.pmod("key", F.lit(SEEDS)), F.lit(turn))
     dealt = rows.repartition(n_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "second", order)
@@ -194,9 +244,10 @@ def grouped(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     session.ship(docs.sparkSession)
     rows = stored(described(docs, n), "near")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
-    each = stored(rows.groupBy("node").agg(first, F.first("least").alias("least"), F.first("short").alias("short")), "near-distinct")
+    each = stored(rows.groupBy("node").agg(first, *(F.first(c).alias(c) for c in ("least", "short", "size", "sketch"))), "near-distinct")
     links = tried = None
-    now = each.withColumn("component", F.col("node"))
+    met = stored(each.join(shared(each), "node"), "near-met")  # the others have no variant with any set
+    now = met.withColumn("component", F.col("node"))
     for turn in range(1 + ROUNDS):
         pairs = linked(emitted(now, turn), turn)
         if tried is not None:
@@ -206,10 +257,7 @@ def grouped(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         found = stored(verified(pairs, each, docs, n), "near-links")
         links = found if links is None else links.unionByName(found)
         joined = components(links)
-        now = each.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if turn < ROUNDS:  # only sets that met another one can meet one again
-            met = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            now = stored(now.join(met, "node", "left_semi"), "near-met")
+        now = (met if turn < ROUNDS else each).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return rows.select("doc_id", "th", "node"), now.select("node", "first", "component")
 
 

@@ -420,6 +420,57 @@ def test_near_dedup_links_grow_with_the_rows(spark):
     assert counts[1] <= 136 * 400 and counts[1] < 2.6 * counts[0]
 
 
+def test_near_dedup_candidates_of_a_large_group(spark):
+    """Copies of one text that are too unlike to be linked share many buckets, but no set is sent for them; real copies among them are."""
+    rnd = random.Random(13)
+    base = [f"w{rnd.randint(0, 9000)}" for _ in range(120)]
+    for n in (200, 400):
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for at in rnd.sample(range(120), 4):
+                w[at] = f"x{i}"
+            rows.append((i, " ".join(w)))
+        rows += [(n + i, rows[i][1] + " end") for i in range(0, n, 10)]
+        each = near.described(spark.createDataFrame(rows, "doc_id bigint, text string"), 5).withColumn("component", F.col("node"))
+        have = {r.node: brute.shingles(rows[r.doc_id if r.doc_id < n else n + (r.doc_id - n) // 10][1]) for r in each.collect()}
+        both = [each, each.join(near.shared(each), "node")]
+        some, same = ({(r.a, r.b) for r in near.linked(near.emitted(x, 0), 0).collect()} for x in both)
+        assert some == same  # variants without another set have no link
+        assert n // 10 <= len(some) < 1.5 * n
+        assert sum(5 * len(have[a] & have[b]) >= 4 * len(have[a] | have[b]) for a, b in some) >= n // 10
+
+
+def test_near_dedup_links_across_batches(spark):
+    rnd = random.Random(14)
+    base = [f"w{rnd.randint(0, 9000)}" for _ in range(700)]
+    rows = [(i, " ".join(f"x{i}" if j in some else w for j, w in enumerate(base)))
+            for i in range(60) for some in [rnd.sample(range(700), i % 9)]]
+    each = near.described(spark.createDataFrame(rows, "doc_id bigint, text string"), 5).withColumn("component", F.pmod("node", F.lit(40)))
+    got = []
+    for size in ("10000", "7", "1"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got.append({(r.a, r.b) for r in near.linked(near.emitted(each, 1), 1).collect()})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] == got[2] and len(got[0]) > 50
+
+
+def test_sketches_rule_out_no_link():
+    rnd = np.random.default_rng(15)
+    ruled_out = 0
+    for n in (1, 4, 5, 9, 100, 500, 512, 513, 560, 1000, 1030, 4000, 16_000, 18_000, 40_000):
+        base = rnd.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        for less, more in ((0, n // 4), (n // 5, 0), (n // 10, n // 10), (n // 9, n // 9), (n // 3, n // 3), (n, n)):
+            x, y = base[:n], base[less:n + more]
+            a, b = (similar.sketches(z, np.array([len(z)]))[0] for z in (x, y))
+            union = n + more
+            may = near.may_link(len(x), len(y), a, b)
+            assert may == near.may_link(len(y), len(x), b, a)
+            assert may or 5 * (n - less) < 4 * union
+            ruled_out += not may and n >= 100
+    assert ruled_out > 15
+
+
 def test_near_dedup_keeps_one_row(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "a b c d e f", "z"), (None, "lone words of a text", "u"),
             (1, "another text under the first id", "v"), (None, None, "n"), (4, " ", "e"), (4, "", "e"), (None, "lone words of a text", "w")]
