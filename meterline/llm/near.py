@@ -38,7 +38,6 @@ BITS = 16
 REACH = 2
 ROUNDS = 4
 SLICE = 1000  # members compared with one copy of the first of their bucket
-SEND_BYTES = 1 << 23
 EMIT_ROWS = 100  # sets whose variants are made at once
 _STEP = 0x9E3779B97F4A7C15
 
@@ -187,7 +186,24 @@ def linked(rows: DataFrame, turn: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def verified(pairs: DataFrame, each: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+def held(nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(node, hashes): the set of each node, made once from its first text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, text in text_chunks(batch):
+                h, sizes = sets(*shingle_hashes(text, n))
+                raw, ends = h.tobytes(), (8 * np.cumsum(sizes)).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), pa.array([raw[a:b] for a, b in zip([0, *ends], ends)], pa.binary())], ["node", "hashes"])
+
+    want = nodes.select("node", F.col("first.doc_id").alias("__id"), F.col("first.th").alias("__th"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    texts = texts.join(want, (F.col("th") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    return texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node bigint, hashes binary")
+
+
+def verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     """The pairs whose sets have a similarity of 4 / 5 or more.
 
     The set of a goes once to every SLICE or so of its partners, so no task holds all partners of one set.
@@ -195,28 +211,7 @@ def verified(pairs: DataFrame, each: DataFrame, docs: DataFrame, n: int) -> Data
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SLICE)).alias("slices"))
     members = pairs.join(counts, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("slices")).alias("slice"))
     heads = counts.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"))
-    asked = (members.unionByName(heads).groupBy("node", F.floor(F.col("slice") / F.lit(SLICE)).alias("part"))
-             .agg(F.collect_list(F.struct("a", "slice")).alias("asked")))
-    want = each.select("node", F.col("first.doc_id").alias("__id"), F.col("first.th").alias("__th")).join(asked, "node")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    texts = (texts.join(want, (F.col("th") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-             .select("node", "part", "asked", "text").dropDuplicates(["node", "part"]))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, text in text_chunks(batch):
-                h, sizes = sets(*shingle_hashes(text, n))
-                ends = np.cumsum(sizes)
-                node = part.column("node").to_numpy()
-                for i in range(text.n):
-                    raw = h[ends[i] - sizes[i]:ends[i]].tobytes()
-                    x = part.column("asked").slice(i, 1).flatten()
-                    a, s = x.field("a"), x.field("slice")
-                    step = max(1, SEND_BYTES // max(1, len(raw)))
-                    for lo in range(0, len(a), step):
-                        k = min(step, len(a) - lo)
-                        yield pa.RecordBatch.from_arrays([a.slice(lo, k), s.slice(lo, k), pa.array(np.repeat(node[i], k)), pa.array([raw] * k, pa.binary())],
-                                                         ["a", "slice", "node", "hashes"])
+    sent = members.unionByName(heads).join(hashes, "node").select("a", "slice", "node", "hashes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, mine = np.zeros(0, np.uint64), None
@@ -234,19 +229,23 @@ def verified(pairs: DataFrame, each: DataFrame, docs: DataFrame, n: int) -> Data
                 x, y = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    sent = texts.mapInArrow(send, "a bigint, slice bigint, node bigint, hashes binary")
-    dealt = sent.repartition(n_partitions(docs.sparkSession), "a", "slice").sortWithinPartitions("a", "slice", F.col("node") != F.col("a"))
+    dealt = sent.repartition(n_partitions(pairs.sparkSession), "a", "slice").sortWithinPartitions("a", "slice", F.col("node") != F.col("a"))
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
+def _labelled(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    return nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def grouped(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, node) of each row, and (node, first, component) of each set; first is its least (id, text)."""
     session.ship(docs.sparkSession)
     rows = stored(described(docs, n), "near")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
     each = stored(rows.groupBy("node").agg(first, *(F.first(c).alias(c) for c in ("least", "short", "size", "sketch"))), "near-distinct")
-    links = tried = None
     met = stored(each.join(shared(each), "node"), "near-met")  # the others have no variant with any set
+    hashes = stored(held(met, docs, n), "near-sets")
+    tried = joined = None
     now = met.withColumn("component", F.col("node"))
     for turn in range(1 + ROUNDS):
         pairs = linked(emitted(now, turn), turn)
@@ -254,10 +253,16 @@ def grouped(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "near-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = stored(verified(pairs, each, docs, n), "near-links")
-        links = found if links is None else links.unionByName(found)
+        if pairs.isEmpty():
+            continue
+        links = stored(verified(pairs, hashes), "near-links")
+        if links.isEmpty():
+            continue
+        if joined is not None:  # what is together already is a star
+            links = links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
         joined = components(links)
-        now = (met if turn < ROUNDS else each).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        now = _labelled(met, joined)
+    now = each.withColumn("component", F.col("node")) if joined is None else _labelled(each, joined)
     return rows.select("doc_id", "th", "node"), now.select("node", "first", "component")
 
 

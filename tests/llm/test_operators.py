@@ -499,6 +499,31 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    """Rounds of the near-duplicates start from stars: links that are stars already are written once and not joined again."""
+    made, real = [], components.session.checkpoint
+    monkeypatch.setattr(components.session, "checkpoint", lambda df: made.append(1) or real(df))
+    links = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(41, 40), (7, 7)], "a bigint, b bigint")
+    got = {r.node: r.component for r in components.components(links).collect()}
+    assert got == {i: 0 for i in range(30)} | {40: 40, 41: 40} and len(made) == 1
+    joined = components.components(spark.createDataFrame([(1, 0), (2, 1), (4, 3)], "a bigint, b bigint"))
+    stars = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    more = stars.unionByName(spark.createDataFrame([(4, 2), (6, 5)], "a bigint, b bigint"))
+    assert {r.node: r.component for r in components.components(more).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, 6: 5}
+
+
+def test_near_dedup_joins_only_new_links(spark, monkeypatch):
+    """Components are sought after a round only if it found links, and each set is made from its text once."""
+    rnd = random.Random(16)
+    words = [[f"w{rnd.randint(0, 9000)}" for _ in range(80)] for _ in range(12)]
+    texts = [" ".join(w) for w in words] + [" ".join(w[:-1] + ["z"]) for w in words[:6]]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(99, None), (100, texts[0]), (100, texts[0])], "doc_id bigint, text string")
+    calls, real = [], near.components
+    monkeypatch.setattr(near, "components", lambda links: calls.append(1) or real(links))
+    assert sorted(r.doc_id for r in near.representatives(docs).collect()) == [*range(12), 99]
+    assert len(calls) < 1 + near.ROUNDS
+
+
 def test_queries_run(spark):
     for name, query in QUERIES.items():
         df = query(spark, SF)
